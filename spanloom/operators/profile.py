@@ -93,7 +93,8 @@ def tree_graph(folded_stacks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def anonymised(profile: DataFrame) -> DataFrame:
-    """Profile with operations renamed Service::OperationN, N by name."""
-    names = profile.select(F.explode("path").alias("name")).distinct().withColumn("alias", F.concat(F.lit("Service::Operation"), F.dense_rank().over(Window.orderBy("name"))))
-    one = profile.select("trace_id", "root_id", "path", "excl", F.posexplode("path").alias("at", "name")).join(names, "name")
-    return one.groupBy("trace_id", "root_id", "path", "excl").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "alias"))), lambda x: x["alias"]).alias("alias")).select("trace_id", "root_id", F.col("alias").alias("path"), "excl")
+    """Profile with operations renamed [Service] OperationN, N by name; its other columns stay."""
+    names = profile.select(F.explode("path").alias("name")).distinct().withColumn("alias", F.concat(F.lit("[Service] Operation"), F.dense_rank().over(Window.orderBy("name"))))
+    one = profile.select("trace_id", "root_id", F.col("path").alias("was"), F.posexplode("path").alias("at", "name")).join(names, "name")
+    new = one.groupBy("trace_id", "root_id", "was").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "alias"))), lambda x: x["alias"]).alias("path"))
+    return profile.withColumnRenamed("path", "was").join(new, ["trace_id", "root_id", "was"]).drop("was")
