@@ -9,10 +9,11 @@ classes with fewer than T shared pairs are never posted. The long lists of commo
 enough rarer pairs. Every link is confirmed on the two full sets. T lies 4.8 standard deviations under the matches that the least
 similarity gives on average (40 of 64 at 0.85, 35 at 0.8), which a linked pair misses about twice in a million times.
 
-A list is never paired with itself outright. First each member of a list meets the list's smallest member (the hub with which it
-shares most lists), these links are confirmed, and components are formed. Then only pairs across components are
-left, and each is met and confirmed: of each list all but its largest component, against the whole list. No pair of classes
-that share a list is left out unless a component already joins them, and none is capped.
+A list is never paired with itself outright. First each member meets the most typical member of its lists (the hub: the one with
+the largest part of its shingles shared), these links are confirmed, and components are formed. Then only pairs across components are
+left, and each is met and confirmed: of each list all but its largest component, against the whole list. Pairs are left out only
+where a component joins them already or where they cannot be similar enough: an intersection holds no shingle that only one
+of the posted classes has, so its size is bounded by what each shares with anybody. Nothing is capped.
 
 Components grow by minimum labels with pointer jumping, cut to the shared folder each round; nothing is collected.
 
@@ -96,13 +97,14 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def postings(classes: DataFrame, least: int) -> DataFrame:
-    """cid, n_shingles, tok: each class under its rarest shared (coordinate, value) pairs."""
+    """cid, n_shingles, tok, toks (all of them): each class under its rarest shared (coordinate, value) pairs."""
     tokens = classes.select("cid", "n_shingles", F.posexplode("sig").alias("at", "value"))
     tokens = tokens.select("cid", "n_shingles", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("tok"))
     often = tokens.groupBy("tok").agg(F.count("*").alias("n")).where("n > 1")
     shared = tokens.join(often, "tok").groupBy("cid", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "tok"))).alias("own"))
     shared = shared.where(F.size("own") >= least)
-    return shared.select("cid", "n_shingles", F.explode(F.slice("own", F.lit(1), F.size("own") - least + 1)).alias("p")).select("cid", "n_shingles", F.col("p.tok").alias("tok"))
+    shared = shared.select("cid", "n_shingles", F.transform(F.slice("own", F.lit(1), F.size("own") - least + 1), lambda x: x["tok"]).alias("toks"))
+    return shared.select("cid", "n_shingles", "toks", F.explode("toks").alias("tok"))
 
 
 def full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -161,21 +163,44 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(joined.select("cid", F.coalesce("root", "comp").alias("comp")), "labels")
 
 
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """cid, lone: how many of a posted class's shingles no other posted class has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x, U64) for x in batch.column(1).to_pylist()]
+            name = [np.full(len(x), np.frombuffer(c[:8], np.int64)[0]) for c, x in zip(batch.column(0).to_pylist(), own)]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(np.concatenate(name))], names=["h", "c"])
+
+    once = sets.select("cid", "shingles").mapInArrow(run, "h long, c long").groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c")).where("n = 1")
+    lone = once.groupBy("c").agg(F.count("*").alias("lone"))
+    names = sets.select("cid").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([b.column(0), pa.array([int.from_bytes(x[:8], "little", signed=True) for x in b.column(0).to_pylist()], pa.int64())], names=["cid", "c"]) for b in batches), "cid binary, c long")
+    return names.join(lone, "c", "left").select("cid", F.coalesce("lone", F.lit(0)).alias("lone"))
+
+
 def link(posted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """cid, comp of all posted classes."""
-    hubs = posted.groupBy("tok").agg(F.min("cid").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    stars = posted.join(hubs, "tok").where("cid <> hub").groupBy("cid", "hub").agg(F.count("*").alias("lists"))
-    stars = stars.groupBy("cid").agg(F.max_by("hub", F.struct("lists", "hub")).alias("hub")).toDF("x", "y")
     start = posted.select("cid").distinct().select("cid", F.col("cid").alias("comp"))
+    # What two sets share lies among the shingles that each shares with anybody: `common` bounds the intersection from above.
+    posted = posted.join(shared_shingles(sets), "cid").withColumn("common", F.col("n_shingles") - F.col("lone")).drop("lone")
+    posted = cut(posted.where(100 * F.col("common") >= percent * F.col("n_shingles")), "able")
+    can = lambda c1, n1, c2, n2: F.least(c1, c2) * (100 + percent) >= percent * (F.col(n1) + F.col(n2))
+    typical = F.struct((F.col("common") / F.col("n_shingles")).alias("part"), F.col("cid"))
+    hubs = posted.groupBy("tok").agg(F.max_by(F.struct("cid", "n_shingles", "common"), typical).alias("h"), F.count("*").alias("n")).where("n > 1").select("tok", F.col("h.cid").alias("hub"), F.col("h.n_shingles").alias("hn"), F.col("h.common").alias("hc"))
+    stars = posted.join(hubs, "tok").where((F.col("cid") != F.col("hub")) & can("common", "n_shingles", "hc", "hn"))
+    stars = stars.groupBy("cid", "hub").agg(F.count("*").alias("lists"), F.first(F.col("hc") / F.col("hn")).alias("part"))
+    stars = stars.groupBy("cid").agg(F.max_by("hub", F.struct("part", "lists", "hub")).alias("hub")).toDF("x", "y")
     labels = components(start, confirmed(stars, sets, percent))
 
     own = posted.join(labels, "cid")
     parts = own.groupBy("tok", "comp").agg(F.count("*").alias("n"))
     lists = parts.groupBy("tok").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").select("tok", "major")
     there = cut(own.join(lists, "tok"), "lists")
-    minor = there.where("comp <> major").select("tok", F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n_shingles").alias("nx"))
-    alike = (100 * F.least("nx", "n_shingles") >= percent * F.greatest("nx", "n_shingles"))
-    across = minor.join(there, "tok").where((F.col("cx") != F.col("comp")) & ((F.col("comp") == F.col("major")) | (F.col("x") < F.col("cid"))) & alike)
+    minor = there.where("comp <> major").select("tok", F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n_shingles").alias("nx"), F.col("common").alias("vx"), F.col("toks").alias("tx"))
+    # A pair is made in one of its common lists only.
+    first = F.col("tok") == F.array_min(F.array_intersect("tx", "toks"))
+    across = minor.join(there, "tok").where((F.col("cx") != F.col("comp")) & ((F.col("comp") == F.col("major")) | (F.col("x") < F.col("cid"))) & can("vx", "nx", "common", "n_shingles") & first)
     across = across.select(F.least("x", "cid").alias("x"), F.greatest("x", "cid").alias("y")).distinct()
     return components(labels, confirmed(across, sets, percent))
 
