@@ -13,7 +13,8 @@ A list is never paired with itself outright. First each member meets the most ty
 the largest part of its shingles shared), these links are confirmed, and components are formed. Then only pairs across components are
 left, and each is met and confirmed: of each list all but its largest component, against the whole list. Pairs are left out only
 where a component joins them already or where they cannot be similar enough: an intersection holds no shingle that only one
-of the posted classes has, so its size is bounded by what each shares with anybody. Nothing is capped.
+of the posted classes has, so its size is bounded by what each shares with anybody, and two members of one hub share at most
+what neither lacks of it and their further shared shingles. Nothing is capped.
 
 Components grow by minimum labels with pointer jumping, cut to the shared folder each round; nothing is collected.
 
@@ -124,23 +125,34 @@ def full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "cid binary, sig binary, shingles binary").groupBy("cid").agg(F.first("sig").alias("sig"), F.first("shingles").alias("shingles"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of `pairs` (x, y) with enough matching coordinates and 100 * intersection >= percent * union."""
+def met(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """`pairs` (x, y) with linked (enough matching coordinates and 100 * intersection >= percent * union), ny and both (sizes of
+    y and of the intersection) and missing: the bits of y's sorted shingles that x lacks."""
     least = match_threshold(percent)
     left, right = sets.toDF("x", "sig_x", "set_x"), sets.toDF("y", "sig_y", "set_y")
+    names = ["x", "y", "linked", "ny", "both", "missing"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            for i, (sx, sy, x, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 6)))):
-                if (np.frombuffer(sx, np.uint32) == np.frombuffer(sy, np.uint32)).sum() >= least:
-                    a, b = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    keep[i] = 100 * both >= percent * (len(a) + len(b) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep))
+            out = []
+            for sx, sy, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+                a, b = np.frombuffer(x, U64), np.frombuffer(y, U64)
+                at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+                lacks = a[at] != b
+                both = len(b) - int(lacks.sum())
+                linked = (np.frombuffer(sx, np.uint32) == np.frombuffer(sy, np.uint32)).sum() >= least and 100 * both >= percent * (len(a) + len(b) - both)
+                bits = np.packbits(np.concatenate([lacks, np.zeros(-len(lacks) % 64, bool)])).view(np.int64)
+                out.append((bool(linked), len(b), both, bits.tolist()))
+            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], names=names)
+
+    both = pairs.join(left, "x").join(right, "y")
+    return both.select("x", "y", "sig_x", "sig_y", "set_x", "set_y").mapInArrow(run, "x binary, y binary, linked boolean, ny long, both long, missing array<long>")
+
 
-    met = pairs.join(left, "x").join(right, "y")
-    return met.select("x", "y", "sig_x", "sig_y", "set_x", "set_y").mapInArrow(run, "x binary, y binary")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of `pairs` (x, y) that link."""
+    return met(pairs, sets, percent).where("linked").select("x", "y")
 
 
 def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -191,16 +203,24 @@ def link(posted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     stars = posted.join(hubs, "tok").where((F.col("cid") != F.col("hub")) & can("common", "n_shingles", "hc", "hn"))
     stars = stars.groupBy("cid", "hub").agg(F.count("*").alias("lists"), F.first(F.col("hc") / F.col("hn")).alias("part"))
     stars = stars.groupBy("cid").agg(F.max_by("hub", F.struct("part", "lists", "hub")).alias("hub")).toDF("x", "y")
-    labels = components(start, confirmed(stars, sets, percent))
+    seen = cut(met(stars, sets, percent), "stars")
+    labels = components(start, seen.where("linked").select("x", "y"))
+    # What each member lacks of its hub, and how many shingles beside the hub's it shares with anybody.
+    lacks = seen.select(F.col("x").alias("cid"), F.col("y").alias("hub"), F.col("ny").alias("hn"), "both", "missing")
+    posted = posted.join(lacks, "cid", "left").withColumn("extra", F.col("common") - F.col("both"))
 
     own = posted.join(labels, "cid")
     parts = own.groupBy("tok", "comp").agg(F.count("*").alias("n"))
     lists = parts.groupBy("tok").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").select("tok", "major")
     there = cut(own.join(lists, "tok"), "lists")
-    minor = there.where("comp <> major").select("tok", F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n_shingles").alias("nx"), F.col("common").alias("vx"), F.col("toks").alias("tx"))
+    minor = there.where("comp <> major").select("tok", F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n_shingles").alias("nx"), F.col("common").alias("vx"), F.col("toks").alias("tx"), F.col("hub").alias("hx"), F.col("missing").alias("mx"), F.col("extra").alias("ex"))
     # A pair is made in one of its common lists only.
     first = F.col("tok") == F.array_min(F.array_intersect("tx", "toks"))
-    across = minor.join(there, "tok").where((F.col("cx") != F.col("comp")) & ((F.col("comp") == F.col("major")) | (F.col("x") < F.col("cid"))) & can("vx", "nx", "common", "n_shingles") & first)
+    # Of a common hub two members share at most what neither lacks of it; the rest of an intersection is among their extras.
+    gone = F.aggregate(F.zip_with("mx", "missing", lambda a, b: F.bit_count(a.bitwiseOR(b))), F.lit(0), lambda n, k: n + k)
+    most = F.col("hn") - gone + F.least("ex", "extra")
+    apart = F.coalesce((F.col("hx") == F.col("hub")) & (most * (100 + percent) < percent * (F.col("nx") + F.col("n_shingles"))), F.lit(False))
+    across = minor.join(there, "tok").where((F.col("cx") != F.col("comp")) & ((F.col("comp") == F.col("major")) | (F.col("x") < F.col("cid"))) & can("vx", "nx", "common", "n_shingles") & first & ~apart)
     across = across.select(F.least("x", "cid").alias("x"), F.greatest("x", "cid").alias("y")).distinct()
     return components(labels, confirmed(across, sets, percent))
 
