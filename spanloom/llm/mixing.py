@@ -91,7 +91,7 @@ def plan(docs: DataFrame, block: int = 512, bucket: int = 8192, weights: tuple[i
     within = Window.partitionBy("source", "bucket").orderBy("spread", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offset = placed.groupBy("source", "bucket").agg(F.sum("size").alias("held")).withColumn("offset", F.coalesce(F.sum("held").over(along), F.lit(0))).drop("held")
-    offset = offset.join(F.broadcast(sources), offset["source"].eqNullSafe(sources["source"])).select(offset["source"].alias("of"), F.col("bucket").alias("in"), "offset", "rank", "source_size", "target")
+    offset = offset.join(sources, offset["source"].eqNullSafe(sources["source"])).select(offset["source"].alias("of"), F.col("bucket").alias("in"), "offset", "rank", "source_size", "target")
     placed = placed.withColumn("upto", F.sum("size").over(within))
     placed = placed.join(offset, placed["source"].eqNullSafe(offset["of"]) & (placed["bucket"] == offset["in"]))
     placed = placed.select("doc_id", "source", "size", "rank", "source_size", "target", (F.col("offset") + F.col("upto") - F.col("size")).alias("start"))
@@ -107,7 +107,7 @@ def plan(docs: DataFrame, block: int = 512, bucket: int = 8192, weights: tuple[i
     first = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     shared = shared.withColumns({"before": F.coalesce(F.sum("slots").over(first), F.lit(0)), "all": F.sum("slots").over(Window.partitionBy())})
     # A large source's slots are made by many tasks, a bounded run of them at a time.
-    runs = shared.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_RUN)))).repartition("rank", "run")
+    runs = shared.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_RUN)))).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "run")
     slots = runs.withColumn("j", F.explode(F.sequence(F.col("run") * SLOT_RUN, F.least(F.col("slots"), (F.col("run") + 1) * SLOT_RUN) - 1)))
     slots = slots.withColumns({
         "block": permuted(F.pmod(F.col("j"), F.col("blocks")), F.col("blocks"), F.col("rank") * 977 + F.floor(F.col("j") / F.col("blocks"))),
@@ -125,7 +125,7 @@ def taken_blocks(slots: DataFrame, block: int = 512) -> DataFrame:
     # before. Where the short block stands in that pass is one row a source.
     i = F.col("j") - F.col("passes") * F.col("blocks")
     short = slots.where((F.col("pass") == F.col("passes")) & (F.col("block") == F.col("blocks") - 1)).select(F.col("rank").alias("of"), i.alias("short_at"))
-    met = slots.withColumn("i", i).join(F.broadcast(short), F.col("rank") == F.col("of"), "left")
+    met = slots.withColumn("i", i).join(short, F.col("rank") == F.col("of"), "left")
     start = F.col("i") * block - F.when(F.col("short_at") < F.col("i"), F.col("tail")).otherwise(0)
     words = F.when(F.col("pass") < F.col("passes"), F.col("held")).otherwise(F.greatest(F.lit(0), F.least(F.col("held"), F.col("rest") - start)))
     met = met.withColumn("words", words.cast("long"))
