@@ -140,7 +140,7 @@ def mix(docs: DataFrame, block: int = 512, **knobs) -> DataFrame:
     last = F.floor((F.col("start") + F.greatest(F.col("size"), F.lit(1)) - 1) / block)
     pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), last)))
     low, high = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-    pieces = pieces.join(takes, ["rank", "block"], "left")
+    pieces = pieces.join(takes.hint("merge"), ["rank", "block"], "left")  # takes grow with the corpus; they are never broadcast
     part = F.greatest(F.lit(0), F.least(high - F.col("block") * block, F.coalesce("part", F.lit(0))) - (low - F.col("block") * block))
     pieces = pieces.withColumn("words", (F.greatest(high - low, F.lit(0)) * F.coalesce("full", F.lit(0)) + part).cast("long"))
     # (rank, start, doc_id, size) names one row; rows of size 0 can share it and then count together.
