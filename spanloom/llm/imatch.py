@@ -122,7 +122,7 @@ def oracle_sql(cells: int = 32, rare: float = 0.01, common: float = 0.1) -> str:
     code = lambda ts: f"CASE WHEN len({ts}) = 0 THEN '----' ELSE substr(md5(array_to_string({ts}, ' ')), 1, 4) END"
     sets = lambda at: f"list_transform(range({cells}), lambda k: list_filter(ins, lambda t: {digits('t', at)} = k))"
     near = lambda x, y: f"CASE WHEN {x} = {y} THEN 1.0 ELSE len(list_filter(range({2 * cells}), lambda i: substr({x}, i * 4 + 1, 4) <> '----' AND substr({x}, i * 4 + 1, 4) = substr({y}, i * 4 + 1, 4)))::DOUBLE / len(list_filter(range({2 * cells}), lambda i: substr({x}, i * 4 + 1, 4) <> '----' OR substr({y}, i * 4 + 1, 4) <> '----')) END"
-    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, text) AS rid FROM documents),
+    return f"""WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, text) AS rid FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
 nx AS (SELECT *, coalesce(lead(text) OVER (ORDER BY rid), first_value(text) OVER (ORDER BY rid)) AS follows, coalesce(lead(rid) OVER (ORDER BY rid), 1) AS next_rid FROM d),
 e AS (SELECT *, substr(text, 1, length(text) - length(text) // 2) || substr(follows, 1, length(text) // 2) AS edited FROM nx),
 w AS MATERIALIZED (SELECT rid, 0 AS which, {words.format("text")} AS ts FROM e UNION ALL SELECT rid, 1, {words.format("edited")} FROM e),

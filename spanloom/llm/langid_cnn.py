@@ -80,7 +80,7 @@ def train(texts: list[bytes], labels: list[str], dims: int = 8, filters: int = 1
     params = [net.embed, *net.filters, *net.biases, net.out, net.out_bias]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     share = 1 / np.maximum(np.bincount(y, minlength=len(langs)), 1)
-    share = (share / share.mean()).astype(f32)
+    share = (share / max(share.sum(), 1e-9) * len(share)).astype(f32)
     for _ in range(epochs if len(langs) > 1 else 0):
         order = rng.permutation(len(x))
         for a in range(0, len(x), batch):

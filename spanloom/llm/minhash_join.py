@@ -249,8 +249,9 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of `docs`, with all their columns, that stand for their component: one a component. Of rows with equal doc_id and
     text one stays; rows without doc_id stay unless a row with an id is of their component."""
     found = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_kept"])).drop("_kept")
-    return out.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    # The document's own columns travel inside one, so that their names don't matter.
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))
+    return rows.join(found, F.col("_id").eqNullSafe(F.col("_kept"))).dropDuplicates(["_id", "_text"]).select("_row.*")
 
 
 def oracle_sql(percent: int = 85) -> str:

@@ -155,12 +155,12 @@ def repeat(docs: DataFrame, block: int = 512, **knobs) -> DataFrame:
     without words are never taken."""
     takes = mix(docs, block, **knobs).groupBy("doc_id", "size").agg((F.sum("taken") / F.sum("size")).alias("_share"))
     takes = takes.where("size > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_share")
-    marked = docs.withColumn("_n", n_words(F.col("text").cast("string")))
-    met = marked.join(takes, marked["doc_id"].cast("long").eqNullSafe(takes["_id"]) & (F.col("_n") == F.col("_size")))
+    # The document's own columns travel inside one, so that their names don't matter.
     chance = F.pmod(F.xxhash64("doc_id", "text", F.lit("mix")), F.lit(1 << 20)) / (1 << 20)
-    copies = F.floor(F.col("_share") + chance).cast("int")
-    met = met.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    return met.select(*docs.columns)
+    marked = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_own"), n_words(F.col("text").cast("string")).alias("_n"), chance.alias("_chance"))
+    met = marked.join(takes, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
+    copies = F.floor(F.col("_share") + F.col("_chance")).cast("int")
+    return met.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select("_row.*")
 
 
 def oracle_sql(block: int = 512, bucket: int = 8192) -> str:

@@ -42,11 +42,14 @@ def prefixes(x: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
 
 
 class Block:
-    """Inverted files of one block of rows, which are held by ascending vec_id."""
+    """Inverted files of one block of rows. Equal vectors are posted once, with their ids in ascending order."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, m: int):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x, self.m = ids[order], x[order], m
+        rows = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
+        _, first, own = np.unique(rows, return_index=True, return_inverse=True)
+        order = np.lexsort((ids, own))
+        self.ids, self.x, self.m = ids[order], x[first], m
+        self.held = np.searchsorted(own[order], np.arange(len(first) + 1))
         near = prefixes(self.x, pivots, m)
         by = np.argsort(near.ravel(), kind="stable")
         self.rows = (by // m).astype(np.int32)
@@ -54,23 +57,22 @@ class Block:
         self.start = np.searchsorted(near.ravel()[by], np.arange(len(pivots) + 1))
 
     def search(self, query_id: int, q: np.ndarray, near: np.ndarray, k: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.ids)
+        n = len(self.x)
+        at = np.arange(n)
         if n > keep:
             shared = np.zeros(n, np.int32)
             for rank, p in enumerate(near):
                 a, b = self.start[p], self.start[p + 1]
                 shared[self.rows[a:b]] += np.minimum(self.m - rank, self.left[a:b])
-            bound = np.partition(shared, n - keep)[n - keep]
-            above = np.flatnonzero(shared > bound)
-            at = np.concatenate([above, np.flatnonzero(shared == bound)[: keep - len(above)]])  # ties: smaller vec_id
-        else:
-            at = np.arange(n)
-        at = at[self.ids[at] != query_id]
+            at = np.argpartition(shared, n - keep)[n - keep :]
         rows, total = self.x[at], np.zeros(len(at))
         for j in range(rows.shape[1]):  # components in order, so that sums are the same everywhere
             total += (rows[:, j] - q[j]) ** 2
-        best = np.lexsort((self.ids[at], total))[:k]
-        return self.ids[at][best], np.sqrt(total[best])
+        bound = np.partition(total, min(k, len(at) - 1))[min(k, len(at) - 1)]  # k + 1 vectors hold k other rows at least
+        best = np.flatnonzero(total <= bound)
+        found = [(total[i], int(v)) for i in best for v in self.ids[self.held[at[i]] : min(self.held[at[i] + 1], self.held[at[i]] + k + 1)] if v != query_id]
+        found.sort()
+        return np.array([v for _, v in found[:k]], np.int64), np.sqrt(np.array([d for d, _ in found[:k]], np.float64))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = 256, prefix: int = 64, share: float = 0.12, least: int = 1024, block: int = 16384, query_block: int = 8192) -> DataFrame:
@@ -80,8 +82,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = 256,
     sizes = base.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("int")).alias("asked")).orderBy(F.desc("n"), "width").limit(1).collect()
     width, n, asked = (sizes[0]["width"], sizes[0]["n"], sizes[0]["asked"]) if sizes else (1, 0, 0)
     base = base.where(F.size("embedding") == width).groupBy("vec_id", "embedding").agg(F.max("asks").alias("asks"))
-    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
-    centres = np.array([r["embedding"] for r in sample], np.float64).reshape(-1, width)
+    # Pivots: the first distinct vectors of at most 8 x `pivots` rows in the order of a hash of the vectors.
+    sample = base.orderBy(F.xxhash64("embedding"), "vec_id").limit(8 * pivots).collect()
+    centres = np.array(list(dict.fromkeys(tuple(r["embedding"]) for r in sample))[:pivots], np.float64).reshape(-1, width)
     m = min(prefix, len(centres))
     row_blocks, query_blocks = -(-max(n, 1) // block), -(-max(asked, 1) // query_block)
 
