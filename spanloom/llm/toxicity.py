@@ -91,7 +91,7 @@ def density(words: list[str], automaton: ahocorasick.Automaton) -> float:
     return total / (1.0 + math.log1p(len(words) / 200.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 6000, max_clean: int = 12000, least_share: float = 0.005, least_odds: float = 1.0, most_entries: int = 4000) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 6000, max_clean: int = 12000, least_share: float = 0.01, least_odds: float = 2.0, most_entries: int = 4000) -> Lexicon:
     """`labels` has doc_id and toxic (0/1; rows with null are left out); a document labelled both ways counts as toxic."""
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
