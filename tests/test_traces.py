@@ -110,7 +110,7 @@ def test_change_projection_and_retiming_agree_on_a_chain(spark):
     server = {"kind": "SERVER"}
     rows = [span("a", 0, 100, **server), span("b", 10, 90, "a", **server), span("c", 20, 80, "b", **server)]
     r = whatif.latency_change(table(spark, rows), -20, ("S1", "c")).first()
-    assert (r["matches"], r["change"], r["projected_latency"], r["retimed_gain"]) == (1, -20, 80 + 20, 20) or (r["change"], r["retimed_gain"]) == (-20, 20)
+    assert (r["matches"], r["change"], r["retimed_gain"]) == (1, -20, 20)
     r = whatif.latency_change(table(spark, rows), 30, ("S1", "c")).first()
     assert (r["change"], r["projected_latency"]) == (30, 130)
     assert {tuple(x["path"])[-1]: x["inc"] for x in whatif.projected_profile(table(spark, rows), 30, ("S1", "c")).collect()} == {"[S1] a": 130, "[S1] b": 110, "[S1] c": 90}
