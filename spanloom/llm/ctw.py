@@ -7,8 +7,8 @@ weights that these probabilities imply, and adds up the code length of every byt
 
 Counting covers all training texts: partitions count their grams of depth + 1 bytes (and of all shorter contexts) and words,
 and the sums meet in buckets by hash. Contexts seen less often than the share 1 / `contexts` of all bytes are pruned, which
-bounds those kept at each depth by `contexts`; if all kept grams exceed `max_grams`, the bar is doubled until they don't. Only this
-bounded tree leaves the cluster. A node's pruned children count as predicted by the node itself.
+bounds those kept at each depth by `contexts`; if all kept grams exceed `max_grams`, the bar is doubled until they don't. The bar is
+found on the cluster, from counts of grams by bar; only the tree bounded so leaves it. A node's pruned children count as predicted by the node itself.
 
 Base score: add-one unigrams. Words with at least the share 1 / 2**20 of all tokens (so at most 2**20 of them) are looked up from
 memory; the others of a slice of texts go to the bucket that holds their counts and come back as sums a text. Both are exact.
@@ -34,6 +34,7 @@ from .common import cut
 U64 = textbuf.U64
 END = U64(0x5851F42D4C957F2D)  # the end token's hash
 HEAD = 1 << 20
+BARS = 40  # how often the bar of contexts may be doubled
 CACHE_BITS = 21
 LOG2 = math.log10(2.0)
 
@@ -141,7 +142,7 @@ def _bucket_count(kind: int, buckets: int) -> int:
 
 def count(texts: DataFrame, depth: int, buckets: int, least: float) -> DataFrame:
     """kind (0: words; 1 + d: grams with d bytes of context), bucket, n (their sum), keys, counts: grams only of contexts seen
-    `least` times. `texts` has text alone."""
+    `least` times; held: how many of the grams stay if that bar is doubled 0, 1, 2... times. `texts` has text alone."""
     row = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def flush(words: list, grams: list) -> Iterator[pa.RecordBatch]:
@@ -176,15 +177,14 @@ def count(texts: DataFrame, depth: int, buckets: int, least: float) -> DataFrame
     def meet(table: pa.Table) -> pa.Table:
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
         k, n = merged([np.frombuffer(x, U64) for x in table.column("keys").to_pylist()], [np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
-        total = int(n.sum())
+        total, held = int(n.sum()), np.zeros(BARS, np.int64)
         if kind:
-            context = k >> U64(8)
-            at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-            keep = np.repeat(np.add.reduceat(n, at) >= least, np.diff(np.append(at, len(k))))
-            k, n = k[keep], n[keep]
-        return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "n": pa.array([total], pa.int64()), "keys": pa.array([k.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
+            seen = _seen(k, n)
+            k, n, seen = k[seen >= least], n[seen >= least], np.sort(seen[seen >= least])
+            held = len(seen) - np.searchsorted(seen, least * 2.0 ** np.arange(BARS))
+        return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "n": pa.array([total], pa.int64()), "keys": pa.array([k.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary()), "held": pa.array([held.tolist()], pa.list_(pa.int64()))})
 
-    return texts.mapInArrow(run, "kind int, bucket int, keys binary, counts binary").groupBy("kind", "bucket").applyInArrow(meet, "kind int, bucket int, n long, keys binary, counts binary")
+    return texts.mapInArrow(run, "kind int, bucket int, keys binary, counts binary").groupBy("kind", "bucket").applyInArrow(meet, "kind int, bucket int, n long, keys binary, counts binary, held array<long>")
 
 
 _cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -208,7 +208,7 @@ def _cached_log2(tree: Tree, name: int, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, trains: Column, depth: int = 5, contexts: int = 1 << 17, max_grams: int = 2_000_000, bucket_mb: int = 16) -> DataFrame:
+def score(docs: DataFrame, trains: Column, depth: int = 6, contexts: int = 1 << 20, max_grams: int = 2_000_000, bucket_mb: int = 16) -> DataFrame:
     """doc_id, trained, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each row; those where `trains` holds
     are learnt from."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(trains, F.lit(False)).alias("trained"))
@@ -219,14 +219,21 @@ def score(docs: DataFrame, trains: Column, depth: int = 5, contexts: int = 1 <<
     counted = cut(count(rows.where("trained").select("text"), depth, buckets, least), "counts")
 
     # The tree is bounded by `contexts` and `max_grams`; the word table stays on the cluster but for its bounded head.
+    held = {r["bar"]: r["n"] for r in counted.where("kind > 0").select(F.posexplode("held").alias("bar", "n")).groupBy("bar").agg(F.sum("n").alias("n")).collect()}
+    bar = least * 2.0 ** min((i for i, n in held.items() if n <= max_grams), default=0)
+
+    def frequented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, k, n in zip(*(c.to_pylist() for c in batch.columns)):
+                k, n = np.frombuffer(k, U64), np.frombuffer(n, np.int64)
+                keep = _seen(k, n) >= bar
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([k[keep].tobytes()], pa.binary()), pa.array([n[keep].tobytes()], pa.binary())], names=["kind", "keys", "counts"])
+
     grams: list[list] = [[[], []] for _ in range(depth + 1)]
-    for r in counted.where("kind > 0").toLocalIterator():
+    for r in counted.where("kind > 0").select("kind", "keys", "counts").mapInArrow(frequented, "kind int, keys binary, counts binary").collect():
         grams[r["kind"] - 1][0].append(np.frombuffer(r["keys"], U64))
         grams[r["kind"] - 1][1].append(np.frombuffer(r["counts"], np.int64))
     levels = [merged(*x) if x[0] else (np.zeros(0, U64), np.zeros(0, np.int64)) for x in grams]
-    while sum(len(k) for k, _ in levels) > max_grams:
-        least *= 2
-        levels = [_pruned(k, n, least) for k, n in levels]
     tree = Tree.build(levels)
     words = counted.where("kind = 0")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("keys") / 8), F.lit(0)).cast("long").alias("v")).collect()[0]
@@ -276,13 +283,11 @@ def score(docs: DataFrame, trains: Column, depth: int = 5, contexts: int = 1 <<
     return done.select("doc_id", "trained", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", (-F.col("score") / LOG2 / (F.col("bytes") + 1)).alias("bits_per_byte"))
 
 
-def _pruned(keys: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _seen(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each sorted gram's context was seen."""
     context = keys >> U64(8)
     at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    if not len(at):
-        return keys, counts
-    keep = np.repeat(np.add.reduceat(counts, at) >= least, np.diff(np.append(at, len(keys))))
-    return keys[keep], counts[keep]
+    return np.repeat(np.add.reduceat(counts, at), np.diff(np.append(at, len(keys)))) if len(at) else counts
 
 
 def _scored(rows: DataFrame, model, depth: int, buckets: int) -> DataFrame:
