@@ -106,21 +106,25 @@ class Tree:
         return cls(out[::-1])
 
     def log2(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of each gram's byte in its context."""
-        byte, out = (keys & U64(255)).astype(np.int64), np.zeros(len(keys))
+        """Log probability of each gram's byte in its context. Each depth is looked up once for each of its grams, in order."""
+        out = np.zeros(len(keys))
+        if not len(keys):
+            return out
+        grams = [np.unique(keys & U64((1 << (8 * (d + 1))) - 1), return_inverse=True) for d in range(len(self.levels))]
         for level in range(8):
-            node = ((1 << level) | (byte >> (8 - level))).astype(U64)
-            bit = ((byte >> (7 - level)) & 1).astype(bool)
             p, deeper = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
             for depth in range(len(self.levels) - 1, -1, -1):
                 k, a, b, weight = self.levels[depth]
                 if not len(k):
                     continue
-                want = (((keys >> U64(8)) & U64((1 << (8 * depth)) - 1)) << U64(8)) | node
+                own, back = grams[depth]
+                byte = (own & U64(255)).astype(np.int64)
+                want = (own & ~U64(255)) | ((1 << level) | (byte >> (8 - level))).astype(U64)
+                bit = ((byte >> (7 - level)) & 1).astype(bool)
                 at = np.minimum(np.searchsorted(k, want), len(k) - 1)
-                hit = k[at] == want
-                own = (np.where(bit, b[at], a[at]) + 0.5) / (a[at].astype(np.float64) + b[at] + 1.0)
-                p = np.where(hit, np.where(deeper | (weight[at] < 1), weight[at] * own + (1 - weight[at]) * p, own), p)
+                value = (np.where(bit, b[at], a[at]) + 0.5) / (a[at].astype(np.float64) + b[at] + 1.0)
+                hit, value, w = (k[at] == want)[back], value[back], weight[at].astype(np.float64)[back]
+                p = np.where(hit, np.where(deeper, w * value + (1 - w) * p, value), p)
                 deeper |= hit
             out += np.log2(p)
         return out
