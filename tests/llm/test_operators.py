@@ -310,3 +310,16 @@ def test_pipeline(spark, docs, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     ids = {r["doc_id"] for r in out.collect()}
     assert out.columns == ["doc_id", "n_tokens", "ids", "round_trip"] and not ids & {0, 7, 61, 62, 63, 64, 65, 66, 67}
+
+
+def test_pruned_contexts_are_predicted_by_their_node():
+    text = np.frombuffer(b"abababacacbcbcabbbca" * 20, np.uint8).astype(np.uint64)
+    keys, counts = np.unique((text[:-1] << np.uint64(8)) | text[1:], return_counts=True)
+    shallow = ctw.shorter(keys, counts, 0)
+    held = (keys >> np.uint64(8)) == ord("a")
+    tree, flat = ctw.Tree.build([shallow, (keys[held], counts[held])]), ctw.Tree.build([shallow])
+    pruned = np.array([(ord("b") << 8) | x for x in b"abc"], np.uint64)
+    assert np.allclose(tree.log2(pruned), flat.log2(pruned))
+    every = np.arange(256, dtype=np.uint64)
+    for context in b"abz":
+        assert abs(np.exp2(tree.log2((np.uint64(context) << np.uint64(8)) | every)).sum() - 1) < 1e-6
