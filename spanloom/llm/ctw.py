@@ -5,10 +5,14 @@ among the training texts; each such node has the Krichevsky-Trofimov estimate of
 probability P = (KT + product of its children's P) / 2. Scoring mixes the estimates of all depths along the context by the
 weights that these probabilities imply, and adds up the code length of every byte and of an end mark.
 
-Counting covers all training texts: partitions count their grams of depth + 1 bytes (and of all shorter contexts) and words,
-and the sums meet in buckets by hash. Contexts seen less often than the share 1 / `contexts` of all bytes are pruned, which
-bounds those kept at each depth by `contexts`; if all kept grams exceed `max_grams`, the bar is doubled until they don't. The bar is
-found on the cluster, from counts of grams by bar; only the tree bounded so leaves it. A node's pruned children count as predicted by the node itself.
+Nothing of the tree is bounded by a share of the corpus: every context that training texts hold `least` times is kept, so the model
+grows with the input, and it stays on the cluster. A context seen less often has no node; its node above predicts for it, as that one's own child.
+
+1. Partitions emit slices of texts: the distinct grams (a byte and the `depth` bytes before it) of a slice with how often training texts in it hold
+   them, dealt to buckets by the hash of the nearest SPLIT bytes of context. So a bucket holds whole subtrees below depth SPLIT.
+2. A bucket sums its grams, grows its subtrees, and mixes for every gram asked for the estimates from `depth` up to SPLIT. It passes up the sums that
+   the nodes at depth SPLIT - 1 need. Nodes above SPLIT meet on the driver: they are at most 256 ** SPLIT grams, however large the corpus.
+3. These top levels are broadcast, buckets finish their grams and send each slice its own; a slice adds up its texts.
 
 Base score: add-one unigrams. Words with at least the share 1 / 2**20 of all tokens (so at most 2**20 of them) are looked up from
 memory; the others of a slice of texts go to the bucket that holds their counts and come back as sums a text. Both are exact.
@@ -34,8 +38,9 @@ from .common import cut
 U64 = textbuf.U64
 END = U64(0x5851F42D4C957F2D)  # the end token's hash
 HEAD = 1 << 20
-BARS = 40  # how often the bar of contexts may be doubled
-CACHE_BITS = 21
+SPLIT = 3  # nodes with fewer bytes of context are shared by all buckets
+PARTS = 16  # groups in which the sums for the top levels meet
+MOST_GRAMS, MOST_BYTES = 2_000_000, 32 << 20  # of a slice
 LOG2 = math.log10(2.0)
 
 
@@ -86,48 +91,75 @@ class Tree:
 
     levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
+    first: int = 0  # the depth of levels[0]
+
     @classmethod
-    def build(cls, grams: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
-        out, child = [], None
-        for depth in range(len(grams) - 1, -1, -1):
-            k, a, b = bit_nodes(*grams[depth])
+    def grow(cls, grams: list[tuple[np.ndarray, np.ndarray]], first: int = 0, below: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[Tree, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The tree of depths first, first + 1..., and what it passes up: parents at depth first - 1, the sums of their
+        children's log probabilities and of their counts. `below`: the same from deeper levels, if there are any."""
+        out, child = [], below
+        for depth in range(first + len(grams) - 1, first - 1, -1):
+            k, a, b = bit_nodes(*grams[depth - first])
             own = kt(a, b)
             weight, total = np.ones(len(k)), own
             if child is not None and len(k):
                 ck, cp, cn = child
-                at = np.searchsorted(k, ck & U64((1 << (8 * (depth + 1))) - 1))
-                below, held = np.bincount(at, cp, len(k)), np.bincount(at, cn, len(k))
-                below = below + own * (a + b - held) / (a + b)
+                at = np.searchsorted(k, ck)
+                under, held = np.bincount(at, cp, len(k)), np.bincount(at, cn, len(k))
+                under = under + own * (a + b - held) / (a + b)
                 has = held > 0
-                weight = np.where(has, 1 / (1 + np.exp(np.clip(below - own, -700, 700))), 1.0)
-                total = np.where(has, np.logaddexp(own, below) - math.log(2), own)
+                weight = np.where(has, 1 / (1 + np.exp(np.clip(under - own, -700, 700))), 1.0)
+                total = np.where(has, np.logaddexp(own, under) - math.log(2), own)
             out.append((k, a.astype(np.float32), b.astype(np.float32), weight.astype(np.float32)))
-            child = (k, total, a + b)
-        return cls(out[::-1])
-
-    def log2(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of each gram's byte in its context. Each depth is looked up once for each of its grams, in order."""
-        out = np.zeros(len(keys))
-        if not len(keys):
-            return out
-        grams = [np.unique(keys & U64((1 << (8 * (d + 1))) - 1), return_inverse=True) for d in range(len(self.levels))]
-        for level in range(8):
-            p, deeper = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
-            for depth in range(len(self.levels) - 1, -1, -1):
-                k, a, b, weight = self.levels[depth]
-                if not len(k):
-                    continue
-                own, back = grams[depth]
-                byte = (own & U64(255)).astype(np.int64)
+            parent, back = np.unique(k & U64((1 << (8 * depth)) - 1 if depth else 255), return_inverse=True)
+            child = (parent, np.bincount(back, total, len(parent)), np.bincount(back, a + b, len(parent)))
+        return cls(out[::-1], first), child
+
+    @classmethod
+    def build(cls, grams: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
+        return cls.grow(grams)[0]
+
+    def climb(self, keys: np.ndarray, p: np.ndarray | None = None) -> np.ndarray:
+        """Probability of each of the eight bits (rows) of each gram's byte, mixed from the deepest level up to `first`; nan where there is no
+        node. `p`: the same from deeper levels. Each depth is looked up once for each of its grams, in order."""
+        p = np.full((8, len(keys)), np.nan) if p is None else p.astype(np.float64)
+        for depth in range(self.first + len(self.levels) - 1, self.first - 1, -1):
+            k, a, b, weight = self.levels[depth - self.first]
+            if not len(k) or not len(keys):
+                continue
+            own, back = np.unique(keys & U64((1 << (8 * (depth + 1))) - 1), return_inverse=True)
+            byte = (own & U64(255)).astype(np.int64)
+            for level in range(8):
                 want = (own & ~U64(255)) | ((1 << level) | (byte >> (8 - level))).astype(U64)
                 bit = ((byte >> (7 - level)) & 1).astype(bool)
                 at = np.minimum(np.searchsorted(k, want), len(k) - 1)
                 value = (np.where(bit, b[at], a[at]) + 0.5) / (a[at].astype(np.float64) + b[at] + 1.0)
                 hit, value, w = (k[at] == want)[back], value[back], weight[at].astype(np.float64)[back]
-                p = np.where(hit, np.where(deeper, w * value + (1 - w) * p, value), p)
-                deeper |= hit
-            out += np.log2(p)
-        return out
+                p[level] = np.where(hit, np.where(np.isnan(p[level]), value, w * value + (1 - w) * p[level]), p[level])
+        return p
+
+    def log2(self, keys: np.ndarray, p: np.ndarray | None = None) -> np.ndarray:
+        """Log probability of each gram's byte in its context."""
+        p = self.climb(keys, p)
+        return np.log2(np.where(np.isnan(p), 0.5, p)).sum(0)
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """An array by planes of its bytes, compressed: neighbours in a sorted list share most of them."""
+    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), "zstd", asbytes=True)
+
+
+def widened(data: bytes, kind: type) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def shipped(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
 def _packed(kind: int, keys: np.ndarray, counts: np.ndarray, by: np.ndarray, many: int) -> Iterator[tuple[int, int, bytes, bytes]]:
@@ -140,106 +172,159 @@ def _packed(kind: int, keys: np.ndarray, counts: np.ndarray, by: np.ndarray, man
         yield kind, int(m), keys[at].tobytes(), counts[at].tobytes()
 
 
-def _bucket_count(kind: int, buckets: int) -> int:
-    return buckets if kind == 0 else max(1, min(buckets, 8 ** (kind - 1)))
+def _dealt(keys: np.ndarray, depth: int, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted grams by bucket, and where each bucket ends in it. Within a bucket they stay sorted."""
+    bucket = (textbuf.mix((keys >> U64(8)) & U64((1 << (8 * min(SPLIT, depth))) - 1)) % U64(many)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(many + 1))
+
 
+def _rows(schema: pa.Schema, rows: list[dict], step: int = 64) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(rows), step):
+        yield pa.RecordBatch.from_pylist(rows[a : a + step], schema)
 
-def count(texts: DataFrame, depth: int, buckets: int, least: float) -> DataFrame:
-    """kind (0: words; 1 + d: grams with d bytes of context), bucket, n (their sum), keys, counts: grams only of contexts seen
-    `least` times; held: how many of the grams stay if that bar is doubled 0, 1, 2... times. `texts` has text alone."""
-    row = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
-    def flush(words: list, grams: list) -> Iterator[pa.RecordBatch]:
-        rows = [*_packed(0, *(w := merged(*zip(*words))), w[0], _bucket_count(0, buckets))]
-        own = merged(*zip(*grams))
-        for d in range(depth, -1, -1):
-            own = own if d == depth else shorter(*own, d)
-            rows += _packed(1 + d, *own, own[0] >> U64(8), _bucket_count(1 + d, buckets))
-        for a in range(0, len(rows), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[a : a + 256]), row.types)], schema=row)
+PASSED = "slice long, kind int, bucket int, keys binary, counts binary, texts binary"
+
+
+def count(rows: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """Rows of three kinds. 0: words of training texts (bucket, keys, counts). 1: grams of a slice (slice, bucket, keys, counts in training
+    texts, squeezed). 2: some texts of a slice (slice, texts: a batch of doc_id, text, trained). `rows` has doc_id, text, trained."""
+    if not 0 <= depth <= 6:
+        raise ValueError("a gram has at most seven bytes")
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    schema = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in PASSED.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, grams, held = [], [], 0
+        piece, words, grams, held, size = TaskContext.get().partitionId() << 32, [], [], 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if words:
+                w = merged(*zip(*words))
+                yield from _rows(schema, [{"kind": 0, "bucket": m, "keys": k, "counts": n} for _, m, k, n in _packed(0, *w, w[0], buckets)])
+            k, n = merged(*zip(*grams))
+            order, ends = _dealt(k, depth, buckets)
+            own = ((int(m), order[ends[m] : ends[m + 1]]) for m in np.flatnonzero(np.diff(ends)))
+            yield from _rows(schema, [{"kind": 1, "slice": piece, "bucket": m, "keys": squeezed(k[at]), "counts": squeezed(n[at].astype(np.uint32))} for m, at in own])
+
         for batch in batches:
-            data, offsets = textbuf.buffer(batch.column(0))
+            data, offsets = textbuf.buffer(batch.column(1))
+            learnt = np.array(batch.column(2), dtype=bool)
             for i, j in textbuf.slices(offsets):
-                w = textbuf.Words(data, offsets, i, j, textbuf.SPACE)
-                k, n = np.unique(w.hashes(), return_counts=True)
-                words.append((np.append(k, END), np.append(n, j - i).astype(np.int64)))
-                k, n = np.unique(textbuf.grams(w.low, offsets[i : j + 1] - offsets[i], depth)[0], return_counts=True)
-                grams.append((k, n.astype(np.int64)))
-                held += len(k) + len(words[-1][0])
-                if held > 3_000_000:
-                    words, grams = [merged(*zip(*words))], [merged(*zip(*grams))]
-                    held = len(words[0][0]) + len(grams[0][0])
-                    if held > 2_000_000:
-                        yield from flush(words, grams)
-                        words, grams, held = [], [], 0
-        if words:
-            yield from flush(words, grams)
-
-    def meet(table: pa.Table) -> pa.Table:
-        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-        k, n = merged([np.frombuffer(x, U64) for x in table.column("keys").to_pylist()], [np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
-        total, held = int(n.sum()), np.zeros(BARS, np.int64)
-        if kind:
-            seen = _seen(k, n)
-            k, n, seen = k[seen >= least], n[seen >= least], np.sort(seen[seen >= least])
-            held = len(seen) - np.searchsorted(seen, least * 2.0 ** np.arange(BARS))
-        return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "n": pa.array([total], pa.int64()), "keys": pa.array([k.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary()), "held": pa.array([held.tolist()], pa.list_(pa.int64()))})
-
-    return texts.mapInArrow(run, "kind int, bucket int, keys binary, counts binary").groupBy("kind", "bucket").applyInArrow(meet, "kind int, bucket int, n long, keys binary, counts binary, held array<long>")
-
-
-_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _cached_log2(tree: Tree, name: int, keys: np.ndarray) -> np.ndarray:
-    """As tree.log2, through a table of bounded size with one place for each hash."""
-    if name not in _cache:
-        _cache.clear()
-        _cache[name] = (np.full(1 << CACHE_BITS, ~U64(0)), np.zeros(1 << CACHE_BITS))
-    held, value = _cache[name]
-    place = lambda k: ((k * U64(0x9E3779B97F4A7C15)) >> U64(64 - CACHE_BITS)).astype(np.int64)
-    at = place(keys)
-    out = value[at]
-    miss = np.flatnonzero(held[at] != keys)
-    if len(miss):
-        new, back = np.unique(keys[miss], return_inverse=True)
-        found = tree.log2(new)
-        out[miss] = found[back]
-        held[place(new)], value[place(new)] = new, found
-    return out
-
-
-def score(docs: DataFrame, trains: Column, depth: int = 6, contexts: int = 1 << 20, max_grams: int = 2_000_000, bucket_mb: int = 16) -> DataFrame:
+                w, own = textbuf.Words(data, offsets, i, j, textbuf.SPACE), learnt[i:j]
+                if own.any():
+                    k, n = np.unique(w.hashes()[np.repeat(own, w.counts)], return_counts=True)
+                    words.append(merged([k, np.array([END])], [n.astype(np.int64), np.array([own.sum()])]))
+                keys, sizes = textbuf.grams(w.low, offsets[i : j + 1] - offsets[i], depth)
+                k, n = np.unique((keys << U64(1)) | np.repeat(own, sizes).astype(U64), return_counts=True)
+                grams.append(merged([k >> U64(1)], [np.where(k & U64(1), n, 0).astype(np.int64)]))
+                yield from _rows(schema, [{"kind": 2, "slice": piece, "texts": shipped(batch.slice(i, j - i))}])
+                held, size = held + len(grams[-1][0]) + (len(words[-1][0]) if words else 0), size + int(offsets[j] - offsets[i])
+                if held > 3 * MOST_GRAMS // 2 or size > MOST_BYTES:
+                    words, grams = [merged(*zip(*words))] if words else [], [merged(*zip(*grams))]
+                    held = len(grams[0][0]) + (len(words[0][0]) if words else 0)
+                    if held > MOST_GRAMS or size > MOST_BYTES:
+                        yield from flush()
+                        piece, words, grams, held, size = piece + 1, [], [], 0, 0
+        if grams:
+            yield from flush()
+
+    return rows.select("doc_id", "text", "trained").mapInArrow(run, PASSED)
+
+
+def _kept(levels: list[tuple[np.ndarray, np.ndarray]], least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(k[m], n[m]) for k, n, m in ((k, n, _seen(k, n) >= least) for k, n in levels)]
+
+
+def _levels(keys: np.ndarray, counts: np.ndarray, first: int, last: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Grams with contexts of first..last bytes, from those of `last` bytes."""
+    out = [(keys, counts)]
+    for d in range(last - 1, first - 1, -1):
+        out.append(shorter(*out[-1], d))
+    return out[::-1]
+
+
+GROWN = "bucket int, part int, keys binary, values binary, held binary, slices array<long>, places array<binary>, grams binary, counts binary"
+
+
+def grow(counted: DataFrame, depth: int, least: int) -> DataFrame:
+    """Rows of two kinds. A bucket's grams (part is null): keys, values (eight probabilities each, mixed from `depth` up to SPLIT), and for each of
+    its slices the places of its grams among them. Sums for the levels above (part): keys, values, held of nodes; grams, counts."""
+    split = min(SPLIT, depth)
+
+    def run(table: pa.Table) -> pa.Table:
+        asked = [widened(x, np.uint64) for x in table.column("keys").to_pylist()]
+        keys, counts = merged(asked, [widened(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist()])
+        seen = counts > 0
+        levels = _levels(keys[seen], counts[seen], split, depth)
+        tree, (up, total, held) = Tree.grow(_kept(levels, least), split)
+        bucket = table.column("bucket")[0].as_py()
+        p = np.ascontiguousarray(tree.climb(keys).astype(np.float32).T)
+        rows = [{"bucket": bucket, "keys": squeezed(keys), "values": p.tobytes(), "slices": table.column("slice").to_pylist(), "places": [squeezed(np.searchsorted(keys, x).astype(np.int32)) for x in asked]}]
+        if split:
+            k, n = shorter(*levels[0], split - 1)
+            for part in range(PARTS):
+                a, b = (textbuf.mix(x >> U64(8)) % U64(PARTS) == part for x in (up, k))
+                if b.any():
+                    rows.append({"bucket": bucket, "part": part, "keys": up[a].tobytes(), "values": total[a].tobytes(), "held": held[a].tobytes(), "grams": k[b].tobytes(), "counts": n[b].tobytes()})
+        kinds = {"int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
+        return pa.Table.from_pylist(rows, pa.schema([(n, kinds[t]) for n, t in (x.split() for x in GROWN.split(", "))]))
+
+    return counted.where("kind = 1").select("slice", "bucket", "keys", "counts").groupBy("bucket").applyInArrow(run, GROWN)
+
+
+def top(grown: DataFrame, depth: int, least: int) -> Tree:
+    """The levels above SPLIT, from what buckets passed up: summed on the cluster, at most 256 ** SPLIT grams."""
+    split = min(SPLIT, depth)
+    if not split:
+        return Tree()
+
+    def run(table: pa.Table) -> pa.Table:
+        read = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
+        up, total = merged(read("keys", U64), read("values", np.float64))
+        held = merged(read("keys", U64), read("held", np.float64))[1]
+        k, n = merged(read("grams", U64), read("counts", np.int64))
+        return pa.table({c: pa.array([x.tobytes()], pa.binary()) for c, x in (("keys", up), ("values", total), ("held", held), ("grams", k), ("counts", n))})
+
+    kind = {"keys": U64, "values": np.float64, "held": np.float64, "grams": U64, "counts": np.int64}
+    found = grown.where("part is not null").select("part", *kind).groupBy("part").applyInArrow(run, ", ".join(f"{c} binary" for c in kind)).collect()
+    x = {c: [np.frombuffer(r[c], t) for r in found] or [np.zeros(0, t)] for c, t in kind.items()}
+    up, total = merged(x["keys"], x["values"])
+    held = merged(x["keys"], x["held"])[1]
+    return Tree.grow(_kept(_levels(*merged(x["grams"], x["counts"]), 0, split - 1), least), 0, (up, total, held))[0]
+
+
+def finished(grown: DataFrame, tree) -> DataFrame:
+    """slice, bucket, values: log2 probabilities of the grams that a slice has in a bucket, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("values", pa.binary())])
+        for batch in batches:
+            for i in range(len(batch)):
+                bucket, keys, p, slices, places = (c[i].as_py() for c in batch.columns)
+                value = tree.value.log2(widened(keys, np.uint64), np.frombuffer(p, np.float32).reshape(-1, 8).T).astype(np.float32)
+                yield from _rows(schema, [{"slice": s, "bucket": bucket, "values": squeezed(value[widened(at, np.int32)])} for s, at in zip(slices, places)])
+
+    return grown.where("part is null").select("bucket", "keys", "values", "slices", "places").mapInArrow(run, "slice long, bucket int, values binary")
+
+
+def score(docs: DataFrame, trains: Column, depth: int = 6, least: int = 2, bucket_mb: int = 16) -> DataFrame:
     """doc_id, trained, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each row; those where `trains` holds
-    are learnt from."""
+    are learnt from. `least`: how often training texts must hold a context for it to have a node, whatever their size."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(trains, F.lit(False)).alias("trained"))
-    sums = rows.where("trained").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("texts")).collect()[0]
-    size = sums["bytes"] + sums["texts"]
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count("*")).collect()[0][0]
     buckets = int(min(65536, max(16, -(-size // (bucket_mb << 20)))))
-    least = max(2.0, size / contexts)
-    counted = cut(count(rows.where("trained").select("text"), depth, buckets, least), "counts")
+    counted = cut(count(rows, depth, buckets), "counts")
+    grown = cut(grow(counted, depth, least), "grown")
+    tree = docs.sparkSession.sparkContext.broadcast(top(grown, depth, least))
+    values = finished(grown, tree)
 
-    # The tree is bounded by `contexts` and `max_grams`; the word table stays on the cluster but for its bounded head.
-    held = {r["bar"]: r["n"] for r in counted.where("kind > 0").select(F.posexplode("held").alias("bar", "n")).groupBy("bar").agg(F.sum("n").alias("n")).collect()}
-    bar = least * 2.0 ** min((i for i, n in held.items() if n <= max_grams), default=0)
+    # The word table stays on the cluster but for its bounded head.
+    def totalled(table: pa.Table) -> pa.Table:
+        k, n = merged([np.frombuffer(x, U64) for x in table.column("keys").to_pylist()], [np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()])
+        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "n": pa.array([int(n.sum())], pa.int64()), "keys": pa.array([k.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
 
-    def frequented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for kind, k, n in zip(*(c.to_pylist() for c in batch.columns)):
-                k, n = np.frombuffer(k, U64), np.frombuffer(n, np.int64)
-                keep = _seen(k, n) >= bar
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([k[keep].tobytes()], pa.binary()), pa.array([n[keep].tobytes()], pa.binary())], names=["kind", "keys", "counts"])
-
-    grams: list[list] = [[[], []] for _ in range(depth + 1)]
-    for r in counted.where("kind > 0").select("kind", "keys", "counts").mapInArrow(frequented, "kind int, keys binary, counts binary").collect():
-        grams[r["kind"] - 1][0].append(np.frombuffer(r["keys"], U64))
-        grams[r["kind"] - 1][1].append(np.frombuffer(r["counts"], np.int64))
-    levels = [merged(*x) if x[0] else (np.zeros(0, U64), np.zeros(0, np.int64)) for x in grams]
-    tree = Tree.build(levels)
-    words = counted.where("kind = 0")
+    words = cut(counted.where("kind = 0").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(totalled, "bucket int, n long, keys binary, counts binary"), "words")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("keys") / 8), F.lit(0)).cast("long").alias("v")).collect()[0]
     tokens, types = totals["n"], totals["v"]
 
@@ -253,8 +338,8 @@ def score(docs: DataFrame, trains: Column, depth: int = 6, contexts: int = 1 <<
     head = words.select("keys", "counts").mapInArrow(frequent, "keys binary, counts binary").collect()
     hk, hn = merged([np.frombuffer(r["keys"], U64) for r in head] or [np.zeros(0, U64)], [np.frombuffer(r["counts"], np.int64) for r in head] or [np.zeros(0, np.int64)])
     bottom = math.log10(tokens + types + 1)
-    model = docs.sparkSession.sparkContext.broadcast((tree, hk, np.log10(hn + 1.0) - bottom))
-    scored = cut(_scored(rows, model, depth, buckets), "scored")
+    model = docs.sparkSession.sparkContext.broadcast((hk, np.log10(hn + 1.0) - bottom))
+    scored = cut(_scored(counted.where("kind = 2").select("slice", "texts"), values, model, depth, buckets), "scored")
 
     def looked_up(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, counts = (np.frombuffer(right.column(c)[0].as_py(), t) if len(right) else np.zeros(0, t) for c, t in (("keys", U64), ("counts", np.int64)))
@@ -294,36 +379,53 @@ def _seen(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.add.reduceat(counts, at), np.diff(np.append(at, len(keys)))) if len(at) else counts
 
 
-def _scored(rows: DataFrame, model, depth: int, buckets: int) -> DataFrame:
+def _scored(texts: DataFrame, values: DataFrame, model, depth: int, buckets: int) -> DataFrame:
     """Rows of two kinds. A text: slice, place (its number there), doc_id, trained, n_tokens, and of the frequent words n_known and
     base_score; score, bytes. Rare words of a slice in one bucket: slice, bucket, hashes, places (the texts they are in)."""
     schema = "slice long, place int, doc_id long, trained boolean, n_tokens long, n_known long, base_score double, score double, bytes long, bucket int, hashes binary, places binary"
     kinds = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in schema.split(", "))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, hk, hv = model.value
-        name, piece = id(tree), TaskContext.get().partitionId() << 32
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return kinds.empty_table()
+        hk, hv = model.value
+        piece, out, first, hashes, places = left.column("slice")[0].as_py(), [], 0, [], []
+        batches = left.column("texts").to_pylist()
+        read = lambda x: pa.ipc.open_stream(x).read_all().combine_chunks()
+        every = []
         for batch in batches:
-            data, offsets = textbuf.buffer(batch.column(1))
-            for i, j in textbuf.slices(offsets):
-                n = j - i
-                w = textbuf.Words(data, offsets, i, j, textbuf.SPACE)
-                keys, sizes = textbuf.grams(w.low, offsets[i : j + 1] - offsets[i], depth)
-                total = np.add.reduceat(_cached_log2(tree, name, keys), np.concatenate([[0], np.cumsum(sizes)[:-1]])) * LOG2
-                h, place = np.append(w.hashes(), np.full(n, END)), np.append(np.repeat(np.arange(n), w.counts), np.arange(n))
-                own, back = np.unique(h, return_inverse=True)
-                at = np.minimum(np.searchsorted(hk, own), max(0, len(hk) - 1))
-                known = (hk[at] == own) if len(hk) else np.zeros(len(own), bool)
-                value = np.where(known, hv[at], 0.0) if len(hk) else np.zeros(len(own))
-                base, some = np.bincount(place, value[back], n), np.bincount(place, known[back], n).astype(np.int64)
-                texts = {"slice": np.full(n, piece), "place": np.arange(n, dtype=np.int32), "n_tokens": w.counts + 1, "n_known": some, "base_score": base, "score": total, "bytes": sizes - 1}
-                held = {k: pa.array(v, kinds.field(k).type) for k, v in texts.items()} | {"doc_id": batch.column(0).slice(i, n), "trained": batch.column(2).slice(i, n)}
-                yield pa.RecordBatch.from_arrays([held.get(f.name, pa.nulls(n, f.type)) for f in kinds], schema=kinds)
-                rare = np.flatnonzero(~known[back])
-                rows_ = [*_packed(0, h[rare], place[rare].astype(np.int32), h[rare], buckets)]
-                if rows_:
-                    held = {"slice": pa.array(np.full(len(rows_), piece)), "bucket": pa.array([r[1] for r in rows_], pa.int32()), "hashes": pa.array([r[2] for r in rows_], pa.binary()), "places": pa.array([r[3] for r in rows_], pa.binary())}
-                    yield pa.RecordBatch.from_arrays([held.get(f.name, pa.nulls(len(rows_), f.type)) for f in kinds], schema=kinds)
-                piece += 1
-
-    return rows.select("doc_id", "text", "trained").mapInArrow(run, schema)
+            data, offsets = textbuf.buffer(read(batch).column("text"))
+            every.append(np.unique(textbuf.grams(textbuf.LOWER[data[offsets[0] : offsets[-1]]], offsets - offsets[0], depth)[0]))
+        every = np.unique(np.concatenate(every))
+        order, _ = _dealt(every, depth, buckets)
+        logs = np.zeros(len(every))
+        logs[order] = np.concatenate([widened(x, np.float32) for _, x in sorted(zip(*(right.column(c).to_pylist() for c in ("bucket", "values"))))])
+        del right, order
+        for batch in batches:
+            texts = read(batch)
+            data, offsets = textbuf.buffer(texts.column("text"))
+            n = len(texts)
+            w = textbuf.Words(data, offsets, 0, n, textbuf.SPACE)
+            keys, sizes = textbuf.grams(w.low, offsets - offsets[0], depth)
+            own, back = np.unique(keys, return_inverse=True)
+            total = np.add.reduceat(logs[np.searchsorted(every, own)][back], np.concatenate([[0], np.cumsum(sizes)[:-1]])) * LOG2
+            h, place = np.append(w.hashes(), np.full(n, END)), np.append(np.repeat(np.arange(n), w.counts), np.arange(n))
+            own, back = np.unique(h, return_inverse=True)
+            at = np.minimum(np.searchsorted(hk, own), max(0, len(hk) - 1))
+            known = (hk[at] == own) if len(hk) else np.zeros(len(own), bool)
+            value = np.where(known, hv[at], 0.0) if len(hk) else np.zeros(len(own))
+            base, some = np.bincount(place, value[back], n), np.bincount(place, known[back], n).astype(np.int64)
+            held = {"slice": np.full(n, piece), "place": np.arange(first, first + n, dtype=np.int32), "n_tokens": w.counts + 1, "n_known": some, "base_score": base, "score": total, "bytes": sizes - 1}
+            held = {k: pa.array(v, kinds.field(k).type) for k, v in held.items()} | {c: texts.column(c).combine_chunks() for c in ("doc_id", "trained")}
+            out.append(pa.Table.from_arrays([held.get(f.name, pa.nulls(n, f.type)) for f in kinds], schema=kinds))
+            rare = np.flatnonzero(~known[back])
+            hashes.append(h[rare])
+            places.append((place[rare] + first).astype(np.int32))
+            first += n
+        h = np.concatenate(hashes)
+        rare = [*_packed(0, h, np.concatenate(places), h, buckets)]
+        held = {"slice": pa.array(np.full(len(rare), piece)), "bucket": pa.array([r[1] for r in rare], pa.int32()), "hashes": pa.array([r[2] for r in rare], pa.binary()), "places": pa.array([r[3] for r in rare], pa.binary())}
+        out.append(pa.Table.from_arrays([held.get(f.name, pa.nulls(len(rare), f.type)) for f in kinds], schema=kinds))
+        return pa.concat_tables(out)
+
+    return texts.groupBy("slice").cogroup(values.groupBy("slice")).applyInArrow(run, schema)

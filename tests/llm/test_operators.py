@@ -323,3 +323,25 @@ def test_pruned_contexts_are_predicted_by_their_node():
     every = np.arange(256, dtype=np.uint64)
     for context in b"abz":
         assert abs(np.exp2(tree.log2((np.uint64(context) << np.uint64(8)) | every)).sum() - 1) < 1e-6
+
+
+def test_no_context_goes_as_the_corpus_grows(spark):
+    from spanloom.llm import textbuf
+
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 7))) for _ in range(20000)]
+    texts = [" ".join(vocabulary[int(20000 * rng.random() ** 2)] for _ in range(3000)) for _ in range(200)]
+    assert sum(map(len, texts)) > 3 << 20
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["score"] for r in ctw.score(df, F.col("doc_id") % 7 != 2).collect()}
+
+    def grams(chosen):
+        joined = "".join(chosen).encode()
+        return textbuf.grams(np.frombuffer(joined, np.uint8), np.cumsum([0, *map(len, chosen)]), 6)[0]
+
+    keys, counts = np.unique(grams([t for i, t in enumerate(texts) if i % 7 != 2]), return_counts=True)
+    levels = [ctw.shorter(keys, counts, d) for d in range(7)]
+    tree = ctw.Tree.build([(k[m], n[m]) for k, n, m in ((k, n, ctw._seen(k, n) >= 2) for k, n in levels)])
+    assert len(got) == len(texts)
+    for i in (0, 2, 9, 100):
+        assert math.isclose(got[i], tree.log2(grams([texts[i]])).sum() * ctw.LOG2, rel_tol=1e-6)
