@@ -15,6 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+from .imatch import with_next
+
 
 def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("<|end|>\n"))
@@ -65,9 +68,25 @@ def against_neighbour(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs from a plain table of conversations: each conversation is chosen over itself with its last assistant turn replaced by
     the last assistant turn of its neighbour (ids that differ in the lowest bit). Conversations in which either has none make no pair."""
     rows = turns(conversations, "conv_id")
-    last = rows.where("role = 'assistant'").groupBy("conv_id").agg(F.max_by(F.struct("turn", "text"), "turn").alias("last"))
+    last = last_replies(rows)
     other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.text").alias("reply"))
     both = last.join(other, "conv_id").select("conv_id", F.col("last.turn").alias("upto"), "reply")
+    return replaced_by(rows, both)
+
+
+def against_next(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As against_neighbour, but the neighbour is the conversation with the next smaller id that has an assistant turn (of the smallest,
+    the largest), so every conversation with an assistant turn makes a pair, whichever ids there are; a single one meets itself."""
+    rows = turns(conversations, "conv_id")
+    last = cut(last_replies(rows).select(F.col("conv_id").alias("doc_id"), F.col("last.turn").alias("upto"), F.col("last.text").alias("text")), "replies")
+    return replaced_by(rows, with_next(last, ()).select(F.col("doc_id").alias("conv_id"), "upto", F.col("next_text").alias("reply")))
+
+
+def last_replies(rows: DataFrame) -> DataFrame:
+    return rows.where("role = 'assistant'").groupBy("conv_id").agg(F.max_by(F.struct("turn", "text"), "turn").alias("last"))
+
+
+def replaced_by(rows: DataFrame, both: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = rows.join(both, "conv_id").withColumnRenamed("conv_id", "pair_id")
     chosen = met.select("pair_id", "turn", "role", "text")
     replaced = met.where("turn <= upto").select("pair_id", "turn", "role", F.when(F.col("turn") == F.col("upto"), F.col("reply")).otherwise(F.col("text")).alias("text"))

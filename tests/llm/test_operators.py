@@ -158,6 +158,14 @@ def test_preferences(spark):
     assert preference.format_pairs(*preference.against_neighbour(df.limit(0))).count() == 0
 
 
+def test_every_conversation_with_a_reply_makes_a_pair(spark):
+    rows = [(2 * i, j, r, f"{r}{2 * i}") for i in range(50) for j, r in enumerate(("user", "assistant"))] + [(7, 0, "user", "alone"), (None, 0, "assistant", "n")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {r["pair_id"]: r for r in preference.assemble(preference.format_pairs(*preference.against_next(df))).collect()}
+    assert sorted(whole) == [2 * i for i in range(50)]
+    assert all(r["rejected_text"] == f"<|assistant|>\nassistant{(i - 2) % 100}<|end|>\n" for i, r in whole.items())
+
+
 def test_near_duplicates(spark, docs, empty):
     named = docs.where("doc_id is not null")
     same(minhash_join.near_duplicates(named, 85), ORACLES["op6_minhash"], documents=named)
