@@ -1,7 +1,7 @@
 """Traces searched and downloaded over HTTP, as a Spark data source: `spark.read.format("trace_search").option(...)`.
 
-The time range is cut into slices of which each asks for a bounded number of trace ids; slices are the input partitions, so that
-downloads run wherever there are executors. Each reader keeps to its share of the request rate and retries what may succeed."""
+The time range is cut into slices of which each is asked for the full limit of trace ids, first with flag 1 and, if it has none, with flag 3; more than
+the limit in all are cut in proportion. The ids are dealt out evenly as input partitions, so that downloads run wherever there are executors. Each reader keeps to its share of the request rate and retries what may succeed."""
 
 from __future__ import annotations
 
@@ -19,9 +19,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 RETRY = {408, 425, 429, 500, 502, 503, 504}
 
 
-class Slice(InputPartition):
-    def __init__(self, start: int, end: int, limit: int, share: float):
-        self.start, self.end, self.limit, self.share = start, end, limit, share
+class Share(InputPartition):
+    """Trace ids to download, or the status of a slice whose search failed."""
+
+    def __init__(self, ids: list[str], share: float, failed: int | None = None):
+        self.ids, self.share, self.failed = ids, share, failed
 
 
 def fetch(url: str, tries: int = 3, pause: float = 0.2, headers: dict | None = None) -> tuple[int, bytes]:
@@ -54,21 +56,33 @@ class Reader(DataSourceReader):
             if need not in self.o:
                 raise ValueError(f"option {need} is missing")
 
-    def partitions(self) -> list[Slice]:
+    def found(self, start: int, end: int, limit: int) -> tuple[int, list[str]]:
+        """Status and distinct trace ids of a slice."""
+        status = 0
+        for flag in (1, 3):
+            tags = json.loads(self.o.get("tags") or "{}") | {"jaeger.flags": str(flag)}
+            query = {"service": self.o["service"], "start": start, "end": end, "limit": limit, "tags": json.dumps(tags)}
+            query |= {k: self.o[k] for k in ("operation",) if k in self.o}
+            status, body = fetch(f"{self.o['url']}/api/traces?{urllib.parse.urlencode(query)}")
+            ids = list(dict.fromkeys(t["traceID"] for t in json.loads(body)["data"][:limit])) if status == 200 else []
+            if ids:
+                return status, ids
+        return status, []
+
+    def partitions(self) -> list[Share]:
         start, end, limit = int(self.o["start"]), int(self.o["end"]), int(self.o.get("limit", 1000))
         n = max(1, min(end - start, -(-limit // int(self.o.get("per_query", 1000)))))
         edges = [start + (end - start) * i // n for i in range(n + 1)]
-        return [Slice(a, b, -(-limit // n), 1 / n) for a, b in zip(edges, edges[1:])]
-
-    def read(self, partition: Slice) -> Iterator[tuple]:
-        query = {"service": self.o["service"], "start": partition.start, "end": partition.end, "limit": partition.limit}
-        query |= {k: self.o[k] for k in ("operation", "tags") if k in self.o}
-        status, body = fetch(f"{self.o['url']}/api/traces?{urllib.parse.urlencode(query)}")
-        if status != 200:
-            yield None, status, None
+        slices = [self.found(a, b, limit) for a, b in zip(edges, edges[1:])]
+        ids = [x for (_, own), many in zip(slices, shares([len(own) for _, own in slices], limit)) for x in own[:many]]
+        return [Share(ids[i::n], 1 / n) for i in range(n)] + [Share([], 1, status) for status, _ in slices if status != 200]
+
+    def read(self, partition: Share) -> Iterator[tuple]:
+        if partition.failed is not None:
+            yield None, partition.failed, None
             return
         pause = 1 / (float(self.o.get("qps", 500)) * partition.share)
-        for trace_id in dict.fromkeys(t["traceID"] for t in json.loads(body)["data"][: partition.limit]):
+        for trace_id in partition.ids:
             status, trace = fetch(f"{self.o['url']}/api/traces/{trace_id}", headers={"X-Fields": self.o["fields"]} if "fields" in self.o else None)
             yield trace_id, status, trace.decode() if trace else None
             time.sleep(pause)

@@ -3,6 +3,7 @@
 import json
 import random
 import threading
+import urllib.parse
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
@@ -269,6 +270,20 @@ def test_trace_search(spark):
     assert search.shares([300, 700], 100) == [30, 70] and search.shares([3, 7], 100) == [3, 7]
 
 
+def test_a_busy_slice_fills_the_limit(monkeypatch):
+    have = {(0, "1"): 10, (100, "3"): 5}
+
+    def answer(url, **_):
+        q = {k: v[0] for k, v in urllib.parse.parse_qs(url.split("?")[1]).items()}
+        n = min(int(q["limit"]), have.get((int(q["start"]), json.loads(q["tags"])["jaeger.flags"]), 0))
+        return 200, json.dumps({"data": [{"traceID": f"t{int(q['start']) + i}"} for i in range(n)]}).encode()
+
+    monkeypatch.setattr(search, "fetch", answer)
+    ids = lambda limit: sorted(x for p in search.Reader({"url": "u", "service": "S", "start": "0", "end": "200", "limit": limit, "per_query": "8"}).partitions() for x in p.ids)
+    assert ids("15") == sorted([f"t{i}" for i in range(10)] + [f"t{100 + i}" for i in range(5)])
+    assert len(ids("9")) == 8  # 9 and 5 found: 5 and 3 stay in proportion
+
+
 def test_yaml_lists():
     assert traces.merged_lists({"a": [1, 2], "b": [3]}, {"a": [2, 4], "c": 5}) == {"a": [1, 2, 4], "b": [3], "c": 5}
     assert traces.exclusions({"S": ["x", "y"]}) == {("S", "x"), ("S", "y")}
