@@ -154,12 +154,32 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def floor(held_out: DataFrame, net: Network, share: float = 0.001, most: int = 20_000) -> float:
+    """The score that all but `share` of the held-out rows reach whose language the network finds; 0 if there are none. About `most`
+    rows are scored, chosen by a hash of their id."""
+    rows = held_out.where(F.col("lang").isin(*net.langs)) if net.langs else held_out.limit(0)
+    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-rows.count() // most)))) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, score = _predicted(batch, 0, net)
+            right = [s for b, s, lang in zip(best, score, batch.column(1).to_pylist()) if b == lang]
+            yield pa.RecordBatch.from_arrays([pa.array(right, pa.float64())], names=["score"])
+
+    found = rows.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, "score double")
+    return found.agg(F.percentile_approx("score", share, 100_000)).collect()[0][0] or 0.0
+
+
 def keep_known(docs: DataFrame, net: Network, least: float = 0.0) -> DataFrame:
-    """The rows of `docs`, with all their columns, in a language the network knows, by at least that score."""
+    """The rows of `docs`, with all their columns, in a language the network knows, by at least that score. A network that has learnt no
+    language rejects only texts without letters."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not net.langs:
+                yield batch.filter(pa.array([bool(t) and _LETTER.search(t) is not None for t in batch.column(at).to_pylist()], pa.bool_()))
+                continue
             best, score = _predicted(batch, at, net)
             yield batch.filter(pa.array([b != "und" and s >= least for b, s in zip(best, score)], pa.bool_()))
 

@@ -247,6 +247,18 @@ def test_language(docs, empty):
     assert {r["lang_pred"] for r in langid_cnn.predict(docs, none).collect()} == {"und"} and langid_cnn.predict(empty, net).count() == 0
 
 
+def test_the_language_stage_decides_by_the_network(docs, empty):
+    net = langid_cnn.fit(docs.where(crc_mod("doc_id", 5) != 0))
+    least = langid_cnn.floor(docs.where(crc_mod("doc_id", 5) == 0), net)
+    scores = {r["doc_id"]: r["score"] for r in langid_cnn.predict(docs, net).collect() if r["lang_pred"] != "und"}
+    assert least > 1 / len(net.langs)
+    kept = {r["doc_id"] for r in langid_cnn.keep_known(docs, net, least).collect()}
+    assert kept == {i for i, s in scores.items() if s >= least} and kept >= {60, 61, 69}
+    none = langid_cnn.fit(empty)
+    assert langid_cnn.floor(docs, none) == 0.0
+    assert {60, 70} <= {r["doc_id"] for r in langid_cnn.keep_known(docs, none).collect()} and 67 not in {r["doc_id"] for r in langid_cnn.keep_known(docs, none).collect()}
+
+
 def test_gradients_of_the_network_learn():
     net = langid_cnn.train([b"abababab" * 20, b"xyxyxyxy" * 20] * 20, ["a", "x"] * 20)
     x, _ = langid_cnn.windows(np.frombuffer(b"babababababa", np.uint8), np.array([0, 12]), 0, 1)
