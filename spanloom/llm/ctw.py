@@ -39,6 +39,7 @@ U64 = textbuf.U64
 END = U64(0x5851F42D4C957F2D)  # the end token's hash
 HEAD = 1 << 20
 SPLIT = 3  # nodes with fewer bytes of context are shared by all buckets
+PIECES = 4  # parts in which a bucket grows its subtrees
 PARTS = 16  # groups in which the sums for the top levels meet
 MOST_GRAMS, MOST_BYTES = 2_000_000, 32 << 20  # of a slice
 LOG2 = math.log10(2.0)
@@ -172,9 +173,14 @@ def _packed(kind: int, keys: np.ndarray, counts: np.ndarray, by: np.ndarray, man
         yield kind, int(m), keys[at].tobytes(), counts[at].tobytes()
 
 
+def _context(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The nearest `depth` bytes of context."""
+    return (keys >> U64(8)) & U64((1 << (8 * depth)) - 1)
+
+
 def _dealt(keys: np.ndarray, depth: int, many: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of sorted grams by bucket, and where each bucket ends in it. Within a bucket they stay sorted."""
-    bucket = (textbuf.mix((keys >> U64(8)) & U64((1 << (8 * min(SPLIT, depth))) - 1)) % U64(many)).astype(np.int64)
+    bucket = (textbuf.mix(_context(keys, min(SPLIT, depth))) % U64(many)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(many + 1))
 
@@ -255,14 +261,20 @@ def grow(counted: DataFrame, depth: int, least: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         asked = [widened(x, np.uint64) for x in table.column("keys").to_pylist()]
         keys, counts = merged(asked, [widened(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist()])
-        seen = counts > 0
-        levels = _levels(keys[seen], counts[seen], split, depth)
-        tree, (up, total, held) = Tree.grow(_kept(levels, least), split)
         bucket = table.column("bucket")[0].as_py()
-        p = np.ascontiguousarray(tree.climb(keys).astype(np.float32).T)
+        # A bucket's subtrees grow in several parts, one after the other, so that their nodes are not all in memory at once.
+        piece = (textbuf.mix(_context(keys, split)) >> U64(32)) % U64(PIECES)
+        p, up, low = np.empty((len(keys), 8), np.float32), [], []
+        for at in (np.flatnonzero(piece == U64(i)) for i in range(PIECES)):
+            own, seen = keys[at], counts[at] > 0
+            levels = _levels(own[seen], counts[at][seen], split, depth)
+            tree, sums = Tree.grow(_kept(levels, least), split)
+            p[at] = tree.climb(own).T
+            up.append(sums)
+            low.append(shorter(*levels[0], split - 1) if split else levels[0])
         rows = [{"bucket": bucket, "keys": squeezed(keys), "values": p.tobytes(), "slices": table.column("slice").to_pylist(), "places": [squeezed(np.searchsorted(keys, x).astype(np.int32)) for x in asked]}]
         if split:
-            k, n = shorter(*levels[0], split - 1)
+            (up, total, held), (k, n) = (map(np.concatenate, zip(*x)) for x in (up, low))
             for part in range(PARTS):
                 a, b = (textbuf.mix(x >> U64(8)) % U64(PARTS) == part for x in (up, k))
                 if b.any():
@@ -395,8 +407,8 @@ def _scored(texts: DataFrame, values: DataFrame, model, depth: int, buckets: int
         every = []
         for batch in batches:
             data, offsets = textbuf.buffer(read(batch).column("text"))
-            every.append(np.unique(textbuf.grams(textbuf.LOWER[data[offsets[0] : offsets[-1]]], offsets - offsets[0], depth)[0]))
-        every = np.unique(np.concatenate(every))
+            every.append(textbuf.distinct(textbuf.grams(textbuf.LOWER[data[offsets[0] : offsets[-1]]], offsets - offsets[0], depth)[0]))
+        every = textbuf.distinct(np.concatenate(every))
         order, _ = _dealt(every, depth, buckets)
         logs = np.zeros(len(every))
         logs[order] = np.concatenate([widened(x, np.float32) for _, x in sorted(zip(*(right.column(c).to_pylist() for c in ("bucket", "values"))))])

@@ -56,6 +56,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers. (np.unique without counts builds a hash table, which costs ten times as much.)"""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if len(_powers[0]) < n:
