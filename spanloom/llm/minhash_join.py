@@ -19,7 +19,8 @@ what neither lacks of it and their further shared shingles. Nothing is capped.
 Components grow by minimum labels with pointer jumping, cut to the shared folder each round; nothing is collected.
 
 Null and empty texts have the empty set and link with nothing. Repeated rows are of one class, and so of one component.
-Rows without doc_id take part, but lend no id: a component's id is the smallest doc_id in it (null if it has none)."""
+Rows without doc_id take part, but lend no id: a component's id is the smallest doc_id in it (null if it has none). Columns
+other than doc_id and text are not looked at. A very long text is one set in memory of the task that holds it."""
 
 from __future__ import annotations
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf
@@ -58,9 +59,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> Itera
     joint = textbuf.mix(joint)
     for a, b in zip(words.first[:-1], words.first[1:]):
         if b - a >= WIDTH:
-            yield np.unique(joint[a : b - WIDTH + 1])
+            yield textbuf.distinct(joint[a : b - WIDTH + 1])
         elif b > a:
-            yield textbuf.mix(np.array([(h[a:b] * _C[: b - a]).sum(dtype=U64) + _SHORT * U64(b - a)], U64))
+            yield textbuf.mix((h[a:b] * _C[: b - a]).sum(dtype=U64, keepdims=True) + _SHORT * np.array([b - a], U64))
         else:
             yield np.zeros(0, U64)
 
@@ -78,12 +79,12 @@ def class_id(shingles: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, n_shingles, cid (null for the empty set) and sig of each row of `docs` (doc_id, text)."""
-    schema = "rid long, doc_id long, n_shingles long, cid binary, sig array<int>"
+    """rid, doc_id, mark, n_shingles, cid (null for the empty set) and sig of each row of `docs` (rid, doc_id, mark, text)."""
+    schema = "rid long, doc_id long, mark struct<a:long,b:long>, n_shingles long, cid binary, sig array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = textbuf.buffer(batch.column(2))
+            data, offsets = textbuf.buffer(batch.column(3))
             for i, j in textbuf.slices(offsets):
                 sizes, cids, sigs = [], [], []
                 for s in shingle_sets(data, offsets, i, j):
@@ -92,7 +93,7 @@ def signed(docs: DataFrame) -> DataFrame:
                     sigs.append(signature(s) if len(s) else np.zeros(0, np.uint32))
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(cids, pa.binary()), lists], names=[x.split()[0] for x in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), pa.array(sizes, pa.int64()), pa.array(cids, pa.binary()), lists], names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.mapInArrow(run, schema)
 
@@ -109,7 +110,7 @@ def postings(classes: DataFrame, least: int) -> DataFrame:
 
 
 def full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid, sig, shingles (both as bytes) of the classes in `wanted` (rid, cid), made anew from the texts."""
+    """cid, shingles (as bytes) of the classes in `wanted` (rid, cid), made anew from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,36 +119,44 @@ def full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 rows = []
                 for s, cid in zip(shingle_sets(data, offsets, i, j), batch.column(1).slice(i, j - i).to_pylist()):
                     if len(s) and class_id(s) == cid:  # another text may stand under the same id
-                        rows.append((cid, signature(s).tobytes(), s.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(3)], names=["cid", "sig", "shingles"])
+                        rows.append((cid, s.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(2)], names=["cid", "shingles"])
 
     met = texts.join(wanted, "rid").select("text", "cid")
-    return met.mapInArrow(run, "cid binary, sig binary, shingles binary").groupBy("cid").agg(F.first("sig").alias("sig"), F.first("shingles").alias("shingles"))
+    return met.mapInArrow(run, "cid binary, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles"))
+
+
+def joined(pairs: DataFrame, sets: DataFrame, key: str, salted: int = 1024) -> DataFrame:
+    """`pairs` with set_<key>, the set of its column `key`. A class that stands in more than `salted` pairs, as the hub of a large group does,
+    is copied once for each so many of them, and they spread over the copies."""
+    often = pairs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > salted).select(key, F.ceil(F.col("n") / salted).cast("int").alias("copies"))
+    other = "y" if key == "x" else "x"
+    spread = lambda df, salt: df.join(often, key, "left").withColumn("salt", salt).drop("copies")
+    many = F.coalesce("copies", F.lit(1))
+    right = spread(sets.toDF(key, f"set_{key}"), F.explode(F.sequence(F.lit(0), many - 1)))
+    return spread(pairs, F.pmod(F.xxhash64(other), many).cast("int")).join(right, [key, "salt"]).drop("salt")
 
 
 def met(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """`pairs` (x, y) with linked (enough matching coordinates and 100 * intersection >= percent * union), ny and both (sizes of
-    y and of the intersection) and missing: the bits of y's sorted shingles that x lacks."""
-    least = match_threshold(percent)
-    left, right = sets.toDF("x", "sig_x", "set_x"), sets.toDF("y", "sig_y", "set_y")
+    """`pairs` (x, y) with linked (100 * intersection >= percent * union), ny and both (sizes of y and of the intersection) and
+    missing: the bits of y's sorted shingles that x lacks."""
     names = ["x", "y", "linked", "ny", "both", "missing"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for sx, sy, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+            for x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3))):
                 a, b = np.frombuffer(x, U64), np.frombuffer(y, U64)
                 at = np.minimum(np.searchsorted(a, b), len(a) - 1)
                 lacks = a[at] != b
                 both = len(b) - int(lacks.sum())
-                linked = (np.frombuffer(sx, np.uint32) == np.frombuffer(sy, np.uint32)).sum() >= least and 100 * both >= percent * (len(a) + len(b) - both)
                 bits = np.packbits(np.concatenate([lacks, np.zeros(-len(lacks) % 64, bool)])).view(np.int64)
-                out.append((bool(linked), len(b), both, bits.tolist()))
+                out.append((100 * both >= percent * (len(a) + len(b) - both), len(b), both, bits.tolist()))
             kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], names=names)
 
-    both = pairs.join(left, "x").join(right, "y")
-    return both.select("x", "y", "sig_x", "sig_y", "set_x", "set_y").mapInArrow(run, "x binary, y binary, linked boolean, ny long, both long, missing array<long>")
+    both = joined(joined(pairs, sets, "x"), sets, "y")
+    return both.select("x", "y", "set_x", "set_y").mapInArrow(run, "x binary, y binary, linked boolean, ny long, both long, missing array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,7 +185,8 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def shared_shingles(sets: DataFrame) -> DataFrame:
-    """cid, lone: how many of a posted class's shingles no other posted class has."""
+    """cid, lone: how many of a posted class's shingles no other posted class has. Shingles carry half of the class's name; should
+    two classes share that half, both count as having none, which bounds no less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +198,8 @@ def shared_shingles(sets: DataFrame) -> DataFrame:
     once = sets.select("cid", "shingles").mapInArrow(run, "h long, c long").groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c")).where("n = 1")
     lone = once.groupBy("c").agg(F.count("*").alias("lone"))
     names = sets.select("cid").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([b.column(0), pa.array([int.from_bytes(x[:8], "little", signed=True) for x in b.column(0).to_pylist()], pa.int64())], names=["cid", "c"]) for b in batches), "cid binary, c long")
-    return names.join(lone, "c", "left").select("cid", F.coalesce("lone", F.lit(0)).alias("lone"))
+    twice = names.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
+    return names.join(lone.join(twice, "c", "left_anti"), "c", "left").select("cid", F.coalesce("lone", F.lit(0)).alias("lone"))
 
 
 def link(posted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -225,10 +236,10 @@ def link(posted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return components(labels, confirmed(across, sets, percent))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept (doc_id is the component's id) for each row of `docs`."""
+def _found(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, mark (two hashes of the text), n_shingles, comp and component_id of each row of `docs`. Rows of the empty set have null comp."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.select(F.coalesce("doc_id", F.xxhash64("text")).alias("rid"), "doc_id", "text")
+    texts = texts.select(F.coalesce("doc_id", F.xxhash64("text")).alias("rid"), "doc_id", _mark(F.col("text")).alias("mark"), "text")
     rows = cut(signed(texts), "signatures")
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     posted = cut(postings(classes.select("cid", "n_shingles", "sig"), match_threshold(percent)), "postings")
@@ -240,18 +251,30 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     labels = link(posted, sets, percent)
     named = members.join(labels, "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "least")
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    found = named.join(names, "comp").select("cid", "component_id")
+    found = named.join(names, "comp").select("cid", "comp", "component_id")
     out = rows.join(found, "cid", "left").withColumn("component_id", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "mark", "n_shingles", "comp", "component_id")
+
+
+def _mark(text: Column) -> Column:
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit("mark")).alias("b"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (doc_id is the component's id) for each row of `docs`."""
+    return _found(docs, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of `docs`, with all their columns, that stand for their component: one a component. Of rows with equal doc_id and
-    text one stays; rows without doc_id stay unless a row with an id is of their component."""
-    found = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    """The rows of `docs`, with all their columns, that stand for their component: the one with its smallest doc_id (null ids last; among
+    equal ids one text, chosen by its hash). A row without words is a component of its own, repeated ones (equal doc_id and text) count as one."""
+    found = _found(docs, percent)
+    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    one = found.where("comp is not null").groupBy("comp").agg(F.min(own).alias("own")).select("own.doc_id", "own.mark")
+    stay = one.unionByName(found.where("comp is null").select("doc_id", "mark").distinct()).select(F.col("doc_id").alias("_kept"), F.col("mark").alias("_as"))
     # The document's own columns travel inside one, so that their names don't matter.
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))
-    return rows.join(found, F.col("_id").eqNullSafe(F.col("_kept"))).dropDuplicates(["_id", "_text"]).select("_row.*")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), _mark(F.col("text").cast("string")).alias("_text"))
+    return rows.join(stay, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_text") == F.col("_as")), "left_semi").dropDuplicates(["_id", "_text"]).select("_row.*")
 
 
 def oracle_sql(percent: int = 85) -> str:
