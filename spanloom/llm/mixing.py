@@ -3,19 +3,22 @@
 1. Sizes are words. The words of a source stand in one stream, its documents in an order scattered by id, and the
    stream is cut into blocks of `block` words (the last may be shorter).
 2. Sources by code point, null last, weigh `weights`, repeating, and share `total` times all words; a target stops at
-   `most` times its source's size, and the excess is reshared by weight until none is above (water filling).
-3. A source gets as many block slots as its target needs; the last slot is cut so that the target is met to the word.
-   Slots are dealt to output shards by a pseudorandom permutation of all slots: each shard's source counts are then
-   multinomial draws given that they add up to the targets.
+   `most` times its source's size, and the excess is reshared by weight until none is above (water filling). A source's quota is
+   the number of block slots that its target needs; the last slot is cut so that the target is met to the word.
+3. The mix has as many slots as all quotas together, `shard_slots` to an output shard. Each slot draws its source with the quotas'
+   probabilities, so a shard's source counts are a multinomial draw. The slots that a source drew are numbered through the shards. What it
+   drew above its quota (about the square root of all slots) goes over to the sources that drew too little, in order.
 4. Slot j of a source takes block p(j mod blocks) of pass j div blocks, where p is a permutation of the source's block
    numbers that is computed, not stored (swap-or-not: it permutes any range exactly). Within a pass each block comes
    once, so no document is taken more than `most` times whole.
-5. Documents and slots meet by an equi-join on (source, block).
+5. Documents and slots meet by an equi-join on (source, block). `shards` gives the mix itself: which words of which document
+   stand in which slot of which shard. `mix` adds up what is taken of each document, `repeat` repeats whole documents.
 
 Positions in the streams are sums over (source, bucket) first and over a source's buckets next, so that no task holds a
-source; buckets hold about `bucket` documents. A document without words takes part with size 0 and takes nothing. Each row
-is a document: repeated rows take their own places. Null ids and null sources are kept. Everything is a function of the rows
-alone, so reruns agree. Words are [^\\x20\\x09-\\x0D]+; a null text has none."""
+source; a bucket holds about `bucket` different rows, and equal rows (id, source and size) pass as one with a count. A document without
+words takes part with size 0 and takes nothing. Each row is a document: repeated rows take their own places. Null ids and null
+sources are kept. Everything is a function of the rows alone, so reruns agree. Words are [^\\x20\\x09-\\x0D]+; a null text has none. Other
+columns are not looked at. There is one row a source in a few plans and in one broadcast array; nothing else is broadcast."""
 
 from __future__ import annotations
 
@@ -26,7 +29,7 @@ from .common import cut
 
 WEIGHTS = (3, 1, 2)
 ROUNDS = 24
-SLOT_RUN = 16384
+RUN = 4096  # shards in one window of their running counts
 
 
 def n_words(text: Column) -> Column:
@@ -40,9 +43,9 @@ def scattered(doc_id: Column) -> Column:
     return F.pmod(once * 1103515245 + 12345, F.lit(2147483647))
 
 
-def permuted(j: Column, n: Column, seed: Column) -> Column:
+def permuted(j: Column, n: Column, seed: Column, back: bool = False) -> Column:
     """Position j of 0..n-1 under the swap-or-not permutation of that seed: in each round j may swap with key - j,
-    by a bit that both of them compute alike."""
+    by a bit that both of them compute alike. `back`: under its inverse, which takes the rounds in reverse."""
     key = lambda r: F.pmod((seed * 31 + r) * 1103515245 + 12345, F.lit(2147483647))
 
     def step(x: Column, r: Column) -> Column:
@@ -51,13 +54,14 @@ def permuted(j: Column, n: Column, seed: Column) -> Column:
         bit = F.pmod(F.floor(F.pmod((top + key(r + 101)) * 1664525 + 1013904223, F.lit(2147483647)) / 65536), F.lit(2)) == 1
         return F.when(bit, other).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")), j.cast("long"), step)
+    first, last = (ROUNDS - 1, 0) if back else (0, ROUNDS - 1)
+    return F.aggregate(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long")), j.cast("long"), step)
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
-    """source, source_size, rank (from 0), weight and target of each source; a source without words has target 0.
+    """source, source_size, rows, rank (from 0), weight and target of each source of `sized` (source, size, copies); a source without words has target 0.
     `total` is a fraction. All arithmetic up to the last division is in whole numbers."""
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("rows"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     sources = sources.withColumn("rank", F.row_number().over(by_name).cast("long") - 1)
     sources = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long"))
@@ -76,94 +80,138 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: tuple[i
     sources = sources.withColumns({"open": found, "ratio": full / F.col("weight")})
     limited = F.col("open").isNull() | (F.struct("ratio", "rank") < F.struct(F.col("open.col1").alias("ratio"), F.col("open.rank").alias("rank")))
     target = F.when(F.col("source_size") == 0, F.lit(0.0)).when(limited, full.cast("double")).otherwise(F.col("weight") * F.col("open.left") / (den * F.col("open.weigh")))
-    return sources.select("source", "source_size", "rank", "weight", target.cast("double").alias("target"))
+    return sources.select("source", "source_size", "rows", "rank", "weight", target.cast("double").alias("target"))
 
 
-def plan(docs: DataFrame, block: int = 512, bucket: int = 8192, weights: tuple[int, ...] = WEIGHTS, shard_slots: int = 1024) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with size, source rank and start in the stream; sources; slots with shard and block)."""
+def placed(docs: DataFrame, block: int, bucket: int, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, rank, source_size, target and start in the source's stream of each row; sources)."""
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"))
-    sized = cut(sized, "sizes")  # texts are read once
-    sources = targets(sized, weights)
-    n = sized.count()
-    buckets = max(1, -(-n // bucket))
-    spread = scattered(F.col("doc_id"))
-    placed = sized.withColumns({"spread": spread, "bucket": F.pmod(spread, F.lit(buckets))})
-    within = Window.partitionBy("source", "bucket").orderBy("spread", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offset = placed.groupBy("source", "bucket").agg(F.sum("size").alias("held")).withColumn("offset", F.coalesce(F.sum("held").over(along), F.lit(0))).drop("held")
-    offset = offset.join(sources, offset["source"].eqNullSafe(sources["source"])).select(offset["source"].alias("of"), F.col("bucket").alias("in"), "offset", "rank", "source_size", "target")
-    placed = placed.withColumn("upto", F.sum("size").over(within))
-    placed = placed.join(offset, placed["source"].eqNullSafe(offset["of"]) & (placed["bucket"] == offset["in"]))
-    placed = placed.select("doc_id", "source", "size", "rank", "source_size", "target", (F.col("offset") + F.col("upto") - F.col("size")).alias("start"))
-
-    blocks = F.ceil(F.col("source_size") / block)
-    tail = blocks * block - F.col("source_size")  # words that the last block is short of
-    want = F.round("target").cast("long")
-    shared = sources.where(want > 0).withColumns({"blocks": blocks, "tail": tail, "want": want})
+    sized = cut(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")), "sizes")  # texts are read once
+    sources = cut(targets(sized, weights), "sources")
+    named = sources.select(F.col("source").alias("of"), "rank", "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("rows") / bucket)).alias("buckets"))
+    rows = sized.join(named, sized["source"].eqNullSafe(named["of"])).drop("of").withColumn("spread", scattered(F.col("doc_id")))
+    rows = rows.withColumns({"bucket": F.pmod("spread", F.col("buckets")), "held": F.col("size") * F.col("copies")})
+    within = Window.partitionBy("rank", "bucket").orderBy("spread", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offset = rows.groupBy("rank", "bucket").agg(F.sum("held").alias("held")).select("rank", "bucket", F.coalesce(F.sum("held").over(along), F.lit(0)).alias("offset"))
+    rows = rows.withColumn("before", F.coalesce(F.sum("held").over(within), F.lit(0))).join(offset, ["rank", "bucket"])
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return rows.select("doc_id", "source", "size", "rank", "source_size", "target", (F.col("offset") + F.col("before") + F.col("copy") * F.col("size")).alias("start")), sources
+
+
+def quotas(sources: DataFrame, block: int) -> DataFrame:
+    """rank, slots, blocks, passes (whole ones), rest (words of the unfinished pass), tail (words that the last block is short of) and short_at
+    (its place in the unfinished pass) of each source with a target."""
+    blocks, want = F.ceil(F.col("source_size") / block), F.round("target").cast("long")
+    rows = sources.where(want > 0).withColumns({"blocks": blocks, "tail": blocks * block - F.col("source_size"), "want": want})
     passes = F.floor(F.col("want") / F.col("source_size"))
-    rest = F.col("want") - passes * F.col("source_size")
-    # Slots: full passes, then as many blocks as the rest needs, one more if the short block is among them.
-    shared = shared.withColumns({"slots": (passes * F.col("blocks") + F.when(rest > 0, F.ceil((rest + F.col("tail")) / block)).otherwise(0)).cast("long"), "rest": rest, "passes": passes})
-    first = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    shared = shared.withColumns({"before": F.coalesce(F.sum("slots").over(first), F.lit(0)), "all": F.sum("slots").over(Window.partitionBy())})
-    # A large source's slots are made by many tasks, a bounded run of them at a time.
-    runs = shared.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_RUN)))).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "run")
-    slots = runs.withColumn("j", F.explode(F.sequence(F.col("run") * SLOT_RUN, F.least(F.col("slots"), (F.col("run") + 1) * SLOT_RUN) - 1)))
-    slots = slots.withColumns({
-        "block": permuted(F.pmod(F.col("j"), F.col("blocks")), F.col("blocks"), F.col("rank") * 977 + F.floor(F.col("j") / F.col("blocks"))),
-        "shard": F.floor(permuted(F.col("before") + F.col("j"), F.col("all"), F.lit(7919)) / shard_slots),
-        "pass": F.floor(F.col("j") / F.col("blocks")),
-    })
-    held = F.when(F.col("block") == F.col("blocks") - 1, F.lit(block) - F.col("tail")).otherwise(F.lit(block))
-    slots = slots.select("rank", "j", "shard", "pass", "block", held.cast("long").alias("held"), "blocks", "rest", "passes", "tail")
-    return placed, shared, slots
-
-
-def taken_blocks(slots: DataFrame, block: int = 512) -> DataFrame:
-    """rank, block, full (whole takes of it) and part (words from its start that a cut slot takes)."""
-    # In the unfinished pass, slot number i (from 0) starts after i * block words, less the tail if the short block came
-    # before. Where the short block stands in that pass is one row a source.
-    i = F.col("j") - F.col("passes") * F.col("blocks")
-    short = slots.where((F.col("pass") == F.col("passes")) & (F.col("block") == F.col("blocks") - 1)).select(F.col("rank").alias("of"), i.alias("short_at"))
-    met = slots.withColumn("i", i).join(short, F.col("rank") == F.col("of"), "left")
+    rows = rows.withColumns({"passes": passes, "rest": F.col("want") - passes * F.col("source_size")})
+    # Full passes, then as many blocks as the rest needs, one more if the short block is among them.
+    slots = F.col("passes") * F.col("blocks") + F.when(F.col("rest") > 0, F.ceil((F.col("rest") + F.col("tail")) / block)).otherwise(0)
+    return rows.select("rank", slots.cast("long").alias("slots"), "blocks", "passes", "rest", "tail", permuted(F.col("blocks") - 1, F.col("blocks"), _seed(F.col("rank"), F.col("passes")), back=True).alias("short_at"))
+
+
+def _seed(rank: Column, turn: Column) -> Column:
+    return rank * 977 + turn
+
+
+def drawn(quota: DataFrame, shard_slots: int) -> DataFrame:
+    """shard, rank, n: how many of a shard's slots each source draws."""
+    spark, by_rank = quota.sparkSession, Window.orderBy("rank")
+    many = quota.agg(F.coalesce(F.sum("slots"), F.lit(0))).collect()[0][0]
+    upto = quota.select("rank", F.sum("slots").over(by_rank).alias("upto"))
+    table = upto.agg(F.array_sort(F.collect_list(F.struct("rank", "upto"))).alias("all")).withColumn("one", F.lit(1))  # one row
+    u = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double")
+    slots = spark.range(0, many, 1, int(spark.conf.get("spark.sql.shuffle.partitions"))).select(F.floor(F.col("id") / shard_slots).alias("shard"), u.alias("u"), F.lit(1).alias("one"))
+    at = F.size(F.filter("all", lambda x: x["upto"].cast("double") * 4294967296.0 <= F.col("u") * float(many)))
+    return slots.join(F.broadcast(table), "one").select("shard", F.element_at("all", at + 1)["rank"].alias("rank")).groupBy("shard", "rank").agg(F.count("*").alias("n"))
+
+
+def slots(quota: DataFrame, block: int, shard_slots: int) -> DataFrame:
+    """shard, rank, j (0 to the source's quota, each once), block, and words: how many of it, from its start, the slot takes."""
+    counts = cut(drawn(quota, shard_slots), "draws")
+    runs = counts.groupBy("rank", F.floor(F.col("shard") / RUN).alias("run")).agg(F.sum("n").alias("n"))
+    along, within = (Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1) for by, key in ((["rank"], "run"), (["rank", "run"], "shard")))
+    offset = runs.select("rank", "run", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("offset"))
+    rows = counts.withColumn("run", F.floor(F.col("shard") / RUN)).join(offset, ["rank", "run"])
+    rows = rows.withColumn("j0", F.col("offset") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+    # Too many and too few: one row a source, summed up by rank.
+    got = quota.join(counts.groupBy("rank").agg(F.sum("n").alias("got")), "rank", "left").select("rank", F.col("slots").alias("quota"), F.coalesce("got", F.lit(0)).alias("got"))
+    got = got.withColumns({"over": F.greatest(F.lit(0), F.col("got") - F.col("quota")), "under": F.greatest(F.lit(0), F.col("quota") - F.col("got"))})
+    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    got = got.withColumns({f"{c}0": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("over", "under")})
+    rows = rows.join(got.select("rank", "quota", "over0"), "rank")
+    inside = F.least("n", F.greatest(F.lit(0), F.col("quota") - F.col("j0")))
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    own = rows.where(F.col("i") < inside).select("shard", "rank", (F.col("j0") + F.col("i")).alias("j"))
+    excess = rows.where(F.col("i") >= inside).select("shard", (F.col("over0") + F.col("j0") + F.col("i") - F.col("quota")).alias("e"), F.lit(1).alias("one"))
+    free = got.where("under > 0").agg(F.array_sort(F.collect_list(F.struct("under0", "rank", "got"))).alias("all")).withColumn("one", F.lit(1))  # one row
+    to = F.element_at("all", F.size(F.filter("all", lambda x: x["under0"] <= F.col("e"))))
+    moved = excess.join(F.broadcast(free), "one").withColumn("to", to).select("shard", F.col("to.rank").alias("rank"), (F.col("to.got") + F.col("e") - F.col("to.under0")).alias("j"))
+    every = own.unionByName(moved).join(quota.drop("slots"), "rank")
+    every = every.withColumns({"pass": F.floor(F.col("j") / F.col("blocks")), "i": F.pmod("j", F.col("blocks"))})
+    every = every.withColumn("block", permuted(F.col("i"), F.col("blocks"), _seed(F.col("rank"), F.col("pass"))))
+    held = F.lit(block) - F.when(F.col("block") == F.col("blocks") - 1, F.col("tail")).otherwise(0)
+    # In the unfinished pass, slot i starts after i * block words, less the tail if the short block came before.
     start = F.col("i") * block - F.when(F.col("short_at") < F.col("i"), F.col("tail")).otherwise(0)
-    words = F.when(F.col("pass") < F.col("passes"), F.col("held")).otherwise(F.greatest(F.lit(0), F.least(F.col("held"), F.col("rest") - start)))
-    met = met.withColumn("words", words.cast("long"))
-    whole = F.col("words") == F.col("held")
-    return met.groupBy("rank", "block").agg(F.sum(whole.cast("long")).alias("full"), F.sum(F.when(whole, 0).otherwise(F.col("words"))).alias("part"))
+    words = F.when(F.col("pass") < F.col("passes"), held).otherwise(F.greatest(F.lit(0), F.least(held, F.col("rest") - start)))
+    return every.select("shard", "rank", "j", "block", held.cast("long").alias("held"), words.cast("long").alias("words"))
 
 
-def mix(docs: DataFrame, block: int = 512, **knobs) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words of the document in the mix, repeats counted)."""
-    placed, _, slots = plan(docs, block, **knobs)
-    takes = taken_blocks(slots, block)
+def pieces(rows: DataFrame, block: int) -> DataFrame:
+    """`rows` of `placed`, one for each block that a document reaches into, with low and high (words of the stream, from 0)."""
     last = F.floor((F.col("start") + F.greatest(F.col("size"), F.lit(1)) - 1) / block)
-    pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), last)))
-    low, high = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-    pieces = pieces.join(takes.hint("merge"), ["rank", "block"], "left")  # takes grow with the corpus; they are never broadcast
-    part = F.greatest(F.lit(0), F.least(high - F.col("block") * block, F.coalesce("part", F.lit(0))) - (low - F.col("block") * block))
-    pieces = pieces.withColumn("words", (F.greatest(high - low, F.lit(0)) * F.coalesce("full", F.lit(0)) + part).cast("long"))
+    each = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), last)))
+    return each.withColumns({"low": F.greatest("start", F.col("block") * block), "high": F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)})
+
+
+def shards(docs: DataFrame, block: int = 512, bucket: int = 2048, weights: tuple[int, ...] = WEIGHTS, shard_slots: int = 1024) -> DataFrame:
+    """The mix: shard, source, j (the slot's number among its source's), at (place in the slot), doc_id, first and words: words first, first + 1...
+    of the document, in the order of j and at."""
+    rows, sources = placed(docs, block, bucket, weights)
+    taken = slots(quotas(sources, block), block, shard_slots)
+    met = pieces(rows, block).join(taken.hint("merge"), ["rank", "block"])
+    words = F.least("high", F.col("block") * block + F.col("words")) - F.col("low")
+    return met.where(words > 0).select("shard", "source", "j", (F.col("low") - F.col("block") * block).alias("at"), "doc_id", (F.col("low") - F.col("start")).alias("first"), words.alias("words"))
+
+
+def _mixed(docs: DataFrame, block: int, bucket: int, weights: tuple[int, ...], shard_slots: int) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, and times: how many slots take the document's first word."""
+    rows, sources = placed(docs, block, bucket, weights)
+    rows = cut(rows, "places")
+    whole = F.col("words") == F.col("held")
+    takes = slots(quotas(sources, block), block, shard_slots).groupBy("rank", "block").agg(F.sum(whole.cast("long")).alias("full"), F.sum(F.when(whole, 0).otherwise(F.col("words"))).alias("part"))
+    met = pieces(rows, block).join(takes.hint("merge"), ["rank", "block"], "left")  # takes grow with the corpus; they are never broadcast
+    full, part, begin = F.coalesce("full", F.lit(0)), F.coalesce("part", F.lit(0)), F.col("block") * block
+    words = F.greatest(F.col("high") - F.col("low"), F.lit(0)) * full + F.greatest(F.lit(0), F.least(F.col("high") - begin, part) - (F.col("low") - begin))
+    times = F.when(F.col("low") == F.col("start"), full + (F.col("low") - begin < part).cast("long"))
+    met = met.withColumns({"got": words.cast("long"), "times": times})
     # (rank, start, doc_id, size) names one row; rows of size 0 can share it and then count together.
-    whole = pieces.groupBy("rank", "start", "doc_id", "size").agg(F.first("source").alias("source"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("words").alias("taken"), F.count("*").alias("rows"))
+    one = met.groupBy("rank", "start", "doc_id", "size").agg(F.first("source").alias("source"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("got").alias("taken"), F.max("times").alias("times"), F.count("*").alias("rows"))
     copies = F.when(F.col("size") == 0, F.col("rows")).otherwise(1)
-    return whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long")))).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return one.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long")))).select("doc_id", "source", "size", "source_size", "target", "taken", "times")
+
+
+def mix(docs: DataFrame, block: int = 512, bucket: int = 2048, weights: tuple[int, ...] = WEIGHTS, shard_slots: int = 1024) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken (words of the document in the mix, repeats counted)."""
+    return _mixed(docs, block, bucket, weights, shard_slots).drop("times")
 
 
-def repeat(docs: DataFrame, block: int = 512, **knobs) -> DataFrame:
-    """The rows of `docs`, with all their columns, each as often as the mix takes it: taken / size, rounded up or down by a
-    pseudorandom number so that a source's words stay near its target on average. Rows of equal doc_id and size share alike; rows
+def repeat(docs: DataFrame, block: int = 512, bucket: int = 2048, weights: tuple[int, ...] = WEIGHTS, shard_slots: int = 1024) -> DataFrame:
+    """The rows of `docs`, with all their columns, each as often as slots of the mix take its first word: whole documents, so that a source's words
+    come near its target on average. Rows of equal doc_id, source and size share what they get, rounded up or down by a pseudorandom number; rows
     without words are never taken."""
-    takes = mix(docs, block, **knobs).groupBy("doc_id", "size").agg((F.sum("taken") / F.sum("size")).alias("_share"))
-    takes = takes.where("size > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_share")
+    takes = _mixed(docs, block, bucket, weights, shard_slots).where("size > 0").groupBy("doc_id", "source", "size").agg((F.sum("times") / F.count("*")).alias("_share"))
+    takes = takes.where("_share > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("size").alias("_size"), "_share")
     # The document's own columns travel inside one, so that their names don't matter.
     chance = F.pmod(F.xxhash64("doc_id", "text", F.lit("mix")), F.lit(1 << 20)) / (1 << 20)
-    marked = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_own"), n_words(F.col("text").cast("string")).alias("_n"), chance.alias("_chance"))
-    met = marked.join(takes, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
+    marked = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_own"), F.col("source").cast("string").alias("_source"), n_words(F.col("text").cast("string")).alias("_n"), chance.alias("_chance"))
+    met = marked.join(takes, F.col("_own").eqNullSafe(F.col("_id")) & F.col("_source").eqNullSafe(F.col("_from")) & (F.col("_n") == F.col("_size")))
     copies = F.floor(F.col("_share") + F.col("_chance")).cast("int")
     return met.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select("_row.*")
 
 
-def oracle_sql(block: int = 512, bucket: int = 8192) -> str:
+def oracle_sql(block: int = 512, bucket: int = 2048) -> str:
     """DuckDB SQL for the rows of `mix` with its default weights."""
     m = 2147483647
     key = lambda seed, r: f"((({seed}) * 31 + ({r})) * 1103515245 + 12345) % {m}"
@@ -174,8 +222,9 @@ def oracle_sql(block: int = 512, bucket: int = 8192) -> str:
         return f"list_reduce(range({ROUNDS}), lambda x, r: CASE WHEN {bit} THEN {other} ELSE x END, ({j})::BIGINT)"
 
     return f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-  ((((CASE WHEN doc_id IS NULL THEN -1 ELSE doc_id END) % {m} + {m}) % {m} * 1664525 + 1013904223) % {m} * 1103515245 + 12345) % {m} AS spread, greatest(1, ceil(count(*) OVER () / {bucket}.0))::BIGINT AS buckets FROM documents),
-p AS (SELECT *, row_number() OVER () AS rid, (sum(size) OVER (PARTITION BY source ORDER BY spread % buckets, spread, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS start FROM d),
+  ((((CASE WHEN doc_id IS NULL THEN -1 ELSE doc_id END) % {m} + {m}) % {m} * 1664525 + 1013904223) % {m} * 1103515245 + 12345) % {m} AS spread FROM documents),
+bk AS (SELECT source, greatest(1, ceil(count(*) / {bucket}.0))::BIGINT AS buckets FROM (SELECT DISTINCT doc_id, source, size FROM d) GROUP BY source),
+p AS (SELECT d.*, row_number() OVER () AS rid, (sum(size) OVER (PARTITION BY d.source ORDER BY spread % buckets, spread, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS start FROM d JOIN bk ON d.source IS NOT DISTINCT FROM bk.source),
 s0 AS (SELECT source, sum(size)::BIGINT AS ss, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
 s1 AS (SELECT *, [3, 1, 2][(rank % 3) + 1]::BIGINT AS w FROM s0),
 s2 AS (SELECT *, (3 * sum(ss) OVER () - 2 * coalesce(sum(2 * ss) OVER (ORDER BY 2 * ss / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS rest, (sum(w) OVER (ORDER BY 2 * ss / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS weigh FROM s1),
