@@ -1,14 +1,15 @@
 """Preference formatting. Main path: DataFrame functions only.
 
 Given two conversations for each pair (`chosen` and `rejected`, as tables of turns), the longest common prefix of turns is
-rendered once as the prompt, and what follows on either side as its completion. The output has one row a turn:
-pair_id, part (prompt, chosen, rejected), turn, role, text (rendered), loss (whether its tokens count in the loss:
-assistant turns of the completions), prompt_turns (turns of the prompt). So no task and no row ever holds a whole
-conversation; `assemble` joins the rows of each part into strings with character masks, where that is wanted.
+rendered once as the prompt, and what follows on either side as its completion, masked: the spans of characters whose
+tokens count in the loss (assistant turns of the completions). `format_pairs` emits one row a pair, or several for a long
+one: a row holds `SEGMENT` turn numbers at most, so neither a task nor a row ever holds a whole unbounded conversation. Rows of a
+pair follow one another by `segment`; spans count from the start of the row's own text. `rows_of` gives one row a turn.
 
 Turns are aligned by their number. Rows that share pair and turn are one turn: repeated rows count once, different
 ones are joined by line breaks in the order of role and text, under the smallest role. A null role is `user`, a null text
-empty; rows without pair id or turn number take no part. A pair with one side only is left out."""
+empty; rows without pair id or turn number take no part. A pair with one side only, or with equal sides, states no preference and is
+left out. A side that ends with the prompt has an empty completion. Other columns are not looked at."""
 
 from __future__ import annotations
 
@@ -18,6 +19,11 @@ from pyspark.sql import functions as F
 from .common import cut
 from .imatch import with_next
 
+#: Turn numbers in a row of the output.
+SEGMENT = 1024
+SPANS = "array<struct<start:int,end:int>>"
+PARTS = ("prompt", "chosen", "rejected")
+
 
 def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("<|end|>\n"))
@@ -31,79 +37,75 @@ def turns(table: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key, "turn").agg(F.min("role").alias("role"), joined.alias("text"))
 
 
-def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Both have pair_id, turn, role, text."""
+def aligned(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """pair_id, turn, c and r (structs of role and text, null where a side lacks the turn) of two tables of turns."""
     sides = F.struct("role", "text")
     good, bad = turns(chosen, "pair_id").select("pair_id", "turn", sides.alias("c")), turns(rejected, "pair_id").select("pair_id", "turn", sides.alias("r"))
-    met = good.join(bad, ["pair_id", "turn"], "full_outer")
+    return good.join(bad, ["pair_id", "turn"], "full_outer")
+
+
+def rows_of(met: DataFrame) -> DataFrame:
+    """One row a turn of what `aligned` gives: pair_id, part (prompt, chosen, rejected), turn, text (rendered), loss, split (the first turn
+    that differs)."""
     differs = ~F.col("c").eqNullSafe(F.col("r"))
-    first = met.groupBy("pair_id").agg(
-        F.min(F.when(differs, F.col("turn"))).alias("split"), F.count("c").alias("cs"), F.count("r").alias("rs"))
-    met = met.join(first.where("cs > 0 and rs > 0").select("pair_id", "split"), "pair_id")
-    shared = F.col("split").isNull() | (F.col("turn") < F.col("split"))
+    first = met.groupBy("pair_id").agg(F.min(F.when(differs, F.col("turn"))).alias("split"), F.count("c").alias("cs"), F.count("r").alias("rs"))
+    met = met.join(first.where("cs > 0 and rs > 0 and split is not null").select("pair_id", "split"), "pair_id")
     part = lambda name, side: F.struct(F.lit(name).alias("part"), F.col(side).alias("own"))
-    rows = met.withColumn("shared", shared).withColumn("p", F.explode(F.when(F.col("shared"), F.array(part("prompt", "c"))).otherwise(F.array(part("chosen", "c"), part("rejected", "r")))))
-    rows = rows.where(F.col("p.own").isNotNull())
+    parts = F.when(F.col("turn") < F.col("split"), F.array(part("prompt", "c"))).otherwise(F.array(part("chosen", "c"), part("rejected", "r")))
+    rows = met.withColumn("p", F.explode(parts)).where(F.col("p.own").isNotNull())
     loss = (F.col("p.part") != "prompt") & (F.col("p.own.role") == "assistant")
-    return rows.select("pair_id", F.col("p.part").alias("part"), "turn", F.col("p.own.role").alias("role"), render(F.col("p.own.role"), F.col("p.own.text")).alias("text"), loss.alias("loss"), "split")
+    return rows.select("pair_id", F.col("p.part").alias("part"), "turn", render(F.col("p.own.role"), F.col("p.own.text")).alias("text"), loss.alias("loss"), "split")
 
 
-def assemble(rows: DataFrame) -> DataFrame:
-    """pair_id and, for prompt, chosen and rejected, the joined text and the [start, end) spans of characters that count in
-    the loss. A row holds one pair, so memory follows the longest conversation."""
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "text", "loss")))
-    parts = rows.groupBy("pair_id", "part").agg(ordered.alias("all"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+def assembled(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """pair_id, segment (from 0, in the order of turns), split, prompt, chosen and rejected (texts), chosen_spans and rejected_spans
+    ([start, end) in characters, as text `0-5,9-14`): the rows of `rows_of` put together."""
+    at = F.floor(F.col("turn") / segment)
+    parts = rows.groupBy("pair_id", at.alias("at"), "split", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "text", "loss"))).alias("all"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         end = acc["at"] + F.length(x["text"])
         span = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(x["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    parts = parts.select("pair_id", "part", F.array_join(F.transform("all", lambda x: x["text"]), "").alias("text"), F.aggregate("all", start, step, lambda acc: acc["spans"]).alias("spans"))
-    return parts.groupBy("pair_id").pivot("part", ["prompt", "chosen", "rejected"]).agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
-
-
-def against_neighbour(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs from a plain table of conversations: each conversation is chosen over itself with its last assistant turn replaced by
-    the last assistant turn of its neighbour (ids that differ in the lowest bit). Conversations in which either has none make no pair."""
-    rows = turns(conversations, "conv_id")
-    last = last_replies(rows)
-    other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.text").alias("reply"))
-    both = last.join(other, "conv_id").select("conv_id", F.col("last.turn").alias("upto"), "reply")
-    return replaced_by(rows, both)
+    spans = F.transform(F.aggregate("all", start, step, lambda acc: acc["spans"]), lambda x: F.concat_ws("-", x["start"], x["end"]))
+    parts = parts.select("pair_id", "at", "split", "part", F.array_join(F.transform("all", lambda x: x["text"]), "").alias("text"), F.array_join(spans, ",").alias("spans"))
+    of = lambda part, what: F.coalesce(F.max(F.when(F.col("part") == part, F.col(what))), F.lit(""))
+    cols = [of(p, "text").alias(p) for p in PARTS] + [of(p, "spans").alias(f"{p}_spans") for p in PARTS[1:]]
+    return parts.groupBy("pair_id", F.col("at").alias("segment"), "split").agg(*cols)
 
 
-def against_next(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """As against_neighbour, but the neighbour is the conversation with the next smaller id that has an assistant turn (of the smallest,
-    the largest), so every conversation with an assistant turn makes a pair, whichever ids there are; a single one meets itself."""
-    rows = turns(conversations, "conv_id")
-    last = cut(last_replies(rows).select(F.col("conv_id").alias("doc_id"), F.col("last.turn").alias("upto"), F.col("last.text").alias("text")), "replies")
-    return replaced_by(rows, with_next(last, ()).select(F.col("doc_id").alias("conv_id"), "upto", F.col("next_text").alias("reply")))
-
-
-def last_replies(rows: DataFrame) -> DataFrame:
-    return rows.where("role = 'assistant'").groupBy("conv_id").agg(F.max_by(F.struct("turn", "text"), "turn").alias("last"))
-
-
-def replaced_by(rows: DataFrame, both: DataFrame) -> tuple[DataFrame, DataFrame]:
+def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows of `assembled` for two tables with pair_id, turn, role, text."""
+    return assembled(rows_of(aligned(chosen, rejected)))
+
+
+def against_next(conversations: DataFrame) -> DataFrame:
+    """Pairs from a plain table of conversations, as `aligned` gives them: each conversation is chosen over itself up to its last assistant turn,
+    with that of another one in its place: of the conversation with the next smaller id that has an assistant turn (of the smallest,
+    the largest). So every conversation with an assistant turn makes a pair, whichever ids there are, unless both turns are equal."""
+    rows = cut(turns(conversations, "conv_id"), "turns")
+    last = rows.where("role = 'assistant'").groupBy("conv_id").agg(F.max_by(F.struct("turn", "text"), "turn").alias("last"))
+    last = cut(last.select(F.col("conv_id").alias("doc_id"), F.col("last.turn").alias("upto"), F.col("last.text").alias("text")), "replies")
+    both = with_next(last, ()).select(F.col("doc_id").alias("conv_id"), "upto", F.col("next_text").alias("reply"))
     met = rows.join(both, "conv_id").withColumnRenamed("conv_id", "pair_id")
-    chosen = met.select("pair_id", "turn", "role", "text")
-    replaced = met.where("turn <= upto").select("pair_id", "turn", "role", F.when(F.col("turn") == F.col("upto"), F.col("reply")).otherwise(F.col("text")).alias("text"))
-    return chosen, replaced
-
-
-def oracle_sql() -> str:
-    """DuckDB SQL for format_pairs(*against_neighbour(conversations)), less the column split renamed first_difference."""
-    one = "SELECT {0}, turn, min(role) AS role, string_agg(text, chr(10) ORDER BY role, text) AS text FROM (SELECT DISTINCT {0}, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM {1} WHERE {0} IS NOT NULL AND turn IS NOT NULL) GROUP BY {0}, turn"
-    return f"""WITH t AS ({one.format("conv_id", "conversations")}),
-l AS (SELECT conv_id, max(turn) AS upto, arg_max(text, turn) AS reply FROM t WHERE role = 'assistant' GROUP BY conv_id),
-b AS (SELECT l.conv_id, l.upto, o.reply FROM l JOIN l o ON o.conv_id = xor(l.conv_id, 1)),
-c AS (SELECT conv_id AS pair_id, turn, role, text FROM t JOIN b USING (conv_id)),
-r AS (SELECT conv_id AS pair_id, turn, role, CASE WHEN turn = upto THEN reply ELSE text END AS text FROM t JOIN b USING (conv_id) WHERE turn <= upto),
-m AS (SELECT pair_id, turn, c.role AS cr, c.text AS ct, r.role AS rr, r.text AS rt FROM c FULL JOIN r USING (pair_id, turn)),
-s AS (SELECT pair_id, min(CASE WHEN cr IS DISTINCT FROM rr OR ct IS DISTINCT FROM rt THEN turn END) AS split FROM m GROUP BY pair_id),
-p AS (SELECT pair_id, 'prompt' AS part, turn, cr AS role, ct AS text, split FROM m JOIN s USING (pair_id) WHERE split IS NULL OR turn < split
-  UNION ALL SELECT pair_id, 'chosen', turn, cr, ct, split FROM m JOIN s USING (pair_id) WHERE turn >= split AND cr IS NOT NULL
-  UNION ALL SELECT pair_id, 'rejected', turn, rr, rt, split FROM m JOIN s USING (pair_id) WHERE turn >= split AND rr IS NOT NULL)
-SELECT pair_id, part, turn, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS text, part <> 'prompt' AND role = 'assistant' AS loss, split FROM p"""
+    own, other = F.struct("role", "text"), F.struct("role", F.col("reply").alias("text"))
+    return met.select("pair_id", "turn", own.alias("c"), F.when(F.col("turn") < F.col("upto"), own).when(F.col("turn") == F.col("upto"), other).alias("r"))
+
+
+def oracle_sql(segment: int = SEGMENT) -> str:
+    """DuckDB SQL for assembled(rows_of(against_next(conversations)))."""
+    piece = "'<|' || {0} || '|>' || chr(10) || {1} || '<|end|>' || chr(10)"
+    return f"""WITH t AS MATERIALIZED (SELECT conv_id, turn, min(role) AS role, string_agg(text, chr(10) ORDER BY role, text) AS text FROM (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL) GROUP BY conv_id, turn),
+l AS (SELECT conv_id, max(turn) AS upto, arg_max(text, turn) AS own FROM t WHERE role = 'assistant' GROUP BY conv_id),
+b AS (SELECT *, coalesce(lead(own) OVER (ORDER BY conv_id DESC), first_value(own) OVER (ORDER BY conv_id DESC)) AS reply FROM l),
+m AS (SELECT t.*, upto, CASE WHEN turn < upto THEN text WHEN turn = upto THEN reply END AS other FROM t JOIN b USING (conv_id)),
+s AS (SELECT conv_id, min(turn) AS split FROM m WHERE other IS DISTINCT FROM text GROUP BY conv_id),
+p AS (SELECT conv_id, turn, split, 'prompt' AS part, {piece.format("role", "text")} AS text, false AS loss FROM m JOIN s USING (conv_id) WHERE turn < split
+  UNION ALL SELECT conv_id, turn, split, 'chosen', {piece.format("role", "text")}, role = 'assistant' FROM m JOIN s USING (conv_id) WHERE turn >= split
+  UNION ALL SELECT conv_id, turn, split, 'rejected', {piece.format("role", "other")}, role = 'assistant' FROM m JOIN s USING (conv_id) WHERE turn >= split AND other IS NOT NULL),
+q AS (SELECT *, floor(turn / {segment}.0)::BIGINT AS segment, (sum(length(text)) OVER (PARTITION BY conv_id, part, floor(turn / {segment}.0) ORDER BY turn))::BIGINT AS upto FROM p)
+SELECT conv_id AS pair_id, segment, split, coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE part = 'prompt'), '') AS prompt, coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE part = 'chosen'), '') AS chosen,
+  coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE part = 'rejected'), '') AS rejected, coalesce(string_agg((upto - length(text)) || '-' || upto, ',' ORDER BY turn) FILTER (WHERE part = 'chosen' AND loss), '') AS chosen_spans,
+  coalesce(string_agg((upto - length(text)) || '-' || upto, ',' ORDER BY turn) FILTER (WHERE part = 'rejected' AND loss), '') AS rejected_spans FROM q GROUP BY conv_id, segment, split"""

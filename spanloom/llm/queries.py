@@ -34,11 +34,7 @@ def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.format_pairs(*preference.against_neighbour(table(spark, sf_dir, "conversations")))
-
-
-def op5_preference_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.format_pairs(*preference.against_next(table(spark, sf_dir, "conversations")))
+    return preference.assembled(preference.rows_of(preference.against_next(table(spark, sf_dir, "conversations"))))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +61,7 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_permutation_index, op4_imatch, op5_preference, op5_preference_all, op6_minhash, op7_toxicity, op8_mixing, op9_language_id, op10_ctw)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_permutation_index, op4_imatch, op5_preference, op6_minhash, op7_toxicity, op8_mixing, op9_language_id, op10_ctw)}
 
 ORACLES = {
     "op2_license_scan": license_scan.oracle_sql(),
