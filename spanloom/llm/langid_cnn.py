@@ -2,20 +2,20 @@
 
 Bytes are embedded, filters of several widths slide over fixed-length windows, each filter's maximum over a window
 goes through ReLU into a softmax over languages. The network is trained in numpy (Adam) on a bounded sample: at most
-`per_lang` documents of each language (those with the smallest hash of their id), one slice of at most `slice_chars`
-characters from each. Prediction cuts every whole text into windows of `WINDOW` bytes, runs them in batches, and takes
+`per_lang` documents of each of the `most_langs` most frequent languages (those with the smallest hash of id and text), one slice of at
+most `slice_chars` characters from each. Prediction cuts every whole text into windows of `WINDOW` bytes, runs them in batches, and takes
 the language with the highest mean log-probability over a text's windows.
 
 Texts that are null or hold no letter are `und` with score 0. Rows are independent; repeated rows stay."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +23,9 @@ from . import textbuf
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter is a character of the Unicode category L: no digit, fraction, superscript or circled number.
+LETTER = r"\p{L}"
+_LETTER = regex.compile(LETTER)
 
 
 @dataclass(frozen=True)
@@ -111,14 +113,20 @@ def train(texts: list[bytes], labels: list[str], dims: int = 8, filters: int = 1
     return net
 
 
-def fit(docs: DataFrame, per_lang: int = 400, slice_chars: int = 1024) -> Network:
-    """Trained on rows with a text and a language (`und` is no language to learn)."""
+def fit(docs: DataFrame, per_lang: int = 400, slice_chars: int = 1024, most_langs: int = 256) -> Network:
+    """Trained on rows with a text and a language (`und` is no language to learn); repeated rows count once. Ids are chosen before any text is
+    cut, from among those whose hash lies below a bound that about 4 x `per_lang` rows of the language pass: no task ranks a whole language."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != "und") & F.col("text").rlike(r"\p{L}"))
+    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != "und") & F.col("text").rlike(LETTER))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    many = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    below = F.lit(float(2**64)) * F.least(F.lit(1.0), 4.0 * per_lang / F.col("n")) - F.lit(float(2**63))
+    near = rows.select("lang", "h").join(F.broadcast(many), "lang").where(F.col("h") <= below).select("lang", "h").distinct()
+    order = Window.partitionBy("lang").orderBy("h")
+    chosen = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang)  # at most per_lang x most_langs rows
     at = F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.greatest(F.length("text") - slice_chars, F.lit(0)) + 1)
-    rows = rows.select("doc_id", "lang", F.substring("text", at.cast("int") + 1, F.lit(slice_chars)).alias("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    sample = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang).orderBy("lang", "rank").collect()
+    found = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "rank", F.substring("text", at.cast("int") + 1, F.lit(slice_chars)).alias("text"))
+    sample = found.groupBy("lang", "rank").agg(F.min("text").alias("text")).orderBy("lang", "rank").collect()
     return train([r["text"].encode() for r in sample], [r["lang"] for r in sample])
 
 
