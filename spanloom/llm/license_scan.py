@@ -1,7 +1,7 @@
 """License scan by template-markup matching.
 
-A template is wording with marked regions: <<beginOptional>> ... <<endOptional>> may be left out, and
-<<var;name=x;max=n>> stands for at most n words of any kind. `Automaton` compiles one into a token automaton;
+A template is wording with marked regions: <<beginOptional>> ... <<endOptional>> may be left out,
+<<var;name=x;max=n>> stands for at most n words of any kind, and <<var;name=x;match=a b|c>> for one of the wordings named. `Automaton` compiles one into a token automaton;
 a run of words is accepted if all mandatory wording stands there exactly, in order. A text carries a label if
 some run of its words is accepted. Base phrases are reported beside the templates.
 
@@ -38,10 +38,14 @@ other materials provided with the distribution"""
 _BSD_THIRD = """<<beginOptional>>3<<endOptional>> neither the name of <<var;name=organization;max=16>> nor the names of
 <<beginOptional>>its<<endOptional>> <<var;name=contributors;max=6>> may be used to endorse or promote products derived from this software
 without specific prior written permission"""
-_GPL_NOTICE = """is free software you can redistribute it and or modify it under the terms of the gnu <<beginOptional>>{kind}<<endOptional>>
+_GPL_NOTICE = """is free software you can redistribute it and or modify it under the terms of the gnu {kind}
 general public license as published by the free software foundation either version {version} of the license or at your
 option any later version"""
 
+_CC_NOTICE = """licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> <<beginOptional>>terms of the<<endOptional>>
+<<var;name=license;match=cc {code}|creative commons {name}>> <<beginOptional>>license<<endOptional>> <<beginOptional>>version<<endOptional>> {version}"""
+_VERBATIM = "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"
+
 # Label, weight in the score, template.
 TEMPLATES = {
     "mit-text": (1.0, """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
@@ -58,23 +62,42 @@ provided that the above copyright notice and this permission notice appear in al
     "apache-2.0-notice": (0.9, """licensed under the apache license version 2 0 <<beginOptional>>the license<<endOptional>>"""),
     "mit-notice": (0.9, """<<beginOptional>>this <<var;name=work;max=3>> is<<endOptional>> released under the <<beginOptional>>terms of the<<endOptional>> mit license"""),
     "mit-notice-licensed": (0.9, """licensed under the <<beginOptional>>terms of the<<endOptional>> mit license"""),
-    "gpl-2.0-notice": (0.9, _GPL_NOTICE.format(kind="library", version="2")),
-    "gpl-3.0-notice": (0.9, _GPL_NOTICE.format(kind="affero", version="3")),
-    "lgpl-notice": (0.9, _GPL_NOTICE.replace("<<beginOptional>>{kind}<<endOptional>>", "lesser").format(version="<<var;name=version;max=2>>")),
+    "gpl-2.0-notice": (0.9, _GPL_NOTICE.format(kind="", version="2")),
+    "gpl-3.0-notice": (0.9, _GPL_NOTICE.format(kind="", version="3")),
+    "agpl-3.0-notice": (0.9, _GPL_NOTICE.format(kind="affero", version="3")),
+    "lgpl-notice": (0.9, _GPL_NOTICE.format(kind="<<var;name=kind;match=lesser|library>>", version="<<var;name=version;max=2>>")),
     "gpl-3.0-short": (0.9, """licensed under the <<beginOptional>>terms of the<<endOptional>> gnu general public license <<beginOptional>>gpl<<endOptional>> version 3"""),
     "gpl-2.0-short": (0.9, """licensed under the <<beginOptional>>terms of the<<endOptional>> gnu general public license <<beginOptional>>gpl<<endOptional>> version 2"""),
-    "cc-by-4.0-notice": (0.9, """licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> <<beginOptional>>creative commons attribution<<endOptional>>
-<<beginOptional>>cc by<<endOptional>> 4 0 <<beginOptional>>international<<endOptional>> <<beginOptional>>license<<endOptional>>"""),
+    **{
+        f"cc-{code.replace(' ', '-')}-{version.replace(' ', '.')}-notice": (0.9, _CC_NOTICE.format(code=code, name=name, version=version))
+        for version in ("3 0", "4 0")
+        for code, name in (
+            ("by", "attribution"), ("by sa", "attribution sharealike"), ("by nd", "attribution noderivatives"), ("by nc", "attribution noncommercial"),
+            ("by nc sa", "attribution noncommercial sharealike"), ("by nc nd", "attribution noncommercial noderivatives"),
+        )
+    },
     "mpl-2.0-notice": (0.9, "subject to the terms of the mozilla public license v 2 0"),
-}
+    # Headings that stand above the full texts; the texts themselves are not stated here.
+    "apache-2.0-heading": (1.0, "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution 1 definitions"),
+    "gpl-2.0-heading": (1.0, "gnu general public license version 2 june 1991 copyright c 1989 1991 free software foundation inc <<var;name=address;max=16>> " + _VERBATIM),
+    "gpl-3.0-heading": (1.0, "gnu general public license version 3 29 june 2007 copyright c 2007 free software foundation inc <<var;name=address;max=6>> " + _VERBATIM),
+    "lgpl-2.1-heading": (1.0, "gnu lesser general public license version 2 1 february 1999 copyright c 1991 1999 free software foundation inc <<var;name=address;max=16>> " + _VERBATIM),
+    "lgpl-3.0-heading": (1.0, "gnu lesser general public license version 3 29 june 2007 copyright c 2007 free software foundation inc <<var;name=address;max=6>> " + _VERBATIM),
+    "agpl-3.0-heading": (1.0, "gnu affero general public license version 3 19 november 2007 copyright c 2007 free software foundation inc <<var;name=address;max=6>> " + _VERBATIM),
+    "mpl-2.0-heading": (1.0, "mozilla public license version 2 0 <<var;name=rule;max=1>> 1 definitions"),
+}
 MENTION = 0.5
 
 
 class Node:
-    """One part of a template: a word, an optional run of parts, or a run of any words."""
+    """One part of a template: a word, an optional run of parts, one of several wordings, or a run of any words."""
+
+    def __init__(self, word: str = "", optional: list | None = None, most: int = 0, oneof: list[list[str]] | None = None):
+        self.word, self.optional, self.most, self.oneof = word, optional, most, oneof
+
 
-    def __init__(self, word: str = "", optional: list | None = None, most: int = 0):
-        self.word, self.optional, self.most = word, optional, most
+def _words(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
 
 
 def parse(markup: str) -> list[Node]:
@@ -89,9 +112,10 @@ def parse(markup: str) -> list[Node]:
             kind, *rest = mark.split(";")
             if kind != "var":
                 raise ValueError(f"unknown markup {mark}")
-            stack[-1].append(Node(most=int(dict(x.split("=", 1) for x in rest).get("max", 8))))
+            own = dict(x.split("=", 1) for x in rest)
+            stack[-1].append(Node(oneof=[_words(x) for x in own["match"].split("|")]) if "match" in own else Node(most=int(own.get("max", 8))))
         else:
-            stack[-1] += [Node(word=w) for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())]
+            stack[-1] += [Node(word=w) for w in _words(text)]
     if len(stack) > 1:
         raise ValueError("an optional region has no end")
     return stack[0]
@@ -99,7 +123,15 @@ def parse(markup: str) -> list[Node]:
 
 def regex(nodes: list[Node]) -> str:
     """The same language as a regular expression over words that each end in a space."""
-    return "".join(f"{n.word} " if n.word else f"(?:{regex(n.optional)})?" if n.optional is not None else f"(?:[^ ]+ ){{0,{n.most}}}" for n in nodes)
+
+    def one(n: Node) -> str:
+        if n.word:
+            return f"{n.word} "
+        if n.oneof is not None:
+            return "(?:" + "|".join("".join(f"{w} " for w in ws) for ws in n.oneof) + ")"
+        return f"(?:{regex(n.optional)})?" if n.optional is not None else f"(?:[^ ]+ ){{0,{n.most}}}"
+
+    return "".join(map(one, nodes))
 
 
 class Automaton:
@@ -138,6 +170,15 @@ class Automaton:
                 to = self._state()
                 self.free[end].append(to)
                 self.free[at].append(to)
+            elif n.oneof is not None:
+                to = self._state()
+                for wording in n.oneof:
+                    step = at
+                    for word in wording:
+                        nxt = self._state()
+                        self.arcs[step].append((word.encode(), nxt))
+                        step = nxt
+                    self.free[step].append(to)
             else:
                 to = self._state()
                 self.free[at].append(to)
@@ -196,9 +237,10 @@ def scan(docs: DataFrame, templates: dict[str, tuple[float, str]] = TEMPLATES, b
                 joined = b" " + b" ".join(words) + b" " if words else b""
                 places, named, score = [], set(), 0.0
                 for phrase, label in phrases:
-                    at = joined.find(phrase)
+                    at, seen, word = joined.find(phrase), 0, 0
                     while at >= 0:
-                        places.append(joined.count(b" ", 0, at))
+                        word, seen = word + joined.count(b" ", seen, at), at
+                        places.append(word)
                         named.add(label)
                         at = joined.find(phrase, at + 1)
                 labels = set(named)
