@@ -7,15 +7,19 @@ in which near copies count once. Words inside an exception phrase don't count. A
 weights / (1 + ln(1 + words / 200)): it grows with each hit and falls with length. The score is d / (d + half * 7/3),
 in 0..1, where `half` is the density that tells the sample's labels apart best; it scores 0.3.
 
-Null and empty texts score 0. Rows are scored one by one from their text alone: repeated rows stay and score alike."""
+Words of fewer than 3 or more than 40 letters never enter a lexicon; a text in a script without spaces is matched by word beginnings.
+Null and empty texts score 0. Rows are scored one by one from their text alone: repeated rows stay and score alike, other columns are
+not looked at. Ties between terms don't matter: all that pass the floors enter. Without labels the lexicon is empty and all score 0."""
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -87,12 +91,19 @@ def density(words: list[str], automaton: ahocorasick.Automaton) -> float:
             excused.append((at, end))
         else:
             hits[at] = max(weight, hits.get(at, 0.0))
-    total = sum(w for at, w in hits.items() if not any(a <= at < b for a, b in excused))
+    if excused:
+        excused.sort()
+        starts, ends = [a for a, _ in excused], list(accumulate((b for _, b in excused), max))
+        inside = lambda at: (i := bisect_right(starts, at)) > 0 and at < ends[i - 1]
+        hits = {at: w for at, w in hits.items() if not inside(at)}
+    # Added up in the order of places, so that equal texts score alike to the last bit.
+    total = sum(hits[at] for at in sorted(hits))
     return total / (1.0 + math.log1p(len(words) / 200.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 6000, max_clean: int = 12000, least_share: float = 0.01, least_odds: float = 2.0, most_entries: int = 4000) -> Lexicon:
-    """`labels` has doc_id and toxic (0/1; rows with null are left out); a document labelled both ways counts as toxic."""
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 6000, max_clean: int = 12000, least_share: float = 0.01, least_odds: float = 2.0) -> Lexicon:
+    """`labels` has doc_id and toxic (0/1; rows with null are left out); a document labelled both ways counts as toxic. A term enters if it stands
+    in `least_share` of the toxic rows at least, so there are at most (mean distinct terms of a toxic row) / `least_share`; no other cap."""
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = rows.where("toxic = 1").orderBy(*order).limit(max_toxic).unionByName(rows.where("toxic = 0").orderBy(*order).limit(max_clean))
@@ -145,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 6000, max_clean: in
     kept = terms.where("term <> ''").select("term", "t", "tu", rate.alias("rate"), odds.alias("odds"))
     # A word of few documents must also stand in them more than once: a rare harmless word seldom does.
     kept = kept.where((F.col("t") >= math.ceil(least_share * toxic)) & (F.col("tu") >= max(5, 1.5 * least_share * toxic)) & (F.col("rate") >= 2 * least_odds) & (F.col("odds") >= least_odds))
-    kept = kept.orderBy(F.desc("t"), "term").limit(most_entries).collect()
+    kept = kept.collect()
     lexicon = Lexicon(tuple(sorted((r["term"].rstrip(" "), not r["term"].endswith(" "), float(min(r["rate"], 1.5 * r["odds"]))) for r in kept)))
     return replace(lexicon, half=_calibrated(own, lexicon))
 
