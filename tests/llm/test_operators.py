@@ -98,7 +98,7 @@ def test_unigram_takes_the_shortest_path():
     assert [machine.pieces[i] for i in machine.encode("bab")] == ["▁", "b", "ab"]
 
 
-def test_licenses(docs, empty):
+def test_licenses(spark, docs, empty):
     same(license_scan.scan(docs), ORACLES["op2_license_scan"], documents=docs)
     assert license_scan.scan(empty).count() == 0
     label, (weight, markup) = "mit-text", license_scan.TEMPLATES["mit-text"]
@@ -107,6 +107,10 @@ def test_licenses(docs, empty):
     at = plain.index("be", plain.index("event"))
     full = [w.encode() for w in [*plain[:at], "the", "authors", *plain[at:]]]
     check = lambda ws: automaton.found(b" " + b" ".join(ws) + b" ", ws)
+    scanned = spark.createDataFrame([(1, "this code is licensed under 4 0"), (2, "Licensed under CC BY-NC 4.0"), (3, "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"), (4, "Licensed under CC BY 4.0. cc by " + "cc-by " * 20000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(scanned).collect()}
+    assert [got[i]["labels"] for i in (1, 2, 3, 4)] == ["", "cc-by,cc-by-nc-4.0-notice", "cc-by-sa-4.0-notice", "cc-by,cc-by-4.0-notice"] and (got[4]["n_base"], got[4]["first_word"], got[4]["last_word"]) == (20002, 2, 40004 + 2)
+    same(license_scan.scan(scanned), ORACLES["op2_license_scan"], documents=scanned)
     assert check(full) and check([b"x", *full, b"y"]) and not check(full[:-1]) and not check([w if i != 30 else b"other" for i, w in enumerate(full)])
 
 
@@ -148,22 +152,35 @@ def test_fingerprints(spark, docs, empty):
 
 def test_preferences(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "a"), (1, 0, "user", "hi"), (1, 1, "assistant", "b"), (1, 2, "user", "more"), (2, 0, "user", "alone"), (3, 0, "assistant", "x"), (4, 0, "user", None), (4, 1, None, "z"), (5, 0, "assistant", "q"), (0, 1, "assistant", "a"), (None, 0, "user", "n"), (4, 2, "assistant", ""), (6, 0, "assistant", "same"), (7, 0, "assistant", "same")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select("*", F.lit(1).alias("pair_id"), F.lit(2).alias("part"), F.lit(3).alias("split"))
-    out = preference.format_pairs(*preference.against_neighbour(df))
+    rows += [(9, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(5000)] + [(9, 7, "assistant", "another row of turn 7"), (8, 3, "system", "y" * 100_000), (8, 5, "assistant", "end"), (9, -1, "system", "before"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select("*", F.lit(1).alias("pair_id"), F.lit(2).alias("part"), F.lit(3).alias("split"), F.lit(4).alias("c"))
+    out = preference.assembled(preference.rows_of(preference.against_next(df)))
     same(out, ORACLES["op5_preference"], conversations=df.select("conv_id", "turn", "role", "text"))
-    whole = {r["pair_id"]: r for r in preference.assemble(out).collect()}
-    assert whole[0]["prompt_text"] == "<|user|>\nhi<|end|>\n" and whole[0]["chosen_text"] == "<|assistant|>\na<|end|>\n" and whole[0]["rejected_text"] == "<|assistant|>\nb<|end|>\n"
-    assert [tuple(x) for x in whole[0]["chosen_spans"]] == [(0, len(whole[0]["chosen_text"]))] and whole[0]["prompt_spans"] == []
-    assert whole[6]["prompt_text"] and whole[6]["chosen_text"] is None
-    assert preference.format_pairs(*preference.against_neighbour(df.limit(0))).count() == 0
+    whole = {(r["pair_id"], r["segment"]): r for r in out.collect()}
+    one = whole[1, 0]
+    assert one["prompt"] == "<|user|>\nhi<|end|>\n" and one["chosen"] == "<|assistant|>\nb<|end|>\n<|user|>\nmore<|end|>\n" and one["rejected"] == "<|assistant|>\na<|end|>\n"
+    assert one["chosen_spans"] == f"0-{len('<|assistant|>|b<|end|>|')}" == one["rejected_spans"]
+    assert (7, 0) not in whole and {p for p, _ in whole} == {0, 1, 3, 4, 5, 6, 8, 9}  # 7 answers as its neighbour 6 does
+    assert sorted(s for p, s in whole if p == 9) == [-1, 0, 1, 2, 3, 4] and whole[9, 4]["rejected"].endswith("end<|end|>\n")
+    none = df.limit(0)
+    assert preference.rows_of(preference.against_next(none)).count() == 0
+
+
+def test_given_pairs(spark):
+    schema = "pair_id long, turn long, role string, text string"
+    good = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "yes"), (2, 0, "user", "only here"), (3, 0, "user", "q"), (4, 0, "user", "q"), (4, 1, "assistant", "long")], schema)
+    bad = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "no"), (3, 0, "user", "q"), (4, 0, "user", "q")], schema)
+    got = {r["pair_id"]: (r["prompt"], r["chosen"], r["rejected"]) for r in preference.format_pairs(good, bad).collect()}
+    q = "<|user|>\nq<|end|>\n"
+    assert got == {1: (q, "<|assistant|>\nyes<|end|>\n", "<|assistant|>\nno<|end|>\n"), 4: (q, "<|assistant|>\nlong<|end|>\n", "")}
 
 
 def test_every_conversation_with_a_reply_makes_a_pair(spark):
     rows = [(2 * i, j, r, f"{r}{2 * i}") for i in range(50) for j, r in enumerate(("user", "assistant"))] + [(7, 0, "user", "alone"), (None, 0, "assistant", "n")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    whole = {r["pair_id"]: r for r in preference.assemble(preference.format_pairs(*preference.against_next(df))).collect()}
+    whole = {r["pair_id"]: r for r in preference.assembled(preference.rows_of(preference.against_next(df))).collect()}
     assert sorted(whole) == [2 * i for i in range(50)]
-    assert all(r["rejected_text"] == f"<|assistant|>\nassistant{(i - 2) % 100}<|end|>\n" for i, r in whole.items())
+    assert all(r["rejected"] == f"<|assistant|>\nassistant{(i - 2) % 100}<|end|>\n" for i, r in whole.items())
 
 
 def test_near_duplicates(spark, docs, empty):
@@ -174,6 +191,11 @@ def test_near_duplicates(spark, docs, empty):
     assert minhash_join.near_duplicates(empty).count() == 0
     kept = minhash_join.keep_one(docs, 80)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.where("doc_id in (5, 60, 61, 62, 63)").collect()) == [5, 60]
+    assert [r["text"] for r in kept.where("doc_id is null").collect()] == [None]  # the copy of 60 without an id goes
+    a, b, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "abo")
+    few = spark.createDataFrame([(3, b), (5, b), (5, other), (60, a), (None, a), (None, None), (None, None), (8, ""), (8, ""), (9, a + " "), (9, a)], "doc_id long, text string")
+    got = [(r["doc_id"], r["text"] and r["text"].strip()) for r in minhash_join.keep_one(few, 80).collect()]
+    assert sorted(got, key=str) == sorted([(3, b), (5, other), (9, a), (None, None), (8, "")], key=str)
 
 
 def test_a_large_group_of_near_copies(spark):
@@ -224,21 +246,73 @@ def test_mixing(docs, empty):
         assert 0 <= r["taken"] <= 2 * r["size"]
     assert all(abs(sum(r["taken"] for r in rs) - rs[0]["target"]) <= 1 for rs in by.values())
     assert len(got) == len(corpus()) and sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs, block=16).collect()), key=str)
+    # The mix itself: every slot of every shard, drawn and filled.
+    cells = mixing.shards(docs, block=16, shard_slots=32).collect()
+    taken = collections.Counter()
+    for r in cells:
+        taken[r["doc_id"], r["source"]] += r["words"]
+    want = collections.Counter()
+    for r in got:
+        want[r["doc_id"], r["source"]] += r["taken"]
+    assert taken == +want
+    in_shard, numbers = collections.defaultdict(set), collections.defaultdict(set)
+    for r in cells:
+        in_shard[r["shard"]].add((r["source"], r["j"]))
+        numbers[r["source"]].add(r["j"])
+    assert all(js == set(range(len(js))) for js in numbers.values()) and {len(x) for k, x in in_shard.items() if k < max(in_shard)} == {32}
     again = mixing.repeat(docs)
     assert again.columns == docs.columns and again.count() > 0
     assert mixing.mix(empty).count() == 0
 
 
+def test_a_shard_draws_its_sources(spark):
+    quota = [5000, 15000, 20000]
+    table = spark.createDataFrame([(r, q, 100, 0, 0, 0, 0) for r, q in enumerate(quota)], "rank long, slots long, blocks long, passes long, rest long, tail long, short_at long")
+    draws = [[0] * 3 for _ in range(40)]
+    for r in mixing.drawn(table, 1000).collect():
+        draws[r["shard"]][r["rank"]] = r["n"]
+    assert all(sum(x) == 1000 for x in draws)
+    # Multinomial: a count's variance over shards is n p (1 - p); a division of fixed totals in equal parts would have none.
+    for k, q in enumerate(quota):
+        p, own = q / 40000, [x[k] for x in draws]
+        assert abs(sum(own) / 40 - 1000 * p) < 10 and 0.4 < np.var(own) / (1000 * p * (1 - p)) < 2
+    # By hand: the source of each slot.
+    import hashlib
+
+    def source(g):
+        u = int(hashlib.md5(f"mix:{g}".encode()).hexdigest()[:8], 16) / 2**32 * 40000
+        return 0 if u < 5000 else 1 if u < 20000 else 2
+
+    assert draws[7] == [sum(source(g) == k for g in range(7000, 8000)) for k in range(3)]
+    js = collections.defaultdict(list)
+    for r in mixing.slots(table, 512, 1000).collect():
+        js[r["rank"]].append(r["j"])
+    assert all(sorted(js[k]) == list(range(q)) for k, q in enumerate(quota))
+
+
+def test_one_row_a_third_of_all(spark):
+    rows = [(1, "a b c", "s")] * 400 + [(i, "w " * (i % 40), f"s{i % 3}") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    same(mixing.mix(df), ORACLES["op8_mixing"], documents=df)
+    words = {r["source"]: r["n"] for r in mixing.repeat(df, block=16).groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
+    for r in mixing.mix(df, block=16).select("source", "target").distinct().collect():
+        assert abs(words[r["source"]] - r["target"]) < 0.15 * r["target"]
+
+
 def test_permutations_are_exact(spark):
     for n in (1, 2, 7, 100, 1023):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long")).alias("p")).collect()
         assert sorted(r["p"] for r in got) == list(range(n))
+        back = spark.range(n).select("id", mixing.permuted(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long")), F.lit(n).cast("long"), F.lit(5).cast("long"), back=True).alias("b"))
+        assert back.where("id <> b").isEmpty()
 
 
 def test_language(docs, empty):
     net = langid_cnn.fit(docs.where(crc_mod("doc_id", 5) != 0))
     got = {r["doc_id"]: r for r in langid_cnn.predict(docs, net).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (64, 65, 66, 67))
+    signs = docs.limit(1).select(F.explode(F.array(*map(F.lit, ("½ ½", "②", "x² ²", "٣", "_")))).alias("text")).select(F.monotonically_increasing_id().alias("doc_id"), "text")
+    assert [r["lang_pred"] == "und" for r in langid_cnn.predict(signs, net).collect()] == [True, True, False, True, True]
     sure = [(i, lang) for i, text, lang, _ in corpus() if i is not None and lang and text and len(text) > 200 and zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum(got[i]["lang_pred"] == lang for i, lang in sure) >= 0.9 * len(sure) > 0
     kept = {r["doc_id"] for r in langid_cnn.keep_known(docs, net).collect()}
