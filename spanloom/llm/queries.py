@@ -65,9 +65,7 @@ QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_perm
 
 ORACLES = {
     "op2_license_scan": license_scan.oracle_sql(),
-    "op3_permutation_index": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-d AS (SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (v.e[i] - q.e[i]) * (v.e[i] - q.e[i])), lambda a, b: a + b)) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0)
-SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10""",
+    "op3_permutation_index": permutation_index.oracle_sql(),
     "op4_imatch": imatch.oracle_sql(),
     "op5_preference": preference.oracle_sql(),
     "op6_minhash": minhash_join.oracle_sql(85),
