@@ -114,20 +114,25 @@ def test_licenses(spark, docs, empty):
     assert check(full) and check([b"x", *full, b"y"]) and not check(full[:-1]) and not check([w if i != 30 else b"other" for i, w in enumerate(full)])
 
 
+def neighbours(rows):
+    got = collections.defaultdict(list)
+    for r in rows.collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    return {q: [v for _, v, _ in sorted(own)] for q, own in got.items()}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 32)).astype(np.float32)
     x[1000:2000] = x[1000]  # a third of the rows are one vector
     rows = [(i, [float(v) for v in x[i]]) for i in range(len(x))]
     rows += [(5000, None), (5100, [0.0] * 32), (5200, [float("nan")] * 32), (5300, [None] * 32), (None, rows[0][1]), (5400, [1.0, 2.0]), rows[7]]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("*", F.lit(1).alias("score"), F.lit(1).alias("rb"))
-    got = collections.defaultdict(list)
-    for r in permutation_index.search(df, F.col("vec_id") % 100 == 0, block=1000, query_block=16, least=100).collect():
-        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("*", F.lit(1).alias("score"), F.lit(1).alias("part"), F.lit(1).alias("x"))
+    got = neighbours(permutation_index.search(df, F.col("vec_id") % 100 == 0, part=100))
     ids = np.arange(len(x))
     hit = total = 0
     for q, near in permutation_index.brute_force(ids, x.astype(np.float64), ids % 100 == 0):
-        own = [v for _, v, _ in sorted(got.pop(q))]
+        own = got.pop(q)
         hit += len(set(own) & set(near))
         total += len(near)
         if 1000 <= q < 2000:
@@ -138,6 +143,30 @@ def test_neighbours(spark):
     assert permutation_index.search(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("n", [12, 40, 500, 4000])
+def test_neighbours_match_the_sql_and_brute_force_at_any_size(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 24))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(n)] + [(3, [1.0] * 24), (3, [2.0] * 24)]  # one id, several vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    step = max(5, n // 40)
+    out = permutation_index.search(df, F.col("vec_id") % step == 0, part=64)
+    if n <= 500:
+        same(out, permutation_index.oracle_sql(f"vec_id % {step} = 0"), embeddings=df)
+    got, hit, total = neighbours(out), 0, 0
+    for q, near in permutation_index.brute_force(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[0] % step == 0 for r in rows])):
+        assert len(got[q]) == len(near)
+        hit, total = hit + len(set(got[q]) & set(near)), total + len(set(near))
+    assert hit / total >= 0.9
+
+
+def test_few_rows_are_reranked(spark):
+    x = np.random.default_rng(1).normal(size=(2000, 32))
+    index = permutation_index.Index(np.arange(2000), x, 256, 96)
+    files, bounds = index.plan(np.arange(50), x[:50], 40, 0.75, 0.15)
+    scores = index.lists.shared(permutation_index.Lists(permutation_index.by_nearness(x[:50], index.pivots)[:, :96], 256))
+    assert all(((scores[i] >= bounds[i]) & np.isin(index.files, files[i])).mean() < 0.2 for i in range(50))
+
+
 def test_fingerprints(spark, docs, empty):
     same(imatch.fingerprints(docs), ORACLES["op4_imatch"], documents=docs)
     got = {r["doc_id"]: r for r in imatch.fingerprints(docs).collect()}
