@@ -1,17 +1,21 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-`Transducer` compiles a model file into three machines and composes them with each input:
+`Transducer` compiles a model file into machines and composes them with each input:
 
-* the normaliser (dummy prefix, space to U+2581; identity otherwise - a model with a precompiled
-  character map is refused, since dropping it would give other ids);
-* the pieces, from strings to ids, with arc weight -score (unigram models);
-* byte fallback: a character that is no piece leaves by its UTF-8 bytes' pieces.
+* the normaliser: rewriting by the model's character map (longest match first), squeezing of white space, the dummy prefix, space to U+2581;
+* the pieces, from strings to ids. In a unigram model an arc weighs -score. In a BPE model the summed scores do not rank paths
+  as merging does, so pieces are composed with the merge acceptor: piece b may follow piece a exactly if merging the text "ab" ends
+  in [a, b]; an arc that may follow weighs 0, another one is not there;
+* fallback arcs: a character that is no piece leaves by its UTF-8 bytes' pieces or, in a model without them, as unknown (a run of
+  unknown characters is one token); in a unigram model it weighs 10 more than the worst piece.
 
-The result is the tropical-semiring shortest path. For a BPE model the summed piece scores do not rank
-paths as merging does, so the pieces are also composed with the merge acceptor: piece b may follow
-piece a exactly if merging the text "ab" ends in [a, b]. Merges inside two neighbours happen in the same
-order whatever stands around them, so a path all of whose neighbours are accepted is the result of merging
-the whole text, and there is one such path. All its arcs then weigh 0, and one state a position remains.
+User-defined symbols are cut out first of a text for a BPE model, longest first, and are never joined with what stands around them; in a
+unigram model their arcs weigh next to nothing.
+
+The ids are those of the shortest path in the tropical semiring, found by relaxing arcs from left to right. Merges inside two
+neighbours happen in the same order whatever stands around them, so a path all of whose neighbours are accepted is the
+result of merging the whole text up to its end: a position has one state in either kind of model, which remembers its last arc. Among
+paths of equal weight the one whose last arc is longest is taken, at every position.
 
 No arc spans two characters that are never neighbours inside a piece. Such places are articulation points
 of every lattice: the path is the concatenation of the paths between them, which are memoised in a cache of
@@ -20,6 +24,7 @@ bounded size. Cost and memory follow the text; one very long text needs memory i
 from __future__ import annotations
 
 import functools
+import re
 import struct
 from collections.abc import Iterator
 
@@ -84,12 +89,70 @@ class _Paths(dict):
         return path
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """The rules of a precompiled character map: a double-array trie over bytes, then the replacements, each ended by a zero byte."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, texts = np.frombuffer(blob[4 : 4 + size], np.uint32).astype(np.int64), blob[4 + size :]
+    # Of a unit: its label and the sign bit, the distance to its children, whether a value hangs there.
+    labels, jumps, ends = units & 0x800000FF, (units >> 10) << ((units & 512) >> 6), (units >> 8) & 1
+    rules, todo, every = {}, [(int(jumps[0]), b"")], np.arange(1, 256)
+    while todo:
+        at, key = todo.pop()
+        children = at ^ every
+        inside = children < len(units)
+        for byte in every[inside][labels[children[inside]] == every[inside]]:
+            child, word = at ^ int(byte), key + bytes([byte])
+            below = child ^ int(jumps[child])
+            if ends[child]:
+                begin = int(units[below]) & 0x7FFFFFFF
+                rules[word.decode()] = texts[begin : texts.index(0, begin)].decode()
+            todo.append((below, word))
+    return rules
+
+
+class Normaliser:
+    """Text to the text that pieces are matched against."""
+
+    def __init__(self, rules: dict[str, str], kept: list[str], prefix: bool, squeeze: bool, escape: bool):
+        self.rules, self.prefix, self.squeeze, self.space = rules, prefix, squeeze, SPACE if escape else " "
+        first: dict[str, set[int]] = {}
+        for word in [*rules, *kept]:
+            first.setdefault(word[0], set()).add(len(word))
+        self.sizes = {c: sorted(n, reverse=True) for c, n in first.items()}
+        self.kept = set(kept)
+        self.touched = re.compile("[" + "".join(map(re.escape, sorted(first))) + "]") if rules else None
+
+    def _rewritten(self, text: str) -> str:
+        out, at = [], 0
+        while (found := self.touched.search(text, at)) is not None:
+            begin = found.start()
+            out.append(text[at:begin])
+            for size in self.sizes[text[begin]]:
+                word = text[begin : begin + size]
+                if word in self.kept or word in self.rules:
+                    break
+            else:
+                size, word = 1, text[begin]
+            out.append(word if word in self.kept else self.rules.get(word, word))
+            at = begin + size
+        return "".join([*out, text[at:]])
+
+    def __call__(self, text: str) -> str:
+        if self.touched is not None:
+            text = self._rewritten(text)
+        if self.squeeze:
+            text = re.sub(" +", " ", text).lstrip(" ").rstrip(" " + self.space)
+        return ((" " if self.prefix else "") + text).replace(" ", self.space) if text else ""
+
+
 class Transducer:
     def __init__(self, model: bytes, cache: int = 200_000):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         kinds: list[int] = []
-        kind, self.prefix, escape, squeeze, charsmap = UNIGRAM, True, True, True, b""
+        kind, suffix, spec = UNIGRAM, 0, {}
         for number, value in _fields(model):
             if number == 1:
                 one = dict(_fields(value))
@@ -97,21 +160,31 @@ class Transducer:
                 self.scores.append(one.get(2, 0.0))
                 kinds.append(one.get(3, NORMAL))
             elif number == 2:
-                kind = dict(_fields(value)).get(3, UNIGRAM)
+                trainer = dict(_fields(value))
+                kind, suffix = trainer.get(3, UNIGRAM), trainer.get(24, 0)
             elif number == 3:
                 spec = dict(_fields(value))
-                charsmap, self.prefix, squeeze, escape = spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1))
-        if charsmap or squeeze or not escape or kind not in (UNIGRAM, BPE):
-            raise ValueError("only unigram and BPE models with an identity normaliser that keeps white space are supported")
-        self.merging = kind == BPE
-        self.ids = {p: i for i, p in enumerate(self.pieces) if kinds[i] in (NORMAL, USER)}
+        if kind not in (UNIGRAM, BPE) or suffix or UNUSED in kinds:
+            raise ValueError("only unigram and BPE models are supported, without unused pieces and with white space before words")
+        self.merging, self.prefix, self.squeeze = kind == BPE, bool(spec.get(3, 1)), bool(spec.get(4, 1))
+        own = sorted((p for p, k in zip(self.pieces, kinds) if k == USER), key=len, reverse=True)
+        self.normal = Normaliser(character_map(spec.get(2, b"")), own, self.prefix, self.squeeze, bool(spec.get(5, 1)))
+        self.user = re.compile("(" + "|".join(map(re.escape, own)) + ")") if own and self.merging else None
+        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds)) if k == NORMAL or (k == USER and not self.merging)}
+        self.user_ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds)) if k == USER}
         self.unknown = next((i for i, k in enumerate(kinds) if k == UNKNOWN), 0)
         by_byte = {int(self.pieces[i][3:5], 16): i for i, k in enumerate(kinds) if k == BYTE}
         self.bytes = [by_byte[b] for b in range(256)] if len(by_byte) == 256 else None
         self.byte_of = {i: b for b, i in by_byte.items()}
         self.surface = [("" if kinds[i] == CONTROL else " ⁇ " if kinds[i] == UNKNOWN else p.replace(SPACE, " ")) for i, p in enumerate(self.pieces)]
-        self.longest = max(map(len, self.ids), default=1)
-        self.lowest = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
+        self.spaced = {i for i, p in enumerate(self.pieces) if p.startswith(SPACE) and kinds[i] in (NORMAL, USER)}
+        self.longest: dict[str, int] = {}  # of the pieces that begin with two characters
+        for p in self.ids:
+            self.longest[p[:2]] = max(len(p), self.longest.get(p[:2], 1))
+        plain = [self.scores[i] for p, i in self.ids.items() if kinds[i] == NORMAL] or [0.0]
+        weight = lambda p, i: -self.scores[i] if kinds[i] == NORMAL else 0.1 - max(0.0, *plain) * len(p.encode())
+        self.weights = {p: 0.0 if self.merging else weight(p, i) for p, i in self.ids.items()}
+        self.fallback = 0.0 if self.merging else 10.0 - min(plain)
         neighbours = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
         letters = sorted({c for pair in neighbours for c in pair})
         self.letter = np.zeros(0x110000, np.int16)
@@ -120,7 +193,8 @@ class Transducer:
         for a, b in neighbours:
             self.bridge[self.letter[ord(a)], self.letter[ord(b)]] = True
         self.splits: dict[str, tuple[str, str] | None] = {}
-        self.paths = _Paths(self._merge_path if self.merging else self._weighted_path, cache)
+        self.times: dict[str, float] = {}
+        self.paths = _Paths(self._shortest_path, cache)
 
     def _split(self, piece: str) -> tuple[str, str] | None:
         """The two parts whose joining forms the piece; None if merging its text does not end in it."""
@@ -146,23 +220,31 @@ class Transducer:
             return False
         if not a:
             return True
-        ids, scores = self.ids, self.scores
-        rank_a = -scores[ids[a]] if len(a) > 1 else -INFINITE
-        rank_b = -scores[ids[b]] if len(b) > 1 else -INFINITE
+        ids, scores, when = self.ids, self.scores, self._when
+        time_a, time_b = when(a), when(b)
         limit, first = INFINITE, False  # a joint merge of equal rank comes first only against one to its right
         while True:
             joint = ids.get(a + b)
             if joint is not None and (-scores[joint] < limit or (first and -scores[joint] == limit)):
                 return False
-            if rank_a > rank_b:
-                limit, first, a = rank_a, False, self._split(a)[1]
-                rank_a = -scores[ids[a]] if len(a) > 1 else -INFINITE
-            elif rank_b > -INFINITE:
-                limit, first, b = rank_b, True, self._split(b)[0]
-                rank_b = -scores[ids[b]] if len(b) > 1 else -INFINITE
+            if time_a > time_b:
+                limit, first, a = time_a, False, self._split(a)[1]
+                time_a = when(a)
+            elif time_b > -INFINITE:
+                limit, first, b = time_b, True, self._split(b)[0]
+                time_b = when(b)
             else:
                 return True
 
+    def _when(self, piece: str) -> float:
+        """The rank of the last merge that has to be due before the piece is whole."""
+        if len(piece) == 1:
+            return -INFINITE
+        if piece not in self.times:
+            left, right = self._split(piece)
+            self.times[piece] = max(-self.scores[self.ids[piece]], self._when(left), self._when(right))
+        return self.times[piece]
+
     def _emit(self, pieces: list[str]) -> tuple[int, ...]:
         out: list[int] = []
         for p in pieces:
@@ -175,74 +257,81 @@ class Transducer:
                 out.append(self.unknown)
         return tuple(out)
 
-    def _merge_path(self, text: str) -> tuple[int, ...]:
-        found = self.ids.get(text)
-        if found is not None and self._accepted("", text):
-            return (found,)
-        # Every accepted prefix is the merging of its text, so a position that leads nowhere is dead for good.
-        ids, accepted, longest, size = self.ids, self._accepted, self.longest, len(text)
-        dead, pieces, at, span = set(), [], 0, min(longest, size)
-        while at < size:
-            last = pieces[-1] if pieces else ""
-            while span:
-                piece = text[at : at + span]
-                if (span == 1 or piece in ids) and at + span not in dead and accepted(last, piece):
-                    break
-                span -= 1
-            if span:
-                pieces.append(piece)
-                at += span
-                span = min(longest, size - at)
-            else:
-                dead.add(at)
-                span = len(pieces.pop())
-                at -= span
-                span -= 1
-        return self._emit(pieces)
-
-    def _weighted_path(self, text: str) -> tuple[int, ...]:
-        cost, back = [0.0] + [float("inf")] * len(text), [0] * (len(text) + 1)
-        for end in range(1, len(text) + 1):
-            for begin in range(max(0, end - self.longest), end):
-                found = self.ids.get(text[begin:end])
-                weight = -self.scores[found] if found is not None else -self.lowest if end - begin == 1 else None
-                if weight is not None and cost[begin] + weight < cost[end]:
-                    cost[end], back[end] = cost[begin] + weight, begin
-        out, at = [], len(text)
+    def _shortest_path(self, text: str) -> tuple[int, ...]:
+        """Where arcs weigh something (unigram) positions are settled from left to right; where all weigh 0 (BPE) in the order of a stack, which
+        is as good a queue then, until the end is settled."""
+        size, weights, fallback, longest = len(text), self.weights, self.fallback, self.longest
+        last = [""] * (size + 1)
+        if self.merging:
+            if text in weights and self._accepted("", text):
+                return (self.ids[text],)  # the one accepted path
+            settled, queue = bytearray(size + 1), [(0, "")]
+            while not settled[size]:
+                at, piece = queue.pop()
+                if settled[at]:
+                    continue
+                if piece and not self._accepted(last[at - len(piece)], piece):
+                    continue
+                settled[at], last[at] = 1, piece
+                for end in range(at + 1, min(at + longest.get(text[at : at + 2], 1), size) + 1):
+                    if not settled[end] and ((piece := text[at:end]) in weights or end == at + 1):
+                        queue.append((end, piece))
+        else:
+            cost = [0.0] + [INFINITE] * size
+            for at in range(size):
+                here = cost[at]
+                for end in range(at + 1, min(at + longest.get(text[at : at + 2], 1), size) + 1):
+                    piece = text[at:end]
+                    weight = weights.get(piece, fallback if end == at + 1 else INFINITE)
+                    # Positions are left in order, so at equal weight the arc that came first, the longest, stays.
+                    if here + weight < cost[end]:
+                        cost[end], last[end] = here + weight, piece
+        out, at = [], size
         while at:
-            out.append(text[back[at] : at])
-            at = back[at]
+            out.append(last[at])
+            at -= len(last[at])
         return self._emit(out[::-1])
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        text = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        kinds = self.letter[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
-        cuts = [0, *(np.flatnonzero(~self.bridge[kinds[:-1], kinds[1:]]) + 1).tolist(), len(text)]
-        paths, out = self.paths, []
-        for a, b in zip(cuts, cuts[1:]):
-            out += paths[text[a:b]]
+        text = self.normal(text)
+        out: list[int] = []
+        for i, part in enumerate(self.user.split(text) if self.user else (text,)):
+            if i % 2:
+                out.append(self.user_ids[part])
+            elif part:
+                kinds = self.letter[np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32)]
+                cuts = [0, *(np.flatnonzero(~self.bridge[kinds[:-1], kinds[1:]]) + 1).tolist(), len(part)]
+                paths = self.paths
+                for a, b in zip(cuts, cuts[1:]):
+                    out += paths[part[a:b]]
+        if self.bytes is None and self.unknown in out:
+            out = [x for x, before in zip(out, [None, *out]) if x != self.unknown or before != self.unknown]
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """The output side read back: pieces to text, runs of byte pieces as UTF-8 (a broken one becomes U+FFFD)."""
-        out, run, surface = [], bytearray(), self.surface
-        if not self.byte_of.keys().isdisjoint(ids):
-            for i in ids:
-                byte = self.byte_of.get(i)
-                if byte is not None:
-                    run.append(byte)
-                    continue
-                if run:
-                    out.append(run.decode("utf-8", "replace"))
-                    run.clear()
-                out.append(surface[i])
-            out.append(run.decode("utf-8", "replace"))
-            text = "".join(out)
-        else:
-            text = "".join([surface[i] for i in ids])
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        """The output side read back: pieces to text, runs of byte pieces as UTF-8 (a broken one becomes U+FFFD). The dummy prefix goes: one
+        space of the first piece, or of each up to the first text in a model that squeezes white space."""
+        out, at, surface = [], 0, self.surface
+        if self.prefix or self.squeeze:
+            while at < len(ids) and ids[at] not in self.byte_of and (ids[at] in self.spaced or not surface[ids[at]]):
+                at += 1
+                if ids[at - 1] in self.spaced:
+                    out.append(surface[ids[at - 1]][1:])
+                    if out[-1] or not self.squeeze:
+                        break
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join(out + [surface[i] for i in ids[at:]])
+        run = bytearray()
+        for i in ids[at:]:
+            byte = self.byte_of.get(i)
+            if byte is not None:
+                run.append(byte)
+                continue
+            if run:
+                out.append(run.decode("utf-8", "replace"))
+                run.clear()
+            out.append(surface[i])
+        return "".join(out) + run.decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)
