@@ -18,7 +18,8 @@ Positions in the streams are sums over (source, bucket) first and over a source'
 source; a bucket holds about `bucket` different rows, and equal rows (id, source and size) pass as one with a count. A document without
 words takes part with size 0 and takes nothing. Each row is a document: repeated rows take their own places. Null ids and null
 sources are kept. Everything is a function of the rows alone, so reruns agree. Words are [^\\x20\\x09-\\x0D]+; a null text has none. Other
-columns are not looked at. There is one row a source in a few plans and in one broadcast array; nothing else is broadcast."""
+columns are not looked at. There is one row a source in a few plans and in an array of
+each plan of slots; nothing else is sent to all tasks."""
 
 from __future__ import annotations
 
@@ -120,11 +121,11 @@ def drawn(quota: DataFrame, shard_slots: int) -> DataFrame:
     spark, by_rank = quota.sparkSession, Window.orderBy("rank")
     many = quota.agg(F.coalesce(F.sum("slots"), F.lit(0))).collect()[0][0]
     upto = quota.select("rank", F.sum("slots").over(by_rank).alias("upto"))
-    table = upto.agg(F.array_sort(F.collect_list(F.struct("rank", "upto"))).alias("all")).withColumn("one", F.lit(1))  # one row
+    table = upto.agg(F.array_sort(F.collect_list(F.struct("rank", "upto")))).scalar()
     u = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double")
-    slots = spark.range(0, many, 1, int(spark.conf.get("spark.sql.shuffle.partitions"))).select(F.floor(F.col("id") / shard_slots).alias("shard"), u.alias("u"), F.lit(1).alias("one"))
+    slots = spark.range(0, many, 1, int(spark.conf.get("spark.sql.shuffle.partitions"))).select(F.floor(F.col("id") / shard_slots).alias("shard"), u.alias("u"), table.alias("all"))
     at = F.size(F.filter("all", lambda x: x["upto"].cast("double") * 4294967296.0 <= F.col("u") * float(many)))
-    return slots.join(F.broadcast(table), "one").select("shard", F.element_at("all", at + 1)["rank"].alias("rank")).groupBy("shard", "rank").agg(F.count("*").alias("n"))
+    return slots.select("shard", F.element_at("all", at + 1)["rank"].alias("rank")).groupBy("shard", "rank").agg(F.count("*").alias("n"))
 
 
 def slots(quota: DataFrame, block: int, shard_slots: int) -> DataFrame:
@@ -140,14 +141,15 @@ def slots(quota: DataFrame, block: int, shard_slots: int) -> DataFrame:
     got = got.withColumns({"over": F.greatest(F.lit(0), F.col("got") - F.col("quota")), "under": F.greatest(F.lit(0), F.col("quota") - F.col("got"))})
     before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     got = got.withColumns({f"{c}0": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("over", "under")})
-    rows = rows.join(got.select("rank", "quota", "over0"), "rank")
+    # From here on a row becomes many: they are dealt to all tasks, which the optimiser would not do for rows as small as these.
+    rows = rows.join(got.select("rank", "quota", "over0"), "rank").repartition(int(quota.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "shard")
     inside = F.least("n", F.greatest(F.lit(0), F.col("quota") - F.col("j0")))
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     own = rows.where(F.col("i") < inside).select("shard", "rank", (F.col("j0") + F.col("i")).alias("j"))
-    excess = rows.where(F.col("i") >= inside).select("shard", (F.col("over0") + F.col("j0") + F.col("i") - F.col("quota")).alias("e"), F.lit(1).alias("one"))
-    free = got.where("under > 0").agg(F.array_sort(F.collect_list(F.struct("under0", "rank", "got"))).alias("all")).withColumn("one", F.lit(1))  # one row
+    excess = rows.where(F.col("i") >= inside).select("shard", (F.col("over0") + F.col("j0") + F.col("i") - F.col("quota")).alias("e"))
+    free = got.where("under > 0").agg(F.array_sort(F.collect_list(F.struct("under0", "rank", "got")))).scalar()
     to = F.element_at("all", F.size(F.filter("all", lambda x: x["under0"] <= F.col("e"))))
-    moved = excess.join(F.broadcast(free), "one").withColumn("to", to).select("shard", F.col("to.rank").alias("rank"), (F.col("to.got") + F.col("e") - F.col("to.under0")).alias("j"))
+    moved = excess.withColumn("all", free).withColumn("to", to).select("shard", F.col("to.rank").alias("rank"), (F.col("to.got") + F.col("e") - F.col("to.under0")).alias("j"))
     every = own.unionByName(moved).join(quota.drop("slots"), "rank")
     every = every.withColumns({"pass": F.floor(F.col("j") / F.col("blocks")), "i": F.pmod("j", F.col("blocks"))})
     every = every.withColumn("block", permuted(F.col("i"), F.col("blocks"), _seed(F.col("rank"), F.col("pass"))))
