@@ -90,12 +90,51 @@ def test_sentencepiece_matches_the_library(docs, empty):
     assert sentencepiece_wfst.encode(empty, piece_model()).count() == 0
 
 
+def piece_proto(pieces, kind, charsmap=b"", prefix=1, squeeze=1):
+    """A model file of (piece, score, type) by hand."""
+
+    def varint(n):
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    held = lambda f, b: varint(f << 3 | 2) + varint(len(b)) + b
+    number = lambda f, v: varint(f << 3) + varint(v)
+    out = b"".join(held(1, held(1, p.encode()) + varint(2 << 3 | 5) + np.float32(s).tobytes() + number(3, k)) for p, s, k in pieces)
+    bytes_too = any(k == 6 for _, _, k in pieces)
+    return out + held(2, number(3, kind) + number(35, int(bytes_too))) + held(3, (held(2, charsmap) if charsmap else b"") + number(3, prefix) + number(4, squeeze) + number(5, 1))
+
+
 def test_unigram_takes_the_shortest_path():
-    piece = lambda p, s, k=1: (lambda b: b"\x0a" + bytes([len(b)]) + b)(b"\x0a" + bytes([len(p.encode())]) + p.encode() + b"\x15" + np.float32(s).tobytes() + b"\x18" + bytes([k]))
-    model = piece("<unk>", 0, 2) + piece("▁", -1.0) + piece("a", -2.0) + piece("b", -2.0) + piece("ab", -3.0) + piece("▁a", -1.5) + b"\x1a\x04\x18\x01\x20\x00"
+    model = piece_proto([("<unk>", 0, 2), ("▁", -1.0, 1), ("a", -2.0, 1), ("b", -2.0, 1), ("ab", -3.0, 1), ("▁a", -1.5, 1)], 1, squeeze=0)
     machine = sentencepiece_wfst.Transducer(model)
     assert [machine.pieces[i] for i in machine.encode("ab")] == ["▁a", "b"]
     assert [machine.pieces[i] for i in machine.encode("bab")] == ["▁", "b", "ab"]
+    assert [machine.pieces[i] for i in machine.encode("xyb")] == ["▁", "<unk>", "b"]  # a run of unknown characters is one token
+
+
+def test_models_of_both_kinds_match_the_library():
+    """Random vocabularies with and without character maps, squeezing, dummy prefix, byte fallback and user-defined symbols; scores are eighths,
+    so that sums are exact and ties are ties in the library's single precision too."""
+    import sentencepiece
+
+    normal = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    charsmap = next(dict(sentencepiece_wfst._fields(v))[2] for k, v in sentencepiece_wfst._fields(normal) if k == 3)
+    rng = random.Random(5)
+    parts = ["a", "b", "c", "d", "e", "é", " ", "  ", "中", "ａ", "ﬁ", "\t", "\n", "<sep>", "<", "ab<", "x", "①", "▁", "　", "é"]
+    for trial in range(24):
+        kind, mapped, user, fallback = 1 + trial % 2, trial % 4 < 2, rng.random() < 0.4, rng.random() < 0.5
+        pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *((f"<0x{i:02X}>", 0, 6) for i in range(256 * fallback)), *((("<sep>", 0, 4), ("ab<", 0, 4)) if user else ())]
+        words = dict.fromkeys([*"abcd▁é", *("".join(rng.choice("abcdeé▁中") for _ in range(rng.randint(2, 5))) for _ in range(60))])
+        pieces += [(w, -i if kind == 2 else -rng.randint(1, 96) / 8, 1) for i, w in enumerate(words)]
+        model = piece_proto(pieces, kind, charsmap if mapped else b"", int(rng.random() < 0.7), int(rng.random() < 0.5))
+        lib, machine = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece_wfst.Transducer(model)
+        for _ in range(100):
+            s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+            ids = machine.encode(s)
+            assert ids == lib.encode(s) and machine.decode(ids) == lib.decode(ids), (trial, s)
 
 
 def test_licenses(spark, docs, empty):
