@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,5 +66,10 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(text, "[^a-zA-Z0-9_]+", "_")
 
 
+def plain_text(text: str) -> str:
+    """The same of a Python string."""
+    return re.sub("[^a-zA-Z0-9_]+", "_", text)
+
+
 def trace_id_of_file(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/.]+)[^/]*$", 1)

@@ -5,31 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.plans.ranks import ranked
+from spanloom.scratch import cut
+
 
 def name(path: Column) -> Column:
     return F.array_join(path, "->")
 
 
 def with_own_time(nodes: DataFrame) -> DataFrame:
-    """Nodes with path_dur (time of their critical children, 0 off the path) and own (exclusive time of the span)."""
-    below = nodes.where("on_cp and parent_id is not null").groupBy("trace_id", "root_id", F.col("parent_id").alias("span_id")).agg(F.sum("adj_dur").alias("path_dur"))
-    out = nodes.join(below, ["trace_id", "root_id", "span_id"], "left").withColumn("path_dur", F.coalesce("path_dur", F.lit(0)))
-    return out.withColumn("own", F.greatest(F.lit(0), F.col("adj_dur") - F.col("path_dur")))
+    """Nodes with own (exclusive time of the span: its time less that of its critical children)."""
+    return nodes.withColumn("own", F.greatest(F.lit(0), F.col("adj_dur") - F.col("path_dur")))
 
 
 def per_trace(nodes: DataFrame) -> DataFrame:
     """trace_id, root_id, path, inc, excl (floored at 0 a path), freq, inc_ex, excl_ex (worst span: longest, then latest in path order)."""
-    rows = with_own_time(nodes).where("on_cp")
+    rows = nodes.where("on_cp")
     worst = F.max_by("span_id", F.struct("adj_dur", "cp_pos"))
     return rows.groupBy("trace_id", "root_id", "path").agg(
         F.sum("adj_dur").alias("inc"), F.greatest(F.lit(0), F.sum(F.col("adj_dur") - F.col("path_dur"))).alias("excl"), F.count("*").alias("freq"), worst.alias("inc_ex"), worst.alias("excl_ex"), F.max("adj_dur").alias("worst"))
 
 
 def merged(profile: DataFrame) -> DataFrame:
-    """By path over all trees: sums, integer means over the number of trees, and the worst tree (ties: smallest trace)."""
-    trees = profile.select("trace_id", "root_id").distinct().agg(F.count("*").alias("trees"))
+    """By path over all trees: sums, integer means over the number of trees, and the worst tree (ties: smallest trace). The sums are cut, so that
+    counting the trees (each has one row of a path of length 1) repeats nothing."""
     sums = profile.groupBy("path").agg(F.sum("inc").alias("inc"), F.sum("excl").alias("excl"), F.sum("freq").alias("freq"), F.count("*").alias("in_trees"), F.min_by("trace_id", F.struct(-F.col("inc"), "trace_id")).alias("worst_trace"))
-    return sums.join(F.broadcast(trees)).withColumns({"avg_inc": F.floor(F.col("inc") / F.col("trees")), "avg_excl": F.floor(F.col("excl") / F.col("trees"))})
+    sums = cut(sums, "merged")
+    trees = sums.where("size(path) = 1").agg(F.sum("in_trees")).scalar()
+    return sums.withColumns({"avg_inc": F.floor(F.col("inc") / trees), "avg_excl": F.floor(F.col("excl") / trees)})
 
 
 def exemplars(profile: DataFrame, most: int = 3) -> DataFrame:
@@ -45,12 +48,17 @@ def by_op(profile: DataFrame) -> DataFrame:
 
 def folded(profile: DataFrame, counts: bool = False) -> DataFrame:
     """stack, value [, freq]: mean exclusive time by stack; leaves that would be 0 become 1. Semicolons inside names become _."""
-    whole = merged(profile)
-    inner = whole.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("path") - 1, F.lit(1))), lambda i: F.slice("path", F.lit(1), i))).alias("prefix"), F.size("path").alias("n")).where("size(prefix) < n").select(F.col("prefix").alias("path")).distinct().withColumn("inner", F.lit(True))
-    out = whole.join(inner, "path", "left")
-    value = F.when(F.col("inner").isNull() & (F.col("avg_excl") == 0), 1).otherwise(F.col("avg_excl"))
+    return stacked(merged(profile), "avg_excl", counts)
+
+
+def stacked(whole: DataFrame, value: str, counts: bool = False) -> DataFrame:
+    """stack, value [, freq] of rows with distinct paths; only a leaf may have to be 1 instead of 0. A path is no leaf if it is another one's parent."""
+    inner = whole.where("size(path) > 1").select(F.slice("path", F.lit(1), F.size("path") - 1).alias("path"))
+    inner = inner.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice("path", F.lit(1), i))).alias("path")).distinct()
+    empty = whole.where(F.col(value) == 0).join(inner, "path", "left_anti").select("path", F.lit(1).cast("long").alias("least"))
+    out = whole.join(empty, "path", "left")
     stack = F.array_join(F.transform("path", lambda x: F.replace(x, F.lit(";"), F.lit("_"))), ";")
-    return out.select(stack.alias("stack"), value.cast("long").alias("value"), *([F.col("freq")] if counts else []))
+    return out.select(stack.alias("stack"), F.coalesce("least", value).cast("long").alias("value"), *([F.col("freq")] if counts else []))
 
 
 def cct_lines(profile: DataFrame) -> DataFrame:
@@ -58,19 +66,26 @@ def cct_lines(profile: DataFrame) -> DataFrame:
     return folded(profile, True).select(F.format_string("%s %d <<%d>>", "stack", "value", "freq").alias("value"))
 
 
-def latency_ranks(nodes: DataFrame) -> DataFrame:
-    """trace_id, root_id, latency, rn (from 1 by latency, then trace), n. Only one row a tree passes through the global order."""
-    roots = nodes.where("depth = 1").select("trace_id", "root_id", F.col("adj_dur").alias("latency"), F.lpad("trace_id", 20, "0").alias("k"))
-    return roots.withColumns({"rn": F.row_number().over(Window.orderBy("latency", "k")), "n": F.count("*").over(Window.partitionBy())}).drop("k")
+def latency_ranks(roots: DataFrame) -> DataFrame:
+    """trace_id, root_id, latency, root_error, rn (from 1 by latency, then trace), n, of `roots` (trace_id, root_id, latency, root_error), ranked by ranges."""
+    rows = roots.withColumn("_k", F.lpad("trace_id", 20, "0"))
+    return ranked(rows, [], ["latency", "_k", "trace_id", "root_id"]).drop("_k")
+
+
+def roots(nodes: DataFrame) -> DataFrame:
+    """trace_id, root_id, latency, root_error of each tree."""
+    return nodes.where("depth = 1").select("trace_id", "root_id", F.col("adj_dur").alias("latency"), F.col("is_error").alias("root_error"))
 
 
-def slice_profiles(profile: DataFrame, ranks: DataFrame, ranges: dict[str, tuple[int, int]]) -> DataFrame:
-    """label, path, excl, trees: profiles over slices of the trees by latency rank, [n*start/100, n*end/100) rounded half to even."""
+def slice_profiles(profile: DataFrame, ranks: DataFrame, ranges: dict[str, tuple[int, int]], average: bool = True) -> DataFrame:
+    """label, path, excl, trees: profiles (trace_id, root_id, path, excl) over slices of the ranked trees, [n*start/100, n*end/100) rounded half to
+    even; means over the trees of the slice, or sums. A tree may lie in several slices."""
     spans = F.array(*(F.struct(F.lit(k).alias("label"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in ranges.items()))
-    cut = ranks.withColumn("s", F.explode(spans)).where((F.col("rn") > F.bround(F.col("n") * F.col("s.a") / 100)) & (F.col("rn") <= F.bround(F.col("n") * F.col("s.b") / 100)))
-    cut = cut.select("trace_id", "root_id", F.col("s.label").alias("label"))
-    trees = cut.groupBy("label").agg(F.count("*").alias("trees"))
-    return profile.join(cut, ["trace_id", "root_id"]).groupBy("label", "path").agg(F.sum("excl").alias("total")).join(F.broadcast(trees), "label").select("label", "path", F.floor(F.col("total") / F.col("trees")).alias("excl"), "trees")
+    part = ranks.withColumn("s", F.explode(spans)).where((F.col("rn") > F.bround(F.col("n") * F.col("s.a") / 100)) & (F.col("rn") <= F.bround(F.col("n") * F.col("s.b") / 100)))
+    part = part.select("trace_id", "root_id", F.col("s.label").alias("label"))
+    trees = part.groupBy("label").agg(F.count("*").alias("trees"))
+    sums = profile.join(part, ["trace_id", "root_id"]).groupBy("label", "path").agg(F.sum("excl").alias("total")).join(F.broadcast(trees), "label")  # a row a range
+    return sums.select("label", "path", (F.floor(F.col("total") / F.col("trees")) if average else F.col("total")).alias("excl"), "trees")
 
 
 def difference(one: DataFrame, two: DataFrame, key: str, value: str, normalise: bool = False) -> DataFrame:
@@ -78,8 +93,8 @@ def difference(one: DataFrame, two: DataFrame, key: str, value: str, normalise:
     a, b = one.select(key, F.col(value).alias("a")), two.select(key, F.col(value).alias("b"))
     both = a.join(b, key, "full_outer").select(key, F.coalesce("a", F.lit(0)).alias("before"), F.coalesce("b", F.lit(0)).alias("after"))
     if normalise:
-        totals = both.agg(F.sum("before").alias("ta"), F.sum("after").alias("tb"))
-        both = both.join(F.broadcast(totals)).withColumn("before", F.floor(F.col("before") * F.try_divide("tb", "ta"))).drop("ta", "tb")
+        both = cut(both, "difference")
+        both = both.withColumn("before", F.floor(F.col("before") * both.agg(F.try_divide(F.sum("after"), F.sum("before"))).scalar()))
     return both.withColumn("change", F.col("after") - F.col("before"))
 
 
@@ -92,9 +107,22 @@ def tree_graph(folded_stacks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def anonymised(profile: DataFrame) -> DataFrame:
-    """Profile with operations renamed [Service] OperationN, N by name; its other columns stay."""
-    names = profile.select(F.explode("path").alias("name")).distinct().withColumn("alias", F.concat(F.lit("[Service] Operation"), F.dense_rank().over(Window.orderBy("name"))))
-    one = profile.select("trace_id", "root_id", F.col("path").alias("was"), F.posexplode("path").alias("at", "name")).join(names, "name")
-    new = one.groupBy("trace_id", "root_id", "was").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "alias"))), lambda x: x["alias"]).alias("path"))
-    return profile.withColumnRenamed("path", "was").join(new, ["trace_id", "root_id", "was"]).drop("was")
+def aliases(nodes: DataFrame) -> DataFrame:
+    """name, alias: every operation on a critical path as Service::OperationN, N in the order in which they are first seen (trace, then path order)."""
+    seen = nodes.where("on_cp").groupBy(name_of("service", "op").alias("name")).agg(F.min(F.struct(F.lpad("trace_id", 20, "0").alias("trace"), F.col("root_id").alias("root"), "cp_pos")).alias("first"))
+    return ranked(seen.select("name", "first.*"), [], ["trace", "root", "cp_pos"]).select("name", F.concat(F.lit("Service::Operation"), F.col("rn")).alias("alias"))
+
+
+def name_of(service: str, op: str) -> Column:
+    return F.concat(F.lit("["), F.col(service), F.lit("] "), F.col(op))
+
+
+def anonymised(rows: DataFrame, names: DataFrame, paths: tuple[str, ...] = ("path",), ops: tuple[str, ...] = ()) -> DataFrame:
+    """`rows` with the names in its columns `paths` (arrays) and `ops` (single names) replaced by their aliases; other columns stay."""
+    for column in ops:
+        rows = rows.join(names.withColumnRenamed("name", column), column, "left").withColumn(column, F.col("alias")).drop("alias")
+    for column in paths:
+        each = rows.select(F.col(column).alias("_was")).distinct().select("_was", F.posexplode("_was").alias("_at", "name")).join(names, "name", "left")
+        new = each.groupBy("_was").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "alias"))), lambda x: x["alias"]).alias("_new"))
+        rows = rows.join(new, rows[column] == new["_was"]).withColumn(column, F.col("_new")).drop("_was", "_new")
+    return rows

@@ -1,89 +1,62 @@
-"""Drag, slack and dependencies between siblings, from windows and arrays of siblings."""
+"""Drag, slack and dependencies between siblings, from what the tree kernel says of each node and from one kernel over pairs of call paths."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.config import Knobs
+
 from .profile import with_own_time
+from .whatif import dependencies as path_pairs
 
 TREE = ["trace_id", "root_id"]
 
 
-def drag(nodes: DataFrame) -> DataFrame:
-    """On-path nodes with drag (how much sooner the parent would end without them) and drag_excl (their own share of it)."""
-    siblings = Window.partitionBy(*TREE, "parent_id").orderBy(F.desc("adj_end"), F.desc("span_ord"))
+def _drag():
     whole = F.col("adj_dur")
-    gain = F.greatest(F.lit(0), F.least(whole, F.col("adj_end") - F.lead("adj_end").over(siblings)))
-    rows = with_own_time(nodes).withColumn("drag", F.when(F.col("parent_id").isNull(), whole).otherwise(F.coalesce(gain, whole)))
-    last = nodes.where("parent_id is not null").groupBy(*TREE, F.col("parent_id").alias("span_id")).agg(F.max("adj_end").alias("child_end"))
-    rows = rows.where("on_cp").join(last, [*TREE, "span_id"], "left")
-    tail = F.when(F.col("child_end").isNull(), F.col("adj_dur")).otherwise(F.greatest(F.lit(0), F.col("adj_end") - F.col("child_end")))
-    return rows.withColumn("drag_excl", F.least(F.col("drag"), F.col("own"), tail)).select(*TREE, "span_id", "path", "adj_dur", "own", "drag", "drag_excl")
+    gain = F.greatest(F.lit(0), F.least(whole, F.col("adj_end") - F.col("next_end")))
+    return F.when(F.col("parent_id").isNull(), whole).otherwise(F.coalesce(gain, whole))
 
 
-def happens_before(a: Column, b: Column, dur: Column, every: Column, overlap: float = 0.01) -> Column:
-    """The tolerant order of siblings as an expression; a and b have s and e, `every` is the array of all siblings."""
-    inside = F.aggregate(every, F.lit(0), lambda n, y: n + ((y["s"] >= b["s"]) & (y["s"] <= a["e"])).cast("int") + ((y["e"] >= b["s"]) & (y["e"] <= a["e"])).cast("int"))
-    close = (a["e"] < b["e"]) & (a["s"] < b["s"]) & (dur > 0) & (F.try_divide(a["e"] - b["s"], dur) < overlap)
-    return (a["e"] < b["s"]) | (F.coalesce(close, F.lit(False)) & (inside == 2))
-
-
-def sibling_pairs(nodes: DataFrame, overlap: float = 0.01) -> DataFrame:
-    """trace_id, root_id, parent_id, first and second (structs of id, path, s, e): the first happens before the second."""
-    own = F.struct(F.col("adj_end").alias("e"), F.col("span_ord").alias("o"), F.col("adj_start").alias("s"), F.col("span_id").alias("id"), F.col("path").alias("path"))
-    groups = nodes.where("parent_id is not null").groupBy(*TREE, "parent_id").agg(F.collect_list(own).alias("all"))
-    parents = nodes.select(*TREE, F.col("span_id").alias("parent_id"), F.col("adj_dur").alias("pd"))
-    each = groups.join(parents, [*TREE, "parent_id"]).where("size(all) > 1").select(*TREE, "parent_id", "pd", "all", F.explode("all").alias("second"))
-    pairs = each.select(*TREE, "parent_id", "pd", "second", "all", F.explode(F.filter("all", lambda a: (F.struct(a["e"], a["o"]) < F.struct(F.col("second.e"), F.col("second.o"))))).alias("first"))
-    return pairs.where(happens_before(F.col("first"), F.col("second"), F.col("pd"), F.col("all"), overlap)).select(*TREE, "parent_id", "first", "second")
+def drag(nodes: DataFrame) -> DataFrame:
+    """On-path nodes with drag (how much sooner the parent would end without them) and drag_excl (their own share of it)."""
+    rows = with_own_time(nodes).where("on_cp").withColumn("drag", _drag())
+    tail = F.when(F.col("last_end").isNull(), F.col("adj_dur")).otherwise(F.greatest(F.lit(0), F.col("adj_end") - F.col("last_end")))
+    return rows.withColumn("drag_excl", F.least(F.col("drag"), F.col("own"), tail)).select(*TREE, "span_id", "path", "adj_dur", "own", "drag", "drag_excl")
 
 
-def dependencies(nodes: DataFrame, overlap: float = 0.01) -> DataFrame:
+def dependencies(spans: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
     """trace_id, kind, path, other: `before` (other happens before path), `dependent` (path waits for the child path), `async` (the child
     path was seen ending with its parent or later)."""
-    name = lambda c: F.array_join(c, "->")
-    before = sibling_pairs(nodes, overlap).select("trace_id", F.lit("before").alias("kind"), name("second.path").alias("path"), name("first.path").alias("other"))
-    parents = nodes.select(*TREE, F.col("span_id").alias("parent_id"), F.col("path").alias("p_path"), F.col("adj_end").alias("p_end"))
-    met = nodes.join(parents, [*TREE, "parent_id"]).select("trace_id", F.when(F.col("adj_end") < F.col("p_end"), "dependent").otherwise("async").alias("kind"), name("p_path").alias("path"), name("path").alias("other"))
-    return before.unionByName(met).distinct()
+    kinds = F.array_compact(F.array(F.when(F.col("before"), F.lit("before")), F.when(F.col("dependent"), F.lit("dependent")), F.when(F.col("detached"), F.lit("async"))))
+    return path_pairs(spans, knobs).withColumn("kind", F.explode(kinds)).select("trace_id", "kind", "path", "other").distinct()
 
 
-def aggregate_dependencies(nodes: DataFrame, overlap: float = 0.01) -> DataFrame:
+def aggregate_dependencies(spans: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
     """kind, path, other over all traces. A `before` edge stays unless some trace that comes after the first to show it has both paths
     and not the edge; traces without the other path say nothing. Dependents are those never seen async."""
-    deps = dependencies(nodes, overlap)
-    edges = deps.where("kind = 'before'").select("trace_id", "path", "other")
-    first = edges.groupBy("path", "other").agg(F.min(F.lpad("trace_id", 20, "0")).alias("since"))
-    seen = nodes.select("trace_id", F.array_join("path", "->").alias("path")).distinct()
-    both = first.join(seen, "path").join(seen.withColumnRenamed("path", "other"), ["trace_id", "other"])
-    against = both.where(F.lpad("trace_id", 20, "0") > F.col("since")).join(edges, ["trace_id", "path", "other"], "left_anti").select("path", "other").distinct()
-    kept = first.join(against, ["path", "other"], "left_anti").select(F.lit("before").alias("kind"), "path", "other")
-    of = lambda k: deps.where(F.col("kind") == k).select("path", "other").distinct()
-    return kept.unionByName(of("dependent").join(of("async"), ["path", "other"], "left_anti").select(F.lit("dependent").alias("kind"), "path", "other"))
-
-
-def slack(nodes: DataFrame, overlap: float = 0.01) -> DataFrame:
-    """trace_id, root_id, span_id, path, slack: how much later a span could end without moving the critical path; 0 on it.
-
-    Latest start = critical end - duration; earliest start = the end of the last sibling that must happen before (by its path
-    in the same trace) and did end before, else the earliest start among the siblings."""
-    deps = dependencies(nodes, overlap).where("kind = 'before'").groupBy("trace_id", F.col("path").alias("name")).agg(F.collect_set("other").alias("needs"))
-    own = F.struct(F.col("adj_start").alias("s"), F.col("adj_end").alias("e"), F.col("on_cp").alias("on"), F.array_join("path", "->").alias("name"), F.col("span_id").alias("id"))
-    groups = nodes.where("parent_id is not null").groupBy(*TREE, "parent_id").agg(F.collect_list(own).alias("all"))
-    parents = nodes.select(*TREE, F.col("span_id").alias("parent_id"), F.col("adj_end").alias("p_end"))
-    rows = nodes.withColumn("name", F.array_join("path", "->")).join(groups, [*TREE, "parent_id"], "left").join(parents, [*TREE, "parent_id"], "left").join(deps, ["trace_id", "name"], "left")
-    others = F.filter("all", lambda x: x["id"] != F.col("span_id"))
-    later = F.array_min(F.transform(F.filter(others, lambda x: x["on"] & (x["e"] > F.col("adj_end"))), lambda x: x["e"]))
-    critical = F.when(F.col("on_cp"), F.col("adj_end")).otherwise(F.coalesce(later, F.col("p_end"), F.col("adj_end")))
-    prior = F.array_max(F.transform(F.filter(others, lambda x: F.coalesce(F.array_contains("needs", x["name"]), F.lit(False)) & (x["e"] < F.col("adj_start"))), lambda x: x["e"]))
-    earliest = F.coalesce(prior, F.array_min(F.transform("all", lambda x: x["s"])), F.col("adj_start"))
-    return rows.select(*TREE, "span_id", "path", F.when(F.col("on_cp"), 0).otherwise(critical - F.col("adj_dur") - earliest).cast("long").alias("slack"))
+    key = F.lpad("trace_id", 20, "0")
+    of_trace = path_pairs(spans, knobs).groupBy("trace_id", "path", "other").agg(F.bool_or("before").alias("before"), F.bool_or("dependent").alias("dependent"), F.bool_or("detached").alias("detached"))
+    pairs = of_trace.groupBy("path", "other").agg(
+        F.min(F.when(F.col("before"), key)).alias("since"), F.max(F.when(~F.col("before"), key)).alias("against"), F.bool_or("dependent").alias("dependent"), F.bool_or("detached").alias("detached"))
+    holds = F.coalesce(F.col("against") <= F.col("since"), F.col("since").isNotNull())
+    kinds = F.array_compact(F.array(F.when(holds, F.lit("before")), F.when(F.col("dependent") & ~F.col("detached"), F.lit("dependent"))))
+    return pairs.select(F.explode(kinds).alias("kind"), "path", "other")
+
+
+def slack(nodes: DataFrame) -> DataFrame:
+    """trace_id, root_id, span_id, path, slack: how much later a span could end without moving the critical path; 0 on it."""
+    return nodes.select(*TREE, "span_id", "path", "slack")
+
+
+def delays(nodes: DataFrame) -> DataFrame:
+    """trace_id, root_id, span_id, path, start_delay (from a parent's start to its first child's) and end_delay (from its last child's end to its own)."""
+    return nodes.where("n_children > 0").select(*TREE, "span_id", "path", (F.col("first_start") - F.col("adj_start")).alias("start_delay"), (F.col("adj_end") - F.col("last_end")).alias("end_delay"))
 
 
 def by_path(nodes: DataFrame) -> DataFrame:
     """path, spans, drag, slack and their means over all traces."""
-    d = drag(nodes).select(*TREE, "span_id", "drag")
-    both = slack(nodes).join(d, [*TREE, "span_id"], "left")
-    out = both.groupBy("path").agg(F.count("*").alias("spans"), F.sum(F.coalesce("drag", F.lit(0))).alias("drag"), F.sum("slack").alias("slack"))
+    gain = F.when(F.col("on_cp"), _drag()).otherwise(0)
+    out = nodes.groupBy("path").agg(F.count("*").alias("spans"), F.sum(gain).alias("drag"), F.sum("slack").alias("slack"))
     return out.withColumns({"avg_drag": F.col("drag") / F.col("spans"), "avg_slack": F.col("slack") / F.col("spans")})

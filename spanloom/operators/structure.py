@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.config import INCOMPLETE_WARNING
 from spanloom.errors import MergeError
+from spanloom.scratch import cut
 
 TREE = ["trace_id", "root_id"]
 
 
 def cycles(nodes: DataFrame) -> DataFrame:
     """trace_id, root_id, span_id, cycle: a client node whose operation occurs above it as a client; the path from its last occurrence."""
-    above = nodes.select(*TREE, F.col("span_id").alias("a_id"), F.col("kind").alias("a_kind"), F.col("op").alias("a_op"), F.col("service").alias("a_service"), F.col("depth").alias("a_depth"))
-    down = nodes.where("kind = 'CLIENT'").select(*TREE, "span_id", "service", "op", "path", F.explode("ancestors").alias("a_id"))
-    met = down.join(above, [*TREE, "a_id"]).where("a_kind = 'CLIENT' and a_op = op and a_service = service")
-    return met.groupBy(*TREE, "span_id").agg(F.max("a_depth").alias("at"), F.first("path").alias("path")).select(*TREE, "span_id", F.slice("path", F.col("at"), F.size("path") - F.col("at") + 1).alias("cycle"))
+    met = nodes.where("cycle_at is not null")
+    return met.select(*TREE, "span_id", F.slice("path", F.col("cycle_at"), F.size("path") - F.col("cycle_at") + 1).alias("cycle"))
 
 
 def fan_out(nodes: DataFrame) -> DataFrame:
@@ -29,9 +28,8 @@ def plain_region(region):
 
 def cross_region(nodes: DataFrame) -> DataFrame:
     """Calls whose two ends lie in different regions (letters only): caller, callee, regions, n, time."""
-    p = nodes.select(*TREE, F.col("span_id").alias("parent_id"), F.col("service").alias("caller"), plain_region("region").alias("from_region"))
-    c = nodes.select(*TREE, "parent_id", F.col("service").alias("callee"), plain_region("region").alias("to_region"), "adj_dur")
-    return c.join(p, [*TREE, "parent_id"]).where("from_region <> to_region").groupBy("caller", "callee", "from_region", "to_region").agg(F.count("*").alias("n"), F.sum("adj_dur").alias("time"))
+    calls = nodes.select(F.col("parent_service").alias("caller"), F.col("service").alias("callee"), plain_region(F.col("parent_region")).alias("from_region"), plain_region(F.col("region")).alias("to_region"), "adj_dur")
+    return calls.where("from_region <> to_region").groupBy("caller", "callee", "from_region", "to_region").agg(F.count("*").alias("n"), F.sum("adj_dur").alias("time"))
 
 
 def completeness(spans: DataFrame) -> DataFrame:
@@ -40,6 +38,14 @@ def completeness(spans: DataFrame) -> DataFrame:
     return spans.groupBy("trace_id").agg(F.bool_or(bad).alias("incomplete"), F.sort_array(F.collect_set(F.when(bad, F.col("service")))).alias("services"))
 
 
+def completeness_report(completeness: DataFrame) -> DataFrame:
+    """One row: traces, incomplete, percent, and how many incomplete traces each service has orphans in (service=n, sorted)."""
+    marked = cut(completeness, "completeness")
+    per = marked.where("incomplete").select(F.explode("services").alias("service")).groupBy("service").agg(F.count("*").alias("n"))
+    named = per.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "service", "n"))), ",")).scalar()
+    return marked.agg(F.count("*").alias("traces"), F.count(F.when(F.col("incomplete"), 1)).alias("incomplete")).select("traces", "incomplete", F.try_divide(F.col("incomplete") * 100, F.col("traces")).alias("percent"), named.alias("services"))
+
+
 def reachable_services(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(*TREE).agg(F.sort_array(F.collect_set("service")).alias("services"))
 
@@ -59,6 +65,13 @@ def tag_matches(nodes: DataFrame, tags: DataFrame, wanted: DataFrame) -> DataFra
     return met.groupBy(*TREE).agg(F.sort_array(F.collect_set(F.concat_ws("=", "name", "value"))).alias("matched"))
 
 
+def span_tags(spans: DataFrame) -> DataFrame:
+    """trace_id, span_id, name, value of every tag; nothing where spans carry none."""
+    if "tags" not in spans.columns:
+        return spans.where("false").select("trace_id", "span_id", F.lit("").alias("name"), F.lit("").alias("value"))
+    return spans.select("trace_id", "span_id", F.explode("tags").alias("t")).select("trace_id", "span_id", F.col("t.key").alias("name"), F.col("t.value").alias("value"))
+
+
 def first_roots(spans: DataFrame) -> DataFrame:
     """trace_id, service, op of the first span without a parent."""
     return spans.where("parent_id is null").groupBy("trace_id").agg(F.min_by(F.struct("service", "op"), "span_ord").alias("r")).select("trace_id", "r.*")
@@ -78,8 +91,12 @@ def merge_split(parent: DataFrame, child: DataFrame, references: DataFrame) -> D
     there = parent.select(F.col("trace_id").alias("to_trace"), F.col("span_id").alias("to_span")).distinct()
     if not link.join(parent.select(F.col("trace_id").alias("to_trace")).distinct(), "to_trace", "left_semi").join(there, ["to_trace", "to_span"], "left_anti").isEmpty():
         raise MergeError("a child trace follows from a span that its parent trace lacks")
-    last = parent.groupBy(F.col("trace_id").alias("to_trace")).agg((F.max("span_ord") + 1).alias("shift"))
-    moved = child.join(link, "trace_id").join(last, "to_trace")
+    # Spans of the children come after the parent's, one child after the other in the order of their ids.
+    last = parent.groupBy(F.col("trace_id").alias("to_trace")).agg((F.max("span_ord") + 1).alias("first"))
+    sizes = child.groupBy("trace_id").agg((F.max("span_ord") + 1).alias("size")).join(link, "trace_id").join(last, "to_trace")
+    before = Window.partitionBy("to_trace").orderBy("trace_id").rowsBetween(Window.unboundedPreceding, -1)
+    moves = sizes.withColumn("shift", (F.col("first") + F.coalesce(F.sum("size").over(before), F.lit(0))).cast("int")).select("trace_id", "to_trace", "to_span", "link_id", "shift")
+    moved = child.join(moves, "trace_id")
     moved = moved.withColumn("parent_id", F.when(F.col("span_id") == F.col("link_id"), F.col("to_span")).otherwise(F.col("parent_id"))).withColumn("span_ord", F.col("span_ord") + F.col("shift")).withColumn("trace_id", F.col("to_trace"))
     return parent.unionByName(moved.select(*parent.columns))
 

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from spanloom.config import Knobs
 from spanloom.functions import expr
-from spanloom.operators import errors, latency, profile, slackdrag, structure, tree, whatif
+from spanloom.operators import errors, flame, latency, profile, slackdrag, structure, tree, whatif
+from spanloom.plans import derive
 from spanloom.plans.derive import SQL, spans
+from spanloom.scratch import cut
+from spanloom.sources import traces
 from spanloom.streaming import windows
 
 RANGES = {"P50": (0, 50), "P95": (50, 95), "P99": (95, 99), "P100": (99, 100)}
@@ -19,13 +22,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, prefix: bool = True):
-    """Register a query, and its SQL behind the common CTEs."""
+def query(sql: str | None = None, ctes: str = SQL):
+    """Register a query, and its SQL behind the common CTEs (or others)."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = (SQL if prefix else "") + sql
+            ORACLES[f.__name__] = ctes + sql
         return f
 
     return add
@@ -39,13 +42,53 @@ def _profile(s: SparkSession, d: str) -> DataFrame:
     return profile.per_trace(_nodes(s, d))
 
 
+def _documents(s: SparkSession, d: str) -> DataFrame:
+    """Trace documents as JSON says them, parsed: references with decoys before the one that counts, tags in odd cases, errors in every form."""
+    e = F.col("event_id")
+    tag = lambda key, value, kind="string": F.struct(F.lit(key).alias("key"), F.lit(kind).alias("type"), value.cast("string").alias("value"))
+    ref = lambda kind, span: F.struct(F.lit(kind).alias("refType"), F.col("trace_id").alias("traceID"), span.alias("spanID"))
+    references = F.when(F.col("parent_id").isNull(), F.array(ref("FOLLOWS_FROM", F.lit("9")))).otherwise(F.array(ref("CHILD_OF", F.lit("99")), ref("CHILD_OF", F.col("parent_id")), ref("FOLLOWS_FROM", F.lit("0"))))
+    stated = [tag("Error", F.lit("true"), "bool"), tag("error", F.lit("false")), tag("HTTP.status_code", F.lit("503"), "int64"), tag("grpc.status", F.lit("UNAVAILABLE")), None, None, tag("error", F.lit("false"), "bool"), tag("http.status_code", F.lit("odd")), tag("grpc.status", F.lit("OK"))]
+    own = [F.when(e % 9 == i, t) for i, t in enumerate(stated) if t is not None]
+    tags = F.array_compact(F.array(*own, tag("Span.Kind", F.lower("kind")), tag("span.kind", F.lit("server")), F.when(e % 4 == 0, tag("peer.service", F.concat(F.lit("peer"), (e % 5).cast("string"))))))
+    logs = F.array(F.struct(F.array(tag("event", F.when(e % 9 == 4, "ERROR").otherwise("begin"))).alias("fields")), F.struct(F.array(tag("other", F.lit("x")), F.when(e % 9 == 5, tag("error.object", F.lit("x"))).otherwise(tag("more", F.lit("y")))).alias("fields")))
+    host = F.when(F.col("host").isNotNull(), tag("hostname", F.col("host")))
+    where = F.when(e % 2 == 0, F.array(tag("zone", F.lit("z9")), tag("region", F.lit("old")), tag("region", F.col("region")))).otherwise(F.array(tag("zone", F.concat(F.lit("z"), (e % 3).cast("string"))), tag("zone", F.lit("z9"))))
+    process = F.struct(F.concat(F.lit("p"), F.col("span_id")).alias("key"), F.struct(F.col("service").alias("serviceName"), F.concat(F.array_compact(F.array(host)), where).alias("tags")).alias("value"))
+    span = F.struct(F.col("trace_id").alias("traceID"), F.col("span_id").alias("spanID"), F.col("op").alias("operationName"), F.concat(F.lit("p"), F.col("span_id")).alias("processID"), F.col("start").alias("startTime"), F.col("dur").alias("duration"), references.alias("references"), tags.alias("tags"), logs.alias("logs"))
+    one = spans(s, d).select("trace_id", "span_ord", span.alias("span"), process.alias("process"))
+    one = one.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("span_ord", "span"))), lambda x: x["span"]).alias("spans"), F.map_from_entries(F.collect_list("process")).alias("processes"))
+    text = F.to_json(F.struct(F.array(F.struct(F.col("trace_id").alias("traceID"), "processes", "spans")).alias("data")))
+    return one.select(F.col("trace_id").alias("trace_file"), F.from_json(text, traces.DOCUMENT).alias("x")).select("trace_file", "x.data")
+
+
+def _nested(s: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    status = F.array(F.struct(F.lit("http.status_code").alias("key"), F.when(e % 5 == 2, "404").otherwise("200").alias("value")))
+    kind = F.when(F.col("kind") == "CLIENT", 3).when(F.col("kind") == "SERVER", 2).otherwise(1)
+    number = lambda c: (F.col(c).cast("long") + 1)
+    one = F.struct(
+        number("span_id").alias("span_id"), F.coalesce(number("parent_id"), F.lit(0)).alias("parent_span_id"), kind.alias("kind"), F.col("op").alias("operation_name"), (F.col("start") * 1000).alias("start_time_unix_nano"),
+        (F.col("dur") * 1000 + 999).alias("duration_nano"), (e % 5 == 0).alias("error"), F.when(e % 5 == 1, 14).otherwise(0).alias("rpc_status_code"), status.alias("StringTags"))
+    sets = spans(s, d).groupBy("trace_id", "service", "host").agg(F.array_sort(F.collect_list(one)).alias("spans")).select("trace_id", F.struct(F.struct(F.col("service").alias("service_name"), F.col("host").alias("host_name")).alias("process"), "spans").alias("set"))
+    return sets.groupBy("trace_id").agg(F.array_sort(F.collect_list("set")).alias("span_set"))
+
+
+def _split(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sp = spans(s, d).drop("event_id", "value", "ts")
+    below = F.expr("span_ord = 2 or (span_ord > 2 and ((span_ord - 1) div 3 = 2 or ((span_ord - 1) div 3 - 1) div 3 = 2 or (((span_ord - 1) div 3 - 1) div 3 - 1) div 3 = 2))")
+    child = sp.where(below).withColumn("trace_id", F.concat(F.lit("c"), F.col("trace_id"))).withColumn("parent_id", F.when(F.col("span_ord") > 2, F.col("parent_id")))
+    links = child.where("span_ord = 2").select("trace_id", "span_id", "span_ord", F.lit("FOLLOWS_FROM").alias("ref_type"), F.expr("substring(trace_id, 2)").alias("ref_trace_id"), F.lit("0").alias("ref_span_id"))
+    return sp.where(~below), child, links
+
+
 def _flat(df: DataFrame) -> DataFrame:
     return df.withColumn("path", profile.name(F.col("path"))) if dict(df.dtypes).get("path", "").startswith("array") else df
 
 
 @query("SELECT tid::VARCHAR AS trace_id, k::VARCHAR AS span_id, k AS span_ord, pk::VARCHAR AS parent_id, svc AS service, op, kind, host, region, s AS start, d AS dur, err AS is_error FROM sp")
 def spans_derived(s, d):
-    """The spans themselves."""
+    """The spans themselves, which the other queries analyse."""
     return spans(s, d).drop("event_id", "value", "ts")
 
 
@@ -74,7 +117,12 @@ def e3_critical_path(s, d):
     return _flat(_nodes(s, d).select("trace_id", "span_id", "path", "picked", "on_cp"))
 
 
-@query()
+ORDER = """, po0 AS (SELECT tid, k, []::INT[] AS key FROM cp WHERE pk IS NULL UNION ALL SELECT c.tid, c.k, list_append(o.key, ch.r::INT) FROM po0 o JOIN cp c ON c.tid = o.tid AND c.pk = o.k AND c.on_cp JOIN ch ON ch.tid = c.tid AND ch.k = c.k),
+po AS MATERIALIZED (SELECT tid, k, (row_number() OVER (PARTITION BY tid ORDER BY key) - 1)::INT AS pos FROM po0)
+"""
+
+
+@query(ORDER + "SELECT tid::VARCHAR AS trace_id, '0' AS root_id, pos AS cp_pos, k::VARCHAR AS span_id FROM po")
 def e4_path_order(s, d):
     """Nodes of the path in its own order."""
     return _nodes(s, d).where("on_cp").select("trace_id", "root_id", "cp_pos", "span_id")
@@ -162,17 +210,30 @@ VISIT = """, vi AS (SELECT tid, k, pk, d, path, err, on_cp, own, on_cp AS on_, e
   sum(CASE WHEN on_cp THEN own ELSE greatest(0, d - coalesce((SELECT sum(d) FROM vi y WHERE y.tid = x.tid AND y.pk = x.k AND y.err AND NOT y.on_cp AND y.go), 0)) END)::BIGINT AS excl, count(*) AS freq FROM vi x WHERE err AND go GROUP BY 1, 2""")
 def h9_full_error_profile(s, d):
     """E6, H9, H15."""
-    return _flat(errors.full_profile(_nodes(s, d)).select("trace_id", "path", "excl", "freq"))
+    return _flat(errors.full_profile(_nodes(s, d)).where("freq > 0").select("trace_id", "path", "excl", "freq"))
 
 
-@query()
+@query(VISIT + """, kp AS (SELECT *, EXISTS (SELECT 1 FROM vi y WHERE y.tid = x.tid AND y.pk = x.k AND y.err) AS more FROM vi x WHERE x.go)
+SELECT tid::VARCHAR AS trace_id, CASE WHEN on_cp THEN 'errorCriticalPathSyntheticRoot->' ELSE 'fullErrorsNonCPSyntheticRoot->' END || path AS path, count(*) FILTER (WHERE err AND NOT more) AS self_errors, count(*) FILTER (WHERE err AND more) AS propagated, count(*) FILTER (WHERE NOT err) AS stopped FROM kp WHERE err OR more GROUP BY 1, 2""")
+def h9_error_path_counts(s, d):
+    """H9: errors that begin, pass and stop along the full error path."""
+    return _flat(errors.full_profile(_nodes(s, d)).select("trace_id", "path", "self_errors", "propagated", "stopped"))
+
+
+TO_ROOT = """, wk AS (SELECT tid, k, path, svc, err FROM nd WHERE pk IS NULL AND (err OR kind NOT IN ('SERVER', 'CLIENT'))
+  UNION ALL SELECT c.tid, c.k, c.path, c.svc, c.err FROM wk p JOIN nd c ON c.tid = p.tid AND c.pk = p.k WHERE (p.err OR c.svc = p.svc) AND (c.err OR c.kind NOT IN ('SERVER', 'CLIENT'))),
+tr AS MATERIALIZED (SELECT tid, path, count(*) AS n FROM wk x WHERE err AND NOT EXISTS (SELECT 1 FROM wk y WHERE y.tid = x.tid AND y.err AND y.k > x.k AND ((y.k - 1) // 3 = x.k OR ((y.k - 1) // 3 - 1) // 3 = x.k OR (((y.k - 1) // 3 - 1) // 3 - 1) // 3 = x.k)) GROUP BY 1, 2)
+"""
+
+
+@query(TO_ROOT + "SELECT tid::VARCHAR AS trace_id, path, n FROM tr")
 def e8_errors_to_root(s, d):
     """E8."""
-    return _flat(errors.to_root_stacks(_nodes(s, d)))
+    return _flat(errors.to_root_stacks(_nodes(s, d)).select("trace_id", "path", F.col("excl").alias("n")))
 
 
-CLASS = """, cl0 AS (SELECT tid, k, depth, path, op, svc, err, on_cp, nch, nerr, 0 AS stop, err AS chain FROM cp WHERE k = 0
-  UNION ALL SELECT c.tid, c.k, c.depth, c.path, c.op, c.svc, c.err, c.on_cp, c.nch, c.nerr, CASE WHEN p.err THEN p.stop ELSE p.depth END, p.chain AND c.err FROM cl0 p JOIN cp c ON c.tid = p.tid AND c.pk = p.k),
+CLASS = """, cl0 AS (SELECT tid, k, depth, path, op, svc, err, on_cp, nch, nerr, d, 0 AS stop, err AS chain, false AS above FROM cp WHERE k = 0
+  UNION ALL SELECT c.tid, c.k, c.depth, c.path, c.op, c.svc, c.err, c.on_cp, c.nch, c.nerr, c.d, CASE WHEN p.err THEN p.stop ELSE p.depth END, p.chain AND c.err, p.above OR p.err FROM cl0 p JOIN cp c ON c.tid = p.tid AND c.pk = p.k),
 cl AS MATERIALIZED (SELECT *, CASE WHEN err AND nerr > 0 THEN 'propagated' WHEN err THEN 'self' WHEN nerr > 0 THEN 'stopped' END AS class FROM cl0)
 """
 
@@ -259,11 +320,11 @@ def g8_projected_profile(s, d):
     return _flat(whatif.projected_profile(spans(s, d), -50_000, TARGET))
 
 
-@query()
+@query(CLASS + """, tn AS (SELECT x.tid, '[' || svc || '] ' || op AS op, sum(CASE WHEN above THEN 0 ELSE x.d END)::BIGINT AS saved, count(*) AS n FROM cl x WHERE on_cp AND err GROUP BY 1, 2)
+SELECT tn.op, sum(saved)::BIGINT AS saved, sum(r.d)::BIGINT AS latency, sum(n)::BIGINT AS count, sum(saved)::BIGINT / sum(r.d)::BIGINT AS ratio FROM tn JOIN nd r ON r.tid = tn.tid AND r.k = 0 AND NOT r.err GROUP BY tn.op""")
 def h10_saving_potential(s, d):
     """H10."""
-    roots = spans(s, d).where("parent_id is null").select("trace_id", F.col("span_id").alias("root_id"), "op")
-    return errors.saving_potential(whatif.savings(spans(s, d)), roots)
+    return errors.saving_potential(_nodes(s, d))
 
 
 @query("SELECT tid::VARCHAR AS trace_id, k::VARCHAR AS span_id, drag, least(drag, own, CASE WHEN ce IS NULL THEN d ELSE greatest(0, e - ce) END)::BIGINT AS drag_excl FROM (SELECT x.*, CASE WHEN pk IS NULL THEN d ELSE coalesce(greatest(0, least(d, e - lead(e) OVER (PARTITION BY tid, pk ORDER BY e DESC, k DESC))), d) END AS drag, (SELECT max(e) FROM nd y WHERE y.tid = x.tid AND y.pk = x.k) AS ce FROM cp x) WHERE on_cp")
@@ -281,7 +342,7 @@ de AS MATERIALIZED (SELECT DISTINCT tid, 'before' AS kind, second AS path, first
 @query(DEPS + "SELECT tid::VARCHAR AS trace_id, kind, path, other FROM de")
 def i9_dependencies(s, d):
     """I9, D13."""
-    return slackdrag.dependencies(_nodes(s, d))
+    return slackdrag.dependencies(spans(s, d))
 
 
 @query(DEPS + """, f AS (SELECT path, other, min(tid) AS since FROM de WHERE kind = 'before' GROUP BY 1, 2), se AS (SELECT DISTINCT tid, path FROM nd),
@@ -290,7 +351,13 @@ SELECT 'before' AS kind, path, other FROM f WHERE NOT EXISTS (SELECT 1 FROM ag W
 UNION ALL (SELECT 'dependent', path, other FROM de WHERE kind = 'dependent' EXCEPT SELECT 'dependent', path, other FROM de WHERE kind = 'async')""")
 def i10_aggregate_dependencies(s, d):
     """I10, M4."""
-    return slackdrag.aggregate_dependencies(_nodes(s, d))
+    return slackdrag.aggregate_dependencies(spans(s, d))
+
+
+@query("SELECT p.tid::VARCHAR AS trace_id, p.k::VARCHAR AS span_id, p.path, (min(c.s) - any_value(p.s))::BIGINT AS start_delay, (any_value(p.e) - max(c.e))::BIGINT AS end_delay FROM nd p JOIN nd c ON c.tid = p.tid AND c.pk = p.k GROUP BY 1, 2, 3")
+def k11_delays(s, d):
+    """Gaps between a parent's ends and its first and last child."""
+    return _flat(slackdrag.delays(_nodes(s, d)).drop("root_id"))
 
 
 SLACK = DEPS + """, sl AS (SELECT x.tid, x.k, x.path, CASE WHEN x.on_cp THEN 0 ELSE
@@ -315,28 +382,53 @@ def i8_slack_drag_by_path(s, d):
 
 @query("SELECT label, path, (sum(excl) // any_value(trees))::BIGINT AS excl, any_value(trees) AS trees FROM (SELECT label, tid, count(*) OVER (PARTITION BY label) AS trees FROM lat, (VALUES ('P50', 0, 50), ('P95', 50, 95), ('P99', 95, 99), ('P100', 99, 100)) AS r(label, a, b) WHERE rn > round_even(n * a / 100, 0) AND rn <= round_even(n * b / 100, 0)) JOIN pr USING (tid) GROUP BY label, path")
 def k2_slices(s, d):
-    """K1, K2: profiles over slices of traces by latency."""
-    n = _nodes(s, d)
-    return _flat(profile.slice_profiles(profile.per_trace(n), profile.latency_ranks(n), RANGES))
+    """K1: profiles over slices of traces by latency."""
+    p = cut(_profile(s, d).select("trace_id", "root_id", "path", "inc", "excl"), "profile")
+    roots = p.where("size(path) = 1").select("trace_id", "root_id", F.col("inc").alias("latency"))
+    return _flat(profile.slice_profiles(p, profile.latency_ranks(roots), RANGES))
+
+
+FAMILIES = "UNION ALL ".join(
+    f"SELECT '{family}' AS family, '{about}' AS about, {mean} AS mean, tid, path, v FROM ({rows}) "
+    for family, about, mean, rows in (
+        ("path", "all", "true", "SELECT tid, path, excl AS v FROM pr"), ("error_path", "sound", "true", "SELECT tid, path, excl AS v FROM fe"),
+        ("errored_root", "erring", "false", "SELECT tid, path, count(*) AS v FROM cl WHERE class = 'self' GROUP BY 1, 2"), ("to_root", "erring", "false", "SELECT tid, path, n AS v FROM tr"),
+    )
+)
+
+
+@query(VISIT + """, fe AS (SELECT tid, CASE WHEN on_cp THEN 'errorCriticalPathSyntheticRoot->' ELSE 'fullErrorsNonCPSyntheticRoot->' END || path AS path,
+  sum(CASE WHEN on_cp THEN own ELSE greatest(0, d - coalesce((SELECT sum(d) FROM vi y WHERE y.tid = x.tid AND y.pk = x.k AND y.err AND NOT y.on_cp AND y.go), 0)) END)::BIGINT AS excl FROM vi x WHERE err AND go GROUP BY 1, 2)
+""" + CLASS + TO_ROOT + f""", fa AS ({FAMILIES}), ab AS (SELECT tid, latency, 'all' AS about FROM lat UNION ALL SELECT lat.tid, latency, CASE WHEN err THEN 'erring' ELSE 'sound' END FROM lat JOIN nd ON nd.tid = lat.tid AND k = 0),
+rk AS (SELECT *, count(*) OVER (PARTITION BY about) AS n, row_number() OVER (PARTITION BY about ORDER BY latency, tid) AS rn FROM ab),
+me AS (SELECT family, label, tid, path, v, mean FROM fa JOIN rk USING (tid, about), (VALUES ('P50', 50), ('P95', 95), ('P99', 99), ('P100', 100)) AS r(label, b) WHERE rn <= round_even(n * b / 100, 0) AND (family <> 'to_root' OR b = 100)),
+su AS (SELECT family, label, path, sum(v)::BIGINT AS total, any_value(mean) AS mean FROM me GROUP BY 1, 2, 3), tc AS (SELECT family, label, count(DISTINCT tid) AS trees FROM me GROUP BY 1, 2),
+gr AS (SELECT family, label, path, trees, CASE WHEN mean THEN total // trees ELSE total END AS value FROM su JOIN tc USING (family, label))
+SELECT family, label, replace(replace(path, ';', '_'), '->', ';') AS stack, trees, CASE WHEN value = 0 AND NOT EXISTS (SELECT 1 FROM gr y WHERE y.family = x.family AND y.label = x.label AND starts_with(y.path, x.path || '->') AND len(string_split(y.path, '->')) = len(string_split(x.path, '->')) + 1) THEN 1 ELSE value END::BIGINT AS value FROM gr x""")
+def k2_flame_graphs(s, d):
+    """Four families of folded stacks over ranges of traces by latency."""
+    return flame.flame_graphs(_nodes(s, d))
 
 
 @query("SELECT unnest([0.5, 0.9, 0.95, 0.99])::DOUBLE AS percentile, unnest(quantile_cont(latency, [0.5, 0.9, 0.95, 0.99]))::DOUBLE AS latency FROM lat")
 def k3_points(s, d):
     """K3."""
-    return latency.points(profile.latency_ranks(_nodes(s, d)))
+    return latency.points(profile.latency_ranks(profile.roots(_nodes(s, d))))
 
 
 @query("SELECT p AS percent, avg(latency) FILTER (WHERE rn <= m) AS head, avg(latency) FILTER (WHERE rn > n - m) AS tail FROM (SELECT *, round_even(n * p / 100, 0) AS m FROM lat, unnest([1, 5, 10, 50, 100]) AS u(p)) WHERE m > 0 GROUP BY p")
 def k4_heads_and_tails(s, d):
     """K4, K5, J14."""
-    return latency.heads_and_tails(profile.latency_ranks(_nodes(s, d)))
+    return latency.heads_and_tails(profile.latency_ranks(profile.roots(_nodes(s, d))))
 
 
-@query("SELECT op, count(*) AS trees, round(quantile_cont(t, 0.5)::DOUBLE, 3) AS p50, round(quantile_cont(t, 0.5)::DOUBLE / any_value(a50), 6) AS ratio50, round(quantile_cont(t, 0.95)::DOUBLE, 3) AS p95, round(quantile_cont(t, 0.95)::DOUBLE / any_value(a95), 6) AS ratio95 FROM (SELECT tid, string_split(path, '->')[-1] AS op, sum(excl)::BIGINT AS t FROM pr GROUP BY 1, 2), (SELECT quantile_cont(t, 0.5)::DOUBLE AS a50, quantile_cont(t, 0.95)::DOUBLE AS a95 FROM (SELECT tid, sum(excl)::BIGINT AS t FROM pr GROUP BY 1)) WHERE t <> 0 GROUP BY op")
+@query("""SELECT e.*, inc50, inc95 FROM (SELECT op, count(*) AS trees, round(quantile_cont(t, 0.5)::DOUBLE, 3) AS p50, round(quantile_cont(t, 0.5)::DOUBLE / any_value(a50), 6) AS ratio50, round(quantile_cont(t, 0.95)::DOUBLE, 3) AS p95, round(quantile_cont(t, 0.95)::DOUBLE / any_value(a95), 6) AS ratio95
+  FROM (SELECT tid, string_split(path, '->')[-1] AS op, sum(excl)::BIGINT AS t FROM pr GROUP BY 1, 2), (SELECT quantile_cont(t, 0.5)::DOUBLE AS a50, quantile_cont(t, 0.95)::DOUBLE AS a95 FROM (SELECT tid, sum(excl)::BIGINT AS t FROM pr GROUP BY 1)) WHERE t <> 0 GROUP BY op) e
+LEFT JOIN (SELECT op, round(quantile_cont(t, 0.5)::DOUBLE, 3) AS inc50, round(quantile_cont(t, 0.95)::DOUBLE, 3) AS inc95 FROM (SELECT tid, string_split(path, '->')[-1] AS op, sum(inc)::BIGINT AS t FROM pr GROUP BY 1, 2) WHERE t <> 0 GROUP BY op) i ON i.op = e.op""")
 def k6_op_percentiles(s, d):
     """K6, K8."""
     out = latency.op_percentiles(_profile(s, d))
-    return out.select("op", "trees", *(F.round(c, 3 if c[0] == "p" else 6).alias(c) for c in out.columns[2:]))
+    return out.select("op", "trees", *(F.round(c, 6 if c.startswith("ratio") else 3).alias(c) for c in out.columns if c not in ("op", "trees")))
 
 
 @query("SELECT op, (p * 100)::INT AS percent, sum(t)::BIGINT / any_value(w) AS share, max(t) AS most FROM (SELECT tid, string_split(path, '->')[-1] AS op, sum(excl)::BIGINT AS t FROM pr GROUP BY 1, 2) JOIN (SELECT *, sum(total) OVER (PARTITION BY p) AS w FROM (SELECT tid, p, total FROM (SELECT tid, total, row_number() OVER (ORDER BY total, tid) AS rn, count(*) OVER () AS n FROM (SELECT tid, sum(excl)::BIGINT AS total FROM pr GROUP BY 1)), unnest([0.5, 0.9, 1.0]) AS u(p) WHERE rn <= floor(n * p))) USING (tid) GROUP BY op, p")
@@ -357,23 +449,59 @@ def l3_heatmap(s, d):
     return latency.heatmap(_profile(s, d))
 
 
+QS = {"min": 0.0, "max": 1.0, "p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+COUNTS = CLASS + VISIT.replace("RECURSIVE", "") + """, tc AS (SELECT c.tid, max(c.d) FILTER (WHERE c.k = 0) AS latency, bool_or(c.k = 0 AND c.err) AS root_error, count(*) AS nodes, max(c.depth) AS depth, sum(c.d)::BIGINT AS work, coalesce(sum(c.d) FILTER (WHERE c.err), 0)::BIGINT AS work_saved,
+  count(*) FILTER (WHERE c.err) AS errors, count(*) FILTER (WHERE c.err AND c.on_cp) AS cp_errors, count(*) FILTER (WHERE c.err AND NOT c.on_cp AND v.go) AS tied_errors, count(*) FILTER (WHERE c.on_cp) AS nodes_on_cp, count(*) FILTER (WHERE class = 'self' AND c.depth > 1) AS self_errors,
+  max(c.depth) FILTER (WHERE chain AND c.nch = 0) AS max_err_depth, count(*) FILTER (WHERE nd.d < nd.d0) AS shrunk, sum(nd.d0 - nd.d)::BIGINT AS shrink, """ + ", ".join(f"quantile_cont(c.depth, {q}) FILTER (WHERE class = 'self' AND c.depth > 1)::DOUBLE AS {n}_depth" for n, q in QS.items()) + """
+  FROM cl c JOIN nd ON nd.tid = c.tid AND nd.k = c.k LEFT JOIN vi v ON v.tid = c.tid AND v.k = c.k GROUP BY c.tid),
+ts AS (SELECT *, work_saved / work AS work_ratio, CASE WHEN errors > 0 THEN cp_errors / errors END AS cp_error_ratio, CASE WHEN errors > 0 THEN tied_errors / errors END AS tied_error_ratio, """ + ", ".join(f"{n}_depth / depth AS {n}_depth_ratio" for n in QS) + """ FROM tc)
+"""
+
+
+@query(COUNTS + "SELECT tid::VARCHAR AS trace_id, * EXCLUDE (tid) FROM ts")
+def j12_trace_counts(s, d):
+    """J12, Q-9: the wide row of each trace but for time saved."""
+    return latency.with_shares(latency.trace_counts(_nodes(s, d))).drop("root_id")
+
+
 @query()
 def j12_trace_stats(s, d):
-    """J12, L6, Q-9."""
-    return latency.trace_stats(_nodes(s, d), whatif.savings(spans(s, d)))
+    """With time saved, from one pass over the spans."""
+    return latency.trace_stats(whatif.nodes_and_savings(spans(s, d))).orderBy(F.desc("saved_ratio"))
+
 
+MEANS = ["latency", "nodes", "depth", "work", "work_saved", "errors", "cp_errors", "tied_errors", "nodes_on_cp", "self_errors", "max_err_depth", "shrunk", "shrink", *(f"{n}_depth" for n in QS), *(f"{n}_depth_ratio" for n in QS)]
 
-@query("SELECT CASE WHEN grouping(kind) = 1 THEN 'ALL' ELSE kind END AS kind, count(*) AS trees, avg(nodes) AS nodes, avg(latency) AS latency, sum(sw)::BIGINT / sum(w)::BIGINT AS work_ratio FROM (SELECT tid, CASE WHEN bool_or(k = 0 AND err) THEN 'ROOT_ERROR' WHEN count(*) FILTER (WHERE err) > 0 THEN 'NON_ROOT_ERROR' ELSE 'NO_ERROR' END AS kind, count(*) AS nodes, max(d) FILTER (WHERE k = 0) AS latency, sum(d) AS w, coalesce(sum(d) FILTER (WHERE err), 0) AS sw FROM cp GROUP BY tid) GROUP BY ROLLUP (kind)")
+
+@query(COUNTS + "SELECT CASE WHEN grouping(type) = 1 THEN 'ALL' ELSE type END AS type, count(*) AS trees, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in MEANS) + ", round(sum(work_saved) / sum(work), 6) AS work_ratio, round(sum(cp_errors) / sum(errors), 6) AS cp_error_ratio, round(sum(tied_errors) / sum(errors), 6) AS tied_error_ratio FROM (SELECT *, CASE WHEN root_error THEN 'ROOT_ERROR' ELSE 'NON_ROOT_ERROR' END AS type FROM ts) GROUP BY ROLLUP (type)")
 def j13_summary(s, d):
-    """Grouping sets over kinds of traces."""
-    return latency.summary(latency.trace_stats(_nodes(s, d), whatif.savings(spans(s, d))))
+    """Means and ratios of sums by type of trace."""
+    counts = latency.with_shares(latency.trace_counts(_nodes(s, d))).withColumn("type", F.when(F.col("root_error"), "ROOT_ERROR").otherwise("NON_ROOT_ERROR"))
+    out = latency.summary(counts)
+    return out.select("type", "trees", *(F.round(c, 6).alias(c) for c in out.columns if c not in ("type", "trees")))
 
 
 @query()
 def r3_reductions(s, d):
-    """Latency falls without errors."""
-    n = _nodes(s, d)
-    return latency.reductions(profile.latency_ranks(n), whatif.savings(spans(s, d)))
+    """Latency falls without errors, over traces whose root does not err."""
+    stats = cut(latency.trace_stats(whatif.nodes_and_savings(spans(s, d))).where("not root_error").select("trace_id", "root_id", "latency", "saved"), "stats")
+    return latency.reductions(stats)
+
+
+@query()
+def r4_hypothetical(s, d):
+    """The fastest traces as they are and without errors."""
+    stats = cut(latency.trace_stats(whatif.nodes_and_savings(spans(s, d))).where("not root_error").select("trace_id", "root_id", "latency", "saved"), "stats")
+    return latency.hypothetical(stats)
+
+
+@query("SELECT count(DISTINCT tid) AS traces, count(*) AS nodes, max(n) AS most_nodes, max(depth) AS max_depth, max(bytes) AS bytes, " + ", ".join(f"max(b{q}) AS bytes_p{q}" for q in (50, 90, 95, 99)) + """ FROM (SELECT nd.*, count(*) OVER (PARTITION BY tid) AS n FROM nd) x,
+  (SELECT sum(b)::BIGINT AS bytes, """ + ", ".join(f"list(b ORDER BY b)[least(floor(count(*) * {q / 100})::BIGINT, count(*) - 1) + 1] AS b{q}" for q in (50, 90, 95, 99)) + " FROM (SELECT tid, sum(length(replace(path, '->', ';')) + length(excl::VARCHAR) + 2)::BIGINT AS b FROM pr GROUP BY tid)) y")
+def j15_run_log(s, d):
+    """Sizes of a run."""
+    n = cut(_nodes(s, d).select("trace_id", "root_id", "path", "depth", "on_cp", "span_id", "adj_dur", "path_dur", "cp_pos"), "nodes")
+    lines = profile.per_trace(n).select("trace_id", "root_id", (F.length(F.array_join("path", ";")) + F.length(F.col("excl").cast("string")) + 2).alias("b"))
+    return latency.run_log(n, lines.groupBy("trace_id", "root_id").agg(F.sum("b").alias("bytes")))
 
 
 @query("SELECT DISTINCT c.tid::VARCHAR AS trace_id, c.k::VARCHAR AS span_id, string_split(c.path, '->')[max(a.depth):] AS cyc, array_to_string(string_split(c.path, '->')[max(a.depth):], '->') AS cycle FROM nd c JOIN nd a ON a.tid = c.tid AND a.kind = 'CLIENT' AND c.kind = 'CLIENT' AND a.op = c.op AND a.svc = c.svc AND c.k > a.k AND (a.k = c.pk OR a.k = (c.pk - 1) // 3 AND c.pk > 0 OR a.k = ((c.pk - 1) // 3 - 1) // 3 AND c.pk > 3) GROUP BY c.tid, c.k, c.path".replace("string_split(c.path, '->')[max(a.depth):] AS cyc, ", ""))
@@ -413,6 +541,13 @@ def c11_completeness(s, d):
     return structure.completeness(w).withColumn("services", F.array_join("services", ","))
 
 
+@query("""SELECT count(*) AS traces, count(*) FILTER (WHERE bad) AS incomplete, count(*) FILTER (WHERE bad) * 100 / count(*) AS percent, (SELECT string_agg(svc || '=' || n, ',' ORDER BY svc || '=' || n) FROM (SELECT svc, count(DISTINCT tid) AS n FROM sp WHERE event_id % 17 = 0 GROUP BY svc)) AS services FROM (SELECT tid, bool_or(event_id % 17 = 0) AS bad FROM sp GROUP BY tid)""")
+def c14_completeness_report(s, d):
+    """C14."""
+    w = spans(s, d).withColumn("warnings", F.when(F.col("event_id") % 17 == 0, F.array(F.lit("invalid parent span IDs=1; skipping clock skew adjustment"))))
+    return structure.completeness_report(structure.completeness(w))
+
+
 @query("SELECT tid::VARCHAR AS trace_id, string_agg(DISTINCT 'bucket=' || (event_id % 5), ',' ORDER BY 'bucket=' || (event_id % 5)) AS matched FROM nd WHERE (event_id % 5 = 1 AND depth <= 2) OR (event_id % 5 = 2 AND depth <= 3) GROUP BY tid")
 def c9_tag_matches(s, d):
     """C9, C10, A23."""
@@ -429,31 +564,116 @@ def c8_excluded(s, d):
     return _flat(n.groupBy("path").agg(F.count("*").alias("n"), F.sum("adj_dur").alias("inc")))
 
 
-@query()
+#: The first purchase of S1 in pre-order is the root; only what lies below it is analysed.
+FROM_MATCH = derive.sql(
+    roots="SELECT tid, arg_min(k, key) AS k FROM pre JOIN sp USING (tid, k) WHERE svc = 'S1' AND op = 'purchase' GROUP BY tid",
+    more="pre AS (SELECT tid, k, [k] AS key FROM sp WHERE k = 0 UNION ALL SELECT c.tid, c.k, list_append(p.key, c.k) FROM pre p JOIN sp c ON c.tid = p.tid AND c.pk = p.k),\n",
+)
+#: (S3, view) is a proxy: spans hang on their nearest ancestor that is none.
+NO_PROXIES = derive.sql(
+    source="SELECT sp.* REPLACE (ef.px AS pk) FROM sp JOIN ef USING (tid, k) WHERE NOT (svc = 'S3' AND op = 'view')", roots="SELECT tid, k FROM st WHERE pk IS NULL",
+    more="ef AS (SELECT tid, k, NULL::INT AS px FROM sp WHERE k = 0 UNION ALL SELECT c.tid, c.k, CASE WHEN p.svc = 'S3' AND p.op = 'view' THEN e.px ELSE p.k END FROM ef e JOIN sp p ON p.tid = e.tid AND p.k = e.k JOIN sp c ON c.tid = p.tid AND c.pk = p.k),\n",
+)
+#: A click with one child takes over that child's error, through runs of them.
+PASSED = derive.sql(
+    source="SELECT sp.* REPLACE (fe.err AS err) FROM sp JOIN (SELECT tid, b0, arg_max(err, k) AS err FROM fo GROUP BY 1, 2) fe ON fe.tid = sp.tid AND fe.b0 = sp.k",
+    more="""n1 AS (SELECT tid, pk AS k, count(*) AS n, min(k) AS kid FROM sp WHERE pk IS NOT NULL GROUP BY 1, 2),
+fo AS (SELECT tid, k AS b0, k, err, op FROM sp UNION ALL SELECT f.tid, f.b0, c.k, c.err, c.op FROM fo f JOIN n1 ON n1.tid = f.tid AND n1.k = f.k AND n1.n = 1 JOIN sp c ON c.tid = f.tid AND c.k = n1.kid WHERE f.op = 'click'),
+""",
+)
+
+
+@query(f"SELECT path, inc, excl, freq FROM {MERGED}", FROM_MATCH)
 def c1_matching_root(s, d):
     """The first matching descendant as root."""
     n = _nodes(s, d, Knobs(root=TARGET))
     return _flat(profile.merged(profile.per_trace(n)).select("path", "inc", "excl", "freq"))
 
 
-@query()
+@query("SELECT path, count(*) AS n, sum(d)::BIGINT AS inc FROM nd GROUP BY path", NO_PROXIES)
 def d4_proxies(s, d):
     """Proxies vanish and their children move up."""
     n = _nodes(s, d, Knobs(proxies=frozenset({("S3", "view")})))
     return _flat(n.groupBy("path").agg(F.count("*").alias("n"), F.sum("adj_dur").alias("inc")))
 
 
-@query()
+@query("SELECT op, err AS is_error, count(*) AS n FROM nd GROUP BY 1, 2", PASSED)
 def e7_passed_errors(s, d):
     """Errors passed up through single-child nodes."""
     n = _nodes(s, d, Knobs(pass_through=frozenset({(f"S{i}", "click") for i in range(7)})))
     return n.groupBy("op", "is_error").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT count(DISTINCT tid) AS traces, count(*) AS nodes FROM nd WHERE tid NOT IN (SELECT tid FROM sp WHERE svc = 'S6' OR starts_with(op, 'sign'))")
+def c5_no_test_traces(s, d):
+    """Test traces left out by the knobs."""
+    n = _nodes(s, d, Knobs(test_services=frozenset({"S6"}), test_prefixes=("sign",)))
+    return n.agg(F.count_distinct("trace_id").alias("traces"), F.count("*").alias("nodes"))
+
+
+@query(ORDER + """, nm AS (SELECT name, 'Service::Operation' || row_number() OVER (ORDER BY tid, pos) AS alias FROM (SELECT '[' || svc || '] ' || op AS name, min((tid, pos)) AS f, f[1] AS tid, f[2] AS pos FROM cp JOIN po USING (tid, k) GROUP BY 1)),
+ex AS (SELECT tid, path, excl, string_split(path, '->') AS p, unnest(range(1, len(p) + 1)) AS i FROM pr)
+SELECT tid::VARCHAR AS trace_id, string_agg(alias, '->' ORDER BY i) AS path, any_value(excl)::BIGINT AS excl FROM ex JOIN nm ON nm.name = ex.p[ex.i] GROUP BY tid, ex.path""".replace("min((tid, pos)) AS f, f[1] AS tid, f[2] AS pos", "min(tid) AS tid, arg_min(pos, (tid, pos)) AS pos"))
 def b12_anonymised(s, d):
-    """B12."""
-    return _flat(profile.anonymised(_profile(s, d)).select("trace_id", "path", "excl"))
+    """Names in the order in which they are first seen."""
+    n = cut(_nodes(s, d).select("trace_id", "root_id", "path", "service", "op", "on_cp", "span_id", "adj_dur", "path_dur", "cp_pos"), "nodes")
+    return _flat(profile.anonymised(profile.per_trace(n), profile.aliases(n)).select("trace_id", "path", "excl"))
+
+
+@query(CLASS + "SELECT tid::VARCHAR AS trace_id, metric, count(*) AS items, min(depth) AS p0, list(depth ORDER BY depth)[least(count(*) // 2, count(*) - 1) + 1] AS p50, list(depth ORDER BY depth)[least(floor(count(*) * 0.9)::BIGINT, count(*) - 1) + 1] AS p90, list(depth ORDER BY depth)[least(floor(count(*) * 0.95)::BIGINT, count(*) - 1) + 1] AS p95, list(depth ORDER BY depth)[least(floor(count(*) * 0.99)::BIGINT, count(*) - 1) + 1] AS p99, max(depth) AS p100, sum(depth)::BIGINT / count(*) AS avg FROM (SELECT *, CASE WHEN class = 'stopped' THEN 'stopped' WHEN chain THEN 'to_root' ELSE 'not_to_root' END AS m FROM cl WHERE class IN ('self', 'stopped')), unnest(CASE WHEN on_cp THEN [m, m || '_on_path'] ELSE [m] END) AS u(metric) GROUP BY 1, 2")
+def h12_tree_histograms(s, d):
+    """A trace's error depths, by what becomes of the errors."""
+    return errors.tree_histograms(_nodes(s, d)).drop("root_id")
+
+
+@query(CLASS + "SELECT (CASE WHEN x = 0 THEN -1 ELSE least(floor(x * 10), 9) END)::INT AS bin, count(*) FILTER (WHERE class = 'self') AS self_errors, count(*) FILTER (WHERE class = 'stopped') AS stopped FROM (SELECT class, cl.depth / max(cl.depth) OVER (PARTITION BY tid) AS x, bool_or(k = 0 AND err) OVER (PARTITION BY tid) AS bad FROM cl) WHERE class IN ('self', 'stopped') AND NOT bad GROUP BY 1")
+def h12_percent_depth(s, d):
+    """Error depths as shares of the trace's depth, over traces whose root does not err."""
+    return errors.percent_depths(_nodes(s, d))
+
+
+@query(COUNTS + "SELECT bin, count(*) FILTER (WHERE what = 'cp') AS cp, count(*) FILTER (WHERE what = 'tied') AS tied FROM (SELECT what, (CASE WHEN x = 0 THEN -1 ELSE least(floor(x * 10), 9) END)::INT AS bin FROM (SELECT 'cp' AS what, cp_error_ratio AS x FROM ts WHERE NOT root_error UNION ALL SELECT 'tied', tied_error_ratio FROM ts WHERE NOT root_error) WHERE x IS NOT NULL) GROUP BY bin")
+def h11_error_shares(s, d):
+    """Shares of a trace's errors that lie on the path, and that are tied to it."""
+    stats = latency.with_shares(latency.trace_counts(_nodes(s, d))).where("not root_error")
+    return errors.share_bins(stats, cp=F.col("cp_error_ratio"), tied=F.col("tied_error_ratio"))
+
+
+@query(CLASS + "SELECT round_even(max_depth / depth, 1) AS share, count(*) AS trees FROM (SELECT tid, coalesce(max(depth) FILTER (WHERE chain AND nch = 0), -1) AS max_depth, max(depth) AS depth, bool_or(k = 0 AND err) AS bad FROM cl GROUP BY tid) WHERE bad GROUP BY 1")
+def h13_percent_deepest(s, d):
+    """The deepest error that reaches the root as a share of the trace's depth, over traces whose root errs."""
+    return errors.percent_deepest(_nodes(s, d))
+
+
+#: A span's error, as documents state it, by its event: the forms that count and forms that don't.
+STATED = """CASE event_id % 9 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN true WHEN 4 THEN true WHEN 5 THEN true ELSE false END"""
+
+
+@query(f"SELECT tid::VARCHAR AS trace_id, k::VARCHAR AS span_id, k AS span_ord, pk::VARCHAR AS parent_id, svc AS service, op, kind, host, CASE WHEN event_id % 2 = 0 THEN region ELSE 'z' || (event_id % 3) END AS region, s AS start, d AS dur, {STATED} AS is_error, CASE WHEN event_id % 4 = 0 THEN 'peer' || (event_id % 5) END AS peer_service FROM sp")
+def a4_document_spans(s, d):
+    """Spans parsed from trace documents in JSON, which are made from the derived spans."""
+    return traces.spans_of(_documents(s, d)).drop("tags", "warnings", "trace_file")
+
+
+@query(f"SELECT lower(printf('%016x', tid)) AS trace_id, lower(printf('%016x', k + 1)) AS span_id, lower(printf('%016x', pk + 1)) AS parent_id, svc AS service, op, kind, host, s AS start, d AS dur, event_id % 5 IN (0, 1, 2) AS is_error FROM sp")
+def a5_nested_spans(s, d):
+    """Spans parsed from nested rows, one a trace, with numbers for ids and kinds and nanoseconds."""
+    return traces.nested_spans(_nested(s, d)).select(expr.hex_id(F.col("trace_id").cast("long")).alias("trace_id"), "span_id", "parent_id", "service", "op", "kind", "host", "start", "dur", "is_error")
+
+
+@query("SELECT tid::VARCHAR AS trace_id, k::VARCHAR AS span_id, pk::VARCHAR AS parent_id, s AS start FROM sp")
+def d7_merged_traces(s, d):
+    """The subtrees of span 2 come as traces of their own that follow from span 0, and are merged back."""
+    parent, child, references = _split(s, d)
+    return structure.merge_split(parent, child, references).select("trace_id", "span_id", "parent_id", "start")
+
+
+@query("SELECT DISTINCT a.k::VARCHAR AS span_id FROM sp a JOIN sp b ON a.k = b.k WHERE a.tid % 2 = 0 AND b.tid % 2 = 1")
+def m3_collisions(s, d):
+    """Span ids that two sides share."""
+    sp = spans(s, d)
+    odd = F.col("trace_id").cast("long") % 2 == 1
+    return structure.collisions(sp.where(~odd), sp.where(odd))
 
 
 @query("""SELECT path, coalesce(f1, 0)::BIGINT AS freq1, coalesce(e1, 0)::BIGINT AS excl1, coalesce(f2, 0)::BIGINT AS freq2, coalesce(e2, 0)::BIGINT AS excl2, (coalesce(f2, 0) - coalesce(f1, 0))::BIGINT AS freq_change, (coalesce(e2, 0) - coalesce(e1, 0))::BIGINT AS excl_change FROM

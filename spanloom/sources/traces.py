@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import expr
 
+from .store import Store
+
 TAG = "STRUCT<key STRING, type STRING, value STRING>"
 DOCUMENT = (
     "data ARRAY<STRUCT<traceID STRING, processes MAP<STRING, STRUCT<serviceName STRING, tags ARRAY<" + TAG + ">>>, spans ARRAY<STRUCT<traceID STRING, spanID STRING, operationName STRING, processID STRING, "
@@ -21,6 +23,20 @@ def documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame
     return raw.select(F.input_file_name().alias("file"), expr.trace_id_of_file(F.input_file_name()).alias("trace_file"), "data")
 
 
+def parsed(rows: DataFrame) -> DataFrame:
+    """Trace documents from rows with trace_id and document (JSON text), as the search source gives them; a failed download has none."""
+    return rows.where("document is not null").select(F.col("trace_id").alias("trace_file"), F.from_json("document", DOCUMENT).getField("data").alias("data"))
+
+
+def any_spans(spark: SparkSession, path: str) -> DataFrame:
+    """Spans of whatever lies there: downloaded documents or nested rows in Parquet, else documents in JSON."""
+    held = Store(spark, path)
+    if not any(n.endswith(".parquet") for n in [path, *held.names()]):
+        return json_spans(spark, path)
+    raw = spark.read.parquet(path)
+    return spans_of(parsed(raw)) if "document" in raw.columns else parquet_spans(spark, path)
+
+
 def spans_of(docs: DataFrame) -> DataFrame:
     """Spans of trace documents. A span without process, id or times is left out, as is everything it alone would connect."""
     one = docs.select("trace_file", F.explode("data").alias("t"))
@@ -53,9 +69,14 @@ def split_children(spans: DataFrame) -> DataFrame:
 
 
 def parquet_spans(spark: SparkSession, path: str) -> DataFrame:
-    """Spans of nested Parquet rows (one trace a row): ids become hexadecimal, nanoseconds microseconds, kinds names."""
+    """Spans of files of nested rows; the file's name is the trace's id where rows have none."""
     raw = spark.read.parquet(path)
-    trace_id = F.col("trace_id").cast("string") if "trace_id" in raw.columns else expr.trace_id_of_file(F.input_file_name())
+    return nested_spans(raw if "trace_id" in raw.columns else raw.withColumn("trace_id", expr.trace_id_of_file(F.input_file_name())))
+
+
+def nested_spans(raw: DataFrame) -> DataFrame:
+    """Spans of nested rows (trace_id, span_set; one trace a row): ids become hexadecimal, nanoseconds microseconds, kinds names."""
+    trace_id = F.col("trace_id").cast("string")
     sets = raw.select(trace_id.alias("trace_id"), F.posexplode("span_set").alias("set_ord", "x"))
     rows = sets.select("trace_id", "set_ord", F.col("x.process").alias("p"), F.posexplode("x.spans").alias("at", "s"))
     rows = rows.withColumn("span_ord", F.col("set_ord") * 1_000_000 + F.col("at"))

@@ -92,10 +92,10 @@ def test_errors(spark):
     assert classes == {"a": ("stopped", None), "b": ("propagated", None), "c": ("self", 2), "d": ("self", 1), "e": (None, None)}
     assert errors.deepest(nodes).first()["max_depth"] == -1
     assert {r["span_id"] for r in errors.errors_on_path(nodes).collect()} == {"a", "b", "c", "d"}
-    full = {"->".join(r["path"]): r["excl"] for r in errors.full_profile(nodes).collect()}
+    full = {"->".join(r["path"]): r["excl"] for r in errors.full_profile(nodes).where("freq > 0").collect()}
     root = "errorCriticalPathSyntheticRoot->[S1] a->"
     assert full == {root + "[S1] b": 20, root + "[S1] b->[S1] c": 30, root + "[S1] d": 15}
-    assert {"->".join(r["path"]): r["n"] for r in errors.to_root_stacks(nodes).collect()} == {"[S1] a->[S1] b->[S1] c": 1, "[S1] a->[S1] d": 1}
+    assert {"->".join(r["path"]): r["excl"] for r in errors.to_root_stacks(nodes).collect()} == {"[S1] a->[S1] b->[S1] c": 1, "[S1] a->[S1] d": 1}
 
 
 def test_savings(spark):
@@ -122,7 +122,7 @@ def test_slack_and_drag(spark):
     nodes = tree.nodes(table(spark, rows))
     assert {r["span_id"]: (r["drag"], r["drag_excl"]) for r in slackdrag.drag(nodes).collect()} == {"a": (100, 10), "b": (30, 30), "c": (20, 20)}
     assert {r["span_id"]: r["slack"] for r in slackdrag.slack(nodes).collect()} == {"a": 0, "b": 0, "c": 0, "d": 90 - 20 - 40}
-    deps = {(r["kind"], r["path"][-1], r["other"][-1]) for r in slackdrag.dependencies(nodes).collect()}
+    deps = {(r["kind"], r["path"][-1], r["other"][-1]) for r in slackdrag.dependencies(table(spark, rows)).collect()}
     assert deps == {("before", "c", "b"), ("before", "d", "b"), ("dependent", "a", "b"), ("dependent", "a", "c"), ("dependent", "a", "d")}
 
 
@@ -239,7 +239,7 @@ def test_wire_stream():
         cut.close()
 
 
-def test_trace_search(spark):
+def test_trace_search(spark, tmp_path):
     class Handler(BaseHTTPRequestHandler):
         seen = set()
 
@@ -265,7 +265,15 @@ def test_trace_search(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     search.register(spark)
     got = spark.read.format("trace_search").options(url=f"http://127.0.0.1:{server.server_port}", service="S", start="0", end="200", limit="20", per_query="10").load().collect()
+    some = spark.read.format("trace_search").options(url=f"http://127.0.0.1:{server.server_port}", service="S", start="0", end="200").load()
+    assert {(r["trace_id"], r["status"]) for r in some.where("trace_id in ('t500', 't2')").collect()} == {("t500", 200), ("t2", 404)}
+    assert {(r["status"], r["n"]) for r in search.histogram(some.where("trace_id in ('t500', 't2')")).collect()} == {(200, 1), (404, 1)}
+    from spanloom import cli
+
+    out = str(tmp_path / "fetched")
+    cli.main(["--download", f"http://127.0.0.1:{server.server_port}", out, "--service", "S", "--start", "0", "--end", "200", "--limit", "20"], spark)
     server.shutdown()
+    assert spark.read.parquet(out).where("status = 200").count() == 2 and traces.any_spans(spark, out).count() == 0
     assert {(r["trace_id"], r["status"]) for r in got} == {("t0", 200), ("t1", 200), ("t2", 404), ("t100", 200), ("t101", 200), ("t102", 200)}
     assert search.shares([300, 700], 100) == [30, 70] and search.shares([3, 7], 100) == [3, 7]
 
