@@ -42,6 +42,7 @@ SPLIT = 3  # nodes with fewer bytes of context are shared by all buckets
 PIECES = 4  # parts in which a bucket grows its subtrees
 PARTS = 16  # groups in which the sums for the top levels meet
 MOST_GRAMS, MOST_BYTES = 2_000_000, 32 << 20  # of a slice
+STEP_BYTES = 1 << 20  # of text at a time
 LOG2 = math.log10(2.0)
 
 
@@ -216,7 +217,7 @@ def count(rows: DataFrame, depth: int, buckets: int) -> DataFrame:
         for batch in batches:
             data, offsets = textbuf.buffer(batch.column(1))
             learnt = np.array(batch.column(2), dtype=bool)
-            for i, j in textbuf.slices(offsets):
+            for i, j in textbuf.slices(offsets, STEP_BYTES):
                 w, own = textbuf.Words(data, offsets, i, j, textbuf.SPACE), learnt[i:j]
                 if own.any():
                     k, n = np.unique(w.hashes()[np.repeat(own, w.counts)], return_counts=True)
@@ -226,7 +227,7 @@ def count(rows: DataFrame, depth: int, buckets: int) -> DataFrame:
                 grams.append(merged([k >> U64(1)], [np.where(k & U64(1), n, 0).astype(np.int64)]))
                 yield from _rows(schema, [{"kind": 2, "slice": piece, "texts": shipped(batch.slice(i, j - i))}])
                 held, size = held + len(grams[-1][0]) + (len(words[-1][0]) if words else 0), size + int(offsets[j] - offsets[i])
-                if held > 3 * MOST_GRAMS // 2 or size > MOST_BYTES:
+                if held > 5 * MOST_GRAMS // 4 or size > MOST_BYTES:
                     words, grams = [merged(*zip(*words))] if words else [], [merged(*zip(*grams))]
                     held = len(grams[0][0]) + (len(words[0][0]) if words else 0)
                     if held > MOST_GRAMS or size > MOST_BYTES:
@@ -272,7 +273,7 @@ def grow(counted: DataFrame, depth: int, least: int) -> DataFrame:
             p[at] = tree.climb(own).T
             up.append(sums)
             low.append(shorter(*levels[0], split - 1) if split else levels[0])
-        rows = [{"bucket": bucket, "keys": squeezed(keys), "values": p.tobytes(), "slices": table.column("slice").to_pylist(), "places": [squeezed(np.searchsorted(keys, x).astype(np.int32)) for x in asked]}]
+        rows = [{"bucket": bucket, "keys": squeezed(keys), "values": squeezed(p.ravel()), "slices": table.column("slice").to_pylist(), "places": [squeezed(np.searchsorted(keys, x).astype(np.int32)) for x in asked]}]
         if split:
             (up, total, held), (k, n) = (map(np.concatenate, zip(*x)) for x in (up, low))
             for part in range(PARTS):
@@ -314,7 +315,7 @@ def finished(grown: DataFrame, tree) -> DataFrame:
         for batch in batches:
             for i in range(len(batch)):
                 bucket, keys, p, slices, places = (c[i].as_py() for c in batch.columns)
-                value = tree.value.log2(widened(keys, np.uint64), np.frombuffer(p, np.float32).reshape(-1, 8).T).astype(np.float32)
+                value = tree.value.log2(widened(keys, np.uint64), widened(p, np.float32).reshape(-1, 8).T).astype(np.float32)
                 yield from _rows(schema, [{"slice": s, "bucket": bucket, "values": squeezed(value[widened(at, np.int32)])} for s, at in zip(slices, places)])
 
     return grown.where("part is null").select("bucket", "keys", "values", "slices", "places").mapInArrow(run, "slice long, bucket int, values binary")

@@ -65,7 +65,7 @@ def distinct(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n, SLICE_BYTES // 2 + 1)
         for k, base in enumerate((_BASE, _INVERSE)):
             out = np.full(size, base, U64)
             out[0] = 1
