@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.scratch import cut, scope
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanloom-"))
-            current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = current.get()
-    return named.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: lineage ends there, and losing an
-    executor later costs a read, not the work above."""
-    path = f"{shared_dir(df.sparkSession)}/spanloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["ascii_lower", "crc_mod", "cut", "scope", "table"]
 
 
 def crc_mod(doc_id: str | Column, n: int) -> Column:

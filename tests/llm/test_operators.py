@@ -213,6 +213,8 @@ def test_fingerprints(spark, docs, empty):
     assert imatch.fingerprints(empty).count() == 0
     one = imatch.fingerprints(docs.where("doc_id = 60")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
+    again = spark.range(300).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("same id "), F.col("id").cast("string")).alias("text")).unionByName(spark.range(30).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same row").alias("text")))
+    same(imatch.fingerprints(again), ORACLES["op4_imatch"], documents=again)
     many = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
     follow = {r["text"]: r["next_text"] for r in imatch.with_next(many, (), per_bucket=7).collect()}
     assert follow == {f"w{i}": f"w{(i - 1) % 500}" for i in range(500)}
@@ -305,6 +307,65 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, toxicity.fit(empty, marks.limit(0))).count() == 0
 
 
+def density_by_hand(words_, lexicon):
+    """Every place of every entry, looked for one by one."""
+    text, hits, excused = f" {' '.join(words_)} ", {}, []
+    for phrase in lexicon.exceptions:
+        key = f" {' '.join(toxicity.fold(phrase))} "
+        excused += [(i, i + len(key) - 1) for i in range(len(text)) if text.startswith(key, i)]
+    for word, begins, weight in lexicon.entries:
+        key = f" {word}" if begins else f" {word} "
+        for i in range(len(text)):
+            if text.startswith(key, i):
+                hits[i] = max(weight, hits.get(i, 0.0))
+    total = sum(w for i, w in sorted(hits.items()) if not any(a <= i < b for a, b in excused))
+    return total / (1 + math.log1p(len(words_) / 200)) if words_ else 0.0
+
+
+def test_toxicity_matches_a_plain_search():
+    rng = random.Random(6)
+    lexicon = toxicity.Lexicon((("idiot", False, 2.0), ("idi", True, 0.5), ("trash", False, 3.0), ("clown", True, 1.5), ("loser", False, 1.0)), exceptions=("trash can", "can idiot can", "idiot proof", "class clown"))
+    automaton, parts = lexicon.automaton(), ["idiot", "idiots", "trash", "can", "proof", "class", "clown", "clowns", "loser", "sore", "x", "idi"]
+    for _ in range(500):
+        words_ = [rng.choice(parts) for _ in range(rng.randint(0, 25))]
+        assert math.isclose(toxicity.density(words_, automaton), density_by_hand(words_, lexicon), abs_tol=1e-12)
+    assert toxicity.density(["idiot", "proof"] * 20_000, automaton) == 0 and toxicity.density(["trash"] * 20_000, automaton) > 0
+
+
+def test_a_lexicon_is_what_the_floors_let_in(spark):
+    rng = random.Random(11)
+    plain, bad = [f"word{i}" for i in range(300)], [f"nasty{i}" for i in range(12)] + ["rare"]
+    rows, labels = [], []
+    for i in range(500):
+        toxic = i % 4 == 0
+        text = rng.choices(plain, k=rng.randint(20, 60)) + (rng.choices(bad[:12], k=4) if toxic else []) + (["rare"] if i == 0 else []) + ([rng.choice(bad)] if i == 1 else [])
+        rng.shuffle(text)
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    lexicon = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found, uses = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for (_, text), (_, y) in zip(rows, labels):
+        terms = collections.Counter({"": len(toxicity.fold(text))})
+        for w, n in collections.Counter(toxicity.fold(text)).items():
+            terms[f"{w} "] += n
+            for size in toxicity.BEGINNINGS:
+                if len(w) > size:
+                    terms[w[:size]] += n
+        found[y].update(terms.keys())
+        uses[y].update(terms)
+    toxic, clean = sum(y for _, y in labels), sum(1 - y for _, y in labels)
+    want = {}
+    for term, t in found[1].items():
+        rate = math.log((uses[1][term] + 0.5) / (uses[1][""] + 1)) - math.log((uses[0][term] + 0.5) / (uses[0][""] + 1))
+        odds = math.log((t + 0.5) / (toxic + 1)) - math.log((found[0][term] + 0.5) / (clean + 1))
+        if term and t >= max(2, math.ceil(0.01 * toxic)) and uses[1][term] >= max(5, 0.015 * toxic) and rate >= 4 and odds >= 2:
+            want[term.rstrip(" "), not term.endswith(" ")] = min(rate, 1.5 * odds)
+    assert {(w, b) for w, b, _ in lexicon.entries} == set(want) and all(math.isclose(v, want[w, b], rel_tol=1e-9) for w, b, v in lexicon.entries)
+    assert ("rare", False) not in want and ("nastye", False) in want  # nasty3, as it is folded
+    twice = spark.createDataFrame([rows[0], rows[0], (None, rows[0][1])], "doc_id long, text string")
+    assert len({r["score"] for r in toxicity.score(twice, lexicon).collect()}) == 1
+
+
 def test_mixing(docs, empty):
     same(mixing.mix(docs), ORACLES["op8_mixing"], documents=docs)
     got = mixing.mix(docs, block=16).collect()
@@ -401,6 +462,46 @@ def test_the_language_stage_decides_by_the_network(docs, empty):
     assert {60, 70} <= {r["doc_id"] for r in langid_cnn.keep_known(docs, none).collect()} and 67 not in {r["doc_id"] for r in langid_cnn.keep_known(docs, none).collect()}
 
 
+def log_probs_by_hand(net, window):
+    """The network on one window, filter by filter and place by place."""
+    pooled = []
+    for w, f, b in zip(langid_cnn.WIDTHS, net.filters, net.biases):
+        for k in range(f.shape[1]):
+            best = max(sum(float(net.embed[window[i + j]][d]) * float(f[j * net.embed.shape[1] + d][k]) for j in range(w) for d in range(net.embed.shape[1])) for i in range(len(window) - w + 1))
+            pooled.append(max(0.0, best + float(b[k])))
+    z = [sum(p * float(net.out[i][c]) for i, p in enumerate(pooled)) + float(net.out_bias[c]) for c in range(len(net.langs))]
+    top = max(z)
+    return [v - top - math.log(sum(math.exp(x - top) for x in z)) for v in z]
+
+
+def test_predictions_match_the_network_by_hand(spark):
+    rng = random.Random(2)
+    texts = {i: words(rng, lang, n) for i, (lang, n) in enumerate([("en", 3), ("de", 40), ("fr", 25), ("en", 60)])}
+    net = langid_cnn.train([words(rng, lang, 60).encode() for lang in LETTERS for _ in range(20)], [lang for lang in LETTERS for _ in range(20)], dims=3, filters=4)
+    got = {r["doc_id"]: r for r in langid_cnn.predict(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), net).collect()}
+    for i, text in texts.items():
+        raw = text.encode()
+        parts = [raw[a : a + langid_cnn.WINDOW].ljust(langid_cnn.WINDOW, b"\0") for a in range(0, len(raw), langid_cnn.WINDOW)]
+        mean = np.mean([log_probs_by_hand(net, p) for p in parts], 0)
+        share = np.exp(mean) / np.exp(mean).sum()
+        assert got[i]["lang_pred"] == net.langs[int(mean.argmax())] and math.isclose(got[i]["score"], share.max(), rel_tol=1e-4)
+
+
+def test_the_language_sample_is_the_smallest_hashes(spark):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "en").when(F.col("id") % 500 == 1, "fr").otherwise("de").alias("lang"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    df = df.unionByName(df.where("doc_id = 3").crossJoin(spark.range(3000)).drop("id"))  # one row very often
+    taken = {}
+    was = langid_cnn.train
+    try:
+        langid_cnn.train = lambda texts, labels, **_: taken.update(zip((t.decode() for t in texts), labels))
+        langid_cnn.fit(df, per_lang=50)
+    finally:
+        langid_cnn.train = was
+    hashed = df.distinct().withColumn("h", F.xxhash64("doc_id", "text")).collect()
+    for lang in ("en", "de", "fr"):
+        assert {t for t, own in taken.items() if own == lang} == {r["text"] for r in sorted((r for r in hashed if r["lang"] == lang), key=lambda r: r["h"])[:50]}
+
+
 def test_gradients_of_the_network_learn():
     net = langid_cnn.train([b"abababab" * 20, b"xyxyxyxy" * 20] * 20, ["a", "x"] * 20)
     x, _ = langid_cnn.windows(np.frombuffer(b"babababababa", np.uint8), np.array([0, 12]), 0, 1)
@@ -464,14 +565,133 @@ def test_context_trees_are_distributions_and_weight_as_defined():
     assert math.isclose(float(weight[list(k).index(1)]), 1 / (1 + math.exp(below - kt(*ones[0, 0]))), rel_tol=1e-5)
 
 
+def scores_by_definition(trained, scored, depth, least):
+    """log2 probabilities of whole texts under context-tree weighting, from dictionaries of counts."""
+
+    def bits(text):
+        data = bytes([255] * depth) + text + b"\xff"
+        for i in range(depth, len(data)):
+            for level in range(8):
+                yield data[i - depth : i][::-1], (1 << level) | (data[i] >> (8 - level)), (data[i] >> (7 - level)) & 1
+
+    seen, held = collections.Counter(), {}
+    for text in trained:
+        for context, node, bit in bits(text):
+            for d in range(depth + 1):
+                held.setdefault((context[:d], node), [0, 0])[bit] += 1
+                if node == 1:
+                    seen[context[:d]] += 1
+    held = {k: v for k, v in held.items() if seen[k[0]] >= least}
+    kids = collections.defaultdict(list)
+    for context, node in held:
+        if context:
+            kids[context[:-1], node].append((context, node))
+    lg = math.lgamma
+    kt = lambda a, b: lg(a + 0.5) + lg(b + 0.5) - math.log(math.pi) - lg(a + b + 1)
+    own, under, total = {}, {}, {}
+    for key in sorted(held, key=lambda k: -len(k[0])):
+        a, b = held[key]
+        own[key] = kt(a, b)
+        here = sum(sum(held[k]) for k in kids[key])
+        under[key] = sum(total[k] for k in kids[key]) + own[key] * (a + b - here) / (a + b) if here else None
+        total[key] = own[key] if under[key] is None else math.log(0.5 * math.exp(own[key] - max(own[key], under[key])) + 0.5 * math.exp(under[key] - max(own[key], under[key]))) + max(own[key], under[key])
+
+    def predicted(context, node, bit):
+        p = None
+        for d in range(depth, -1, -1):
+            key = (context[:d], node)
+            if key in held:
+                a, b = held[key]
+                value = ((b if bit else a) + 0.5) / (a + b + 1)
+                weight = 1.0 if under[key] is None else 1 / (1 + math.exp(min(700, under[key] - own[key])))
+                p = value if p is None else weight * value + (1 - weight) * p
+        return 0.5 if p is None else p
+
+    return [sum(math.log2(predicted(*x)) for x in bits(text)) for text in scored]
+
+
+def test_scores_follow_the_definition_at_full_depth(spark):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 5))) for _ in range(30)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60))) for _ in range(24)] + ["", "ABC \u00e9\u00e9 abc", None, "z" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in ctw.score(df, F.col("doc_id") % 7 != 2).collect()}
+    lower = [(t or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))) for t in texts]
+    want = scores_by_definition([t for i, t in enumerate(lower) if i % 7 != 2], lower, 6, 2)
+    assert all(math.isclose(got[i], want[i] * ctw.LOG2, rel_tol=1e-5, abs_tol=1e-6) for i in range(len(texts)))
+
+
+def components_by_hand(rows, percent):
+    """Smallest id reachable for each text, over all pairs of shingle sets."""
+    sets = []
+    for _, text, *_ in rows:
+        ws = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").split()
+        sets.append(frozenset(zip(*(ws[k:] for k in range(5)))) if len(ws) >= 5 else frozenset([tuple(ws)] if ws else []))
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    return label
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
+    import sentencepiece
 
-    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs.select(*names).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, int(i % 7 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
-    ids = {r["doc_id"] for r in out.collect()}
+    rows = out.collect()
+    ids = {r["doc_id"] for r in rows}
     assert out.columns == ["doc_id", "n_tokens", "ids", "round_trip"] and not ids & {0, 7, 61, 62, 63, 64, 65, 66, 67}
+    # Stage by stage, against plain versions over all rows.
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")
+    plain = lambda df: sorted((r["doc_id"], r["text"], r["lang"], r["source"]) for r in df.collect() if r["doc_id"] is not None)
+    lexicon = toxicity.fit(table, spark.read.parquet(str(tmp_path / "labels.parquet")).where(crc_mod("doc_id", 4) != 2))
+    scores = lambda t: (lambda d: d / (d + lexicon.half * 7 / 3))(density_by_hand(toxicity.fold(t or ""), lexicon))
+    first = corpus_pipeline.drop_toxic(spark, table, str(tmp_path))
+    assert plain(first) == sorted(r for r in plain_rows(table) if scores(r[1]) < 0.3) and first.columns == names
+    second = corpus_pipeline.drop_unknown_language(spark, first, str(tmp_path))
+    held = crc_mod("doc_id", 5) == 0
+    net = langid_cnn.fit(first.where(~held))
+    least = langid_cnn.floor(first.where(held), net)
+    good = {(r["doc_id"], r["text"]) for r in first.join(langid_cnn.predict(first, net).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(F.col("doc_id").alias("i")).distinct(), F.col("doc_id") == F.col("i")).collect()}
+    assert {(r[0], r[1]) for r in plain(second)} == good
+    third = corpus_pipeline.drop_near_duplicates(spark, second, str(tmp_path))
+    every = sorted(((r["doc_id"], r["text"]) for r in second.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    label = components_by_hand(every, 80)
+    assert sorted(map(key, third.collect())) == sorted((i is None, i or 0, t) for n, (i, t) in enumerate(every) if label.index(label[n]) == n)
+    fourth = corpus_pipeline.mix_sources(spark, third, str(tmp_path))
+    times, mixed = collections.Counter(r["doc_id"] for r in fourth.collect()), mixing.mix(third).collect()
+    assert fourth.columns == names and all(n <= 2 for n in times.values()) and set(times) <= {r["doc_id"] for r in mixed}
+    assert all(times[r["doc_id"]] >= 1 for r in mixed if r["size"] and r["taken"] >= r["size"])
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    encoded = corpus_pipeline.to_pieces(spark, fourth, str(tmp_path))
+    text_of = {r["doc_id"]: r["text"] for r in third.collect()}
+    assert collections.Counter(r["doc_id"] for r in encoded.collect()) == times and all(r["ids"] == lib.encode(text_of[r["doc_id"]]) and r["round_trip"] for r in encoded.collect())
+    assert collections.Counter(r["doc_id"] for r in rows) == times
+
+
+def plain_rows(df):
+    return [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in df.collect() if r["doc_id"] is not None]
+
+
+def test_pipeline_on_odd_tables(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, table in {"empty": docs.limit(0), "clashing": docs}.items():
+        where = tmp_path / name
+        table.write.parquet(str(where / "documents.parquet"))
+        labels.write.parquet(str(where / "labels.parquet"))
+        stage = spark.read.parquet(str(where / "documents.parquet"))
+        for _, step in corpus_pipeline.STAGES[:-1]:
+            stage = step(spark, stage, str(where))
+            assert stage.columns == docs.columns
+        assert corpus_pipeline.run(spark, str(where)).count() == stage.count() and (name != "empty" or stage.count() == 0)
 
 
 def test_pruned_contexts_are_predicted_by_their_node():
