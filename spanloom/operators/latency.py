@@ -75,6 +75,7 @@ def cumulative_shares(profile: DataFrame, of: tuple[float, ...] = (0.5, 0.9, 1.0
 
 def op_totals(profile: DataFrame) -> DataFrame:
     """op, total, occurrences (trees with time for it), chains (distinct paths that end in it)."""
+    profile = cut(profile.select(*TREE, "path", "excl"), "profile")
     ops = by_op(profile).groupBy("op").agg(F.sum("t").alias("total"), F.count(F.when(F.col("t") != 0, 1)).alias("occurrences"))
     chains = profile.groupBy(F.element_at("path", -1).alias("op")).agg(F.count_distinct("path").alias("chains"))
     return ops.join(chains, "op")
@@ -90,7 +91,7 @@ def top_contexts(merged: DataFrame, ops: int = 5, contexts: int = 3) -> DataFram
 
 def heatmap(profile: DataFrame, ops: int = 20, trees: int = 100) -> DataFrame:
     """op, trace_id, root_id, t: the heaviest operations against the slowest trees, in long form."""
-    own = by_op(profile)
+    own = cut(by_op(profile), "by-op")
     best = own.groupBy("op").agg(F.sum("t").alias("all")).orderBy(F.desc("all"), "op").limit(ops)
     slow = own.groupBy("trace_id", "root_id").agg(F.sum("t").alias("all")).orderBy(F.desc("all"), F.lpad("trace_id", 20, "0")).limit(trees)
     return own.join(F.broadcast(best.select("op")), "op").join(F.broadcast(slow.select("trace_id", "root_id")), ["trace_id", "root_id"]).select("op", "trace_id", "root_id", "t")

@@ -680,7 +680,7 @@ def m3_collisions(s, d):
 (SELECT path, sum(freq) AS f1, sum(excl) // (SELECT count(*) FROM lat WHERE tid % 2 = 0) AS e1 FROM pr WHERE tid % 2 = 0 GROUP BY path) FULL JOIN (SELECT path, sum(freq) AS f2, sum(excl) // (SELECT count(*) FROM lat WHERE tid % 2 = 1) AS e2 FROM pr WHERE tid % 2 = 1 GROUP BY path) USING (path)""")
 def d10_compare(s, d):
     """Even against odd traces."""
-    p = _profile(s, d)
+    p = cut(_profile(s, d).select("trace_id", "path", "inc", "excl", "freq"), "profile")
     odd = F.col("trace_id").cast("long") % 2 == 1
     return _flat(structure.compare(profile.merged(p.where(~odd)), profile.merged(p.where(odd))))
 
@@ -688,7 +688,7 @@ def d10_compare(s, d):
 @query("""SELECT stack, coalesce(a, 0)::BIGINT AS before, coalesce(b, 0)::BIGINT AS after, (coalesce(b, 0) - coalesce(a, 0))::BIGINT AS change FROM (SELECT path AS stack, sum(excl) AS a FROM pr WHERE tid % 2 = 0 GROUP BY 1) FULL JOIN (SELECT path AS stack, sum(excl) AS b FROM pr WHERE tid % 2 = 1 GROUP BY 1) USING (stack)""")
 def a22_difference(s, d):
     """Two folded tables against each other."""
-    p = _profile(s, d).select((F.col("trace_id").cast("long") % 2).alias("odd"), profile.name(F.col("path")).alias("stack"), "excl")
+    p = cut(_profile(s, d).groupBy((F.col("trace_id").cast("long") % 2).alias("odd"), profile.name(F.col("path")).alias("stack")).agg(F.sum("excl").alias("excl")), "stacks")
     of = lambda k: p.where(F.col("odd") == k).groupBy("stack").agg(F.sum("excl").alias("v"))
     return profile.difference(of(0), of(1), "stack", "v")
 
