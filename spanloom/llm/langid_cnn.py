@@ -130,11 +130,14 @@ def fit(docs: DataFrame, per_lang: int = 400, slice_chars: int = 1024, most_lang
     return train([r["text"].encode() for r in sample], [r["lang"] for r in sample])
 
 
-def _predicted(batch: pa.RecordBatch, at: int, net: Network) -> tuple[list[str], np.ndarray]:
-    column = batch.column(at)
-    letters = np.array([bool(t) and _LETTER.search(t) is not None for t in column.to_pylist()], bool)
-    data, offsets = textbuf.buffer(column)
-    best, score = np.full(len(batch), "und", object), np.zeros(len(batch))
+def _lettered(texts: pa.Array) -> np.ndarray:
+    return np.array([bool(t) and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+
+
+def _predicted(texts: pa.Array, net: Network) -> tuple[list[str], np.ndarray]:
+    letters = _lettered(texts)
+    data, offsets = textbuf.buffer(texts)
+    best, score = np.full(len(texts), "und", object), np.zeros(len(texts))
     if net.langs:
         for i, j in textbuf.slices(offsets):
             x, of = windows(data, offsets, i, j)
@@ -156,7 +159,7 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, score = _predicted(batch, 1, net)
+            best, score = _predicted(batch.column(1), net)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -170,7 +173,7 @@ def floor(held_out: DataFrame, net: Network, share: float = 0.001, most: int = 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, score = _predicted(batch, 0, net)
+            best, score = _predicted(batch.column(0), net)
             right = [s for b, s, lang in zip(best, score, batch.column(1).to_pylist()) if b == lang]
             yield pa.RecordBatch.from_arrays([pa.array(right, pa.float64())], names=["score"])
 
@@ -180,15 +183,15 @@ def floor(held_out: DataFrame, net: Network, share: float = 0.001, most: int = 2
 
 def keep_known(docs: DataFrame, net: Network, least: float = 0.0) -> DataFrame:
     """The rows of `docs`, with all their columns, in a language the network knows, by at least that score. A network that has learnt no
-    language rejects only texts without letters."""
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not net.langs:
-                yield batch.filter(pa.array([bool(t) and _LETTER.search(t) is not None for t in batch.column(at).to_pylist()], pa.bool_()))
-                continue
-            best, score = _predicted(batch, at, net)
-            yield batch.filter(pa.array([b != "und" and s >= least for b, s in zip(best, score)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    language rejects only texts without letters. Only the text goes to Python."""
+
+    @F.arrow_udf("boolean")
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            if net.langs:
+                best, score = _predicted(texts, net)
+                yield pa.array([b != "und" and s >= least for b, s in zip(best, score)], pa.bool_())
+            else:
+                yield pa.array(_lettered(texts))
+
+    return docs.where(known(F.col("text").cast("string")))

@@ -179,8 +179,8 @@ def _calibrated(sample: DataFrame, lexicon: Lexicon) -> float:
     return float((edges[best] + edges[min(best + 1, len(edges) - 1)]) / 2) or lexicon.half
 
 
-def _scored(batch: pa.RecordBatch, at: int, automaton: ahocorasick.Automaton, half: float) -> np.ndarray:
-    d = np.array([density(fold(t), automaton) if t else 0.0 for t in batch.column(at).to_pylist()], np.float64)
+def _scored(texts: pa.Array, automaton: ahocorasick.Automaton, half: float) -> np.ndarray:
+    d = np.array([density(fold(t), automaton) if t else 0.0 for t in texts.to_pylist()], np.float64)
     return d / (d + half * 7 / 3)
 
 
@@ -190,19 +190,19 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
-            scores = _scored(batch, 1, automaton, lexicon.half)
+            scores = _scored(batch.column(1), automaton, lexicon.half)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose text scores below the threshold."""
-    at = docs.columns.index("text")
+    """The rows of `docs`, with all their columns, whose text scores below the threshold. Only the text goes to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = lexicon.automaton()
-        for batch in batches:
-            yield batch.filter(pa.array(_scored(batch, at, automaton, lexicon.half) < threshold))
+        for texts in batches:
+            yield pa.array(_scored(texts, automaton, lexicon.half) < threshold)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(clean(F.col("text").cast("string")))
