@@ -126,7 +126,7 @@ def full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "cid binary, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles"))
 
 
-def joined(pairs: DataFrame, sets: DataFrame, key: str, salted: int = 1024) -> DataFrame:
+def joined(pairs: DataFrame, sets: DataFrame, key: str, salted: int = 128) -> DataFrame:
     """`pairs` with set_<key>, the set of its column `key`. A class that stands in more than `salted` pairs, as the hub of a large group does,
     is copied once for each so many of them, and they spread over the copies."""
     often = pairs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > salted).select(key, F.ceil(F.col("n") / salted).cast("int").alias("copies"))
