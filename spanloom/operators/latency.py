@@ -74,9 +74,9 @@ def cumulative_shares(profile: DataFrame, of: tuple[float, ...] = (0.5, 0.9, 1.0
 
 
 def op_totals(profile: DataFrame) -> DataFrame:
-    """op, total, occurrences (trees with time for it), chains (distinct paths that end in it)."""
+    """op, total, occurrences (trees with time for it), worst_trace (that spends most on it; ties: the smallest), chains (distinct paths that end in it)."""
     profile = cut(profile.select(*TREE, "path", "excl"), "profile")
-    ops = by_op(profile).groupBy("op").agg(F.sum("t").alias("total"), F.count(F.when(F.col("t") != 0, 1)).alias("occurrences"))
+    ops = by_op(profile).groupBy("op").agg(F.sum("t").alias("total"), F.count(F.when(F.col("t") != 0, 1)).alias("occurrences"), F.min_by("trace_id", F.struct(-F.col("t"), F.lpad("trace_id", 20, "0"))).alias("worst_trace"))
     chains = profile.groupBy(F.element_at("path", -1).alias("op")).agg(F.count_distinct("path").alias("chains"))
     return ops.join(chains, "op")
 

@@ -171,6 +171,14 @@ def j7_folded(s, d):
     return profile.folded(_profile(s, d), True)
 
 
+@query(f"SELECT regexp_replace(array_to_string(list_transform(string_split(stack, ';'), lambda x: substr(x, 2)), '>'), '\\] ', ':', 'g') AS path, value::BIGINT AS duration, freq AS frequency FROM {FOLDED}")
+def a19_folded_source(s, d):
+    """Folded text read back."""
+    lines = profile.cct_lines(_profile(s, d))
+    got = traces.folded_rows(lines.unionByName(s.createDataFrame([("no profile line",), ("[S] cut 5",), ("# 1 <<2>>",)], "value string")))
+    return got.select(F.array_join(F.transform("call_path", lambda x: F.concat_ws(":", x["service"], x["op"])), ">").alias("path"), "duration", "frequency")
+
+
 @query(f"SELECT sum(length(stack) + length(value::VARCHAR) + length(freq::VARCHAR) + 7)::BIGINT AS bytes, count(*) AS lines FROM {FOLDED}")
 def b17_profile_size(s, d):
     """Bytes of the .cct text, a line break each."""
@@ -189,7 +197,7 @@ def j9_time_by_op(s, d):
     return profile.by_op(_profile(s, d)).select("trace_id", "op", "t")
 
 
-@query("SELECT op, sum(t)::BIGINT AS total, count(*) FILTER (WHERE t <> 0) AS occurrences, any_value(chains) AS chains FROM (SELECT tid, string_split(path, '->')[-1] AS op, sum(excl) AS t FROM pr GROUP BY 1, 2) JOIN (SELECT string_split(path, '->')[-1] AS op, count(DISTINCT path) AS chains FROM pr GROUP BY 1) USING (op) GROUP BY op")
+@query("SELECT op, sum(t)::BIGINT AS total, count(*) FILTER (WHERE t <> 0) AS occurrences, (arg_min(tid, (-t, tid)))::VARCHAR AS worst_trace, any_value(chains) AS chains FROM (SELECT tid, string_split(path, '->')[-1] AS op, sum(excl) AS t FROM pr GROUP BY 1, 2) JOIN (SELECT string_split(path, '->')[-1] AS op, count(DISTINCT path) AS chains FROM pr GROUP BY 1) USING (op) GROUP BY op")
 def j10_op_totals(s, d):
     """J10, J11, J16."""
     return latency.op_totals(_profile(s, d))

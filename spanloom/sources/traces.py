@@ -91,8 +91,14 @@ def nested_spans(raw: DataFrame) -> DataFrame:
 
 
 def folded_profile(spark: SparkSession, path: str) -> DataFrame:
-    """call_path array of (service, op), duration, frequency from lines `[s] o;[s] o <time> <<freq>>`; other lines are left out."""
-    lines = spark.read.text(path).select(F.regexp_extract("value", FOLDED_LINE, 1).alias("stack"), F.regexp_extract("value", FOLDED_LINE, 2).try_cast("long").alias("duration"), F.regexp_extract("value", FOLDED_LINE, 3).try_cast("long").alias("frequency"))
+    """Folded profiles from text files."""
+    return folded_rows(spark.read.text(path))
+
+
+def folded_rows(lines: DataFrame) -> DataFrame:
+    """call_path array of (service, op), duration, frequency from lines (value) `[s] o;[s] o <time> <<freq>>`; other lines are left out."""
+    of = lambda i: F.regexp_extract("value", FOLDED_LINE, i)
+    lines = lines.select(of(1).alias("stack"), of(2).try_cast("long").alias("duration"), of(3).try_cast("long").alias("frequency"))
     part = lambda x: F.struct(F.regexp_extract(x, r"^\[([^\]]*)\]", 1).alias("service"), F.trim(F.regexp_replace(x, r"^\[[^\]]*\]", "")).alias("op"))
     steps = F.transform(F.filter(F.split("stack", ";"), lambda x: F.trim(x).rlike(r"^\[[^\]]*\]")), lambda x: part(F.trim(x)))
     return lines.where("duration is not null").select(steps.alias("call_path"), "duration", "frequency").where("size(call_path) > 0")

@@ -371,6 +371,24 @@ def test_split_marks_and_several_children(spark):
     assert structure.collisions(both, both.where("span_id = 'a'")).collect()[0]["span_id"] == "a"
 
 
+def test_sql_over_views(spark):
+    from spanloom.plans import views
+
+    rows = [span("a", 0, 100, op="r"), span("b", 10, 40, "a", op="x"), span("c", 50, 90, "a", op="x")]
+    assert views.register(spark, table(spark, rows), prefix="t_") == ["t_spans", "t_nodes", "t_profile", "t_latency"]
+    assert spark.sql("select sum(excl) from t_profile where element_at(path, -1) = '[S1] x'").first()[0] == 70
+    assert spark.sql("select latency, rn, n from t_latency").collect() == [(100, 1, 1)] and spark.sql("select count(*) from t_nodes n join t_spans s using (span_id) where on_cp").first()[0] == 3
+
+
+def test_timings_can_be_restored():
+    t = small_tree(random_rows(random.Random(1), kinds=("SERVER",)))
+    was = whatif.snapshot(t)
+    whatif.retime_method(t, ("S1", "o1"), percent=30)
+    assert whatif.snapshot(t) != was
+    whatif.restore(t, was)
+    assert whatif.snapshot(t) == was
+
+
 def test_requests_are_checked():
     for wrong in ({"mode": "x"}, {"target": ("S", "o")}):
         with pytest.raises(ValueError):
