@@ -131,7 +131,7 @@ def fit(docs: DataFrame, per_lang: int = 400, slice_chars: int = 1024, most_lang
 
 
 def _lettered(texts: pa.Array) -> np.ndarray:
-    return np.array([bool(t) and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+    return np.array([bool(t) and _LETTER.search(t) is not None for t in textbuf.strings(texts)], bool)
 
 
 def _predicted(texts: pa.Array, net: Network) -> tuple[list[str], np.ndarray]:

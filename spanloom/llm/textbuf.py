@@ -11,6 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# Buffers go back to the system once they are free: a worker serves one stage after another, and should hold no more than the one at hand.
+pa.set_memory_pool(pa.system_memory_pool())
+
 U64 = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -49,6 +52,12 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def strings(column: pa.Array, step: int = 128) -> Iterator[str | None]:
+    """The texts of a column, of which few at a time are Python strings."""
+    for a in range(0, len(column), step):
+        yield from column.slice(a, step).to_pylist()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

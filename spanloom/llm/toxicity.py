@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 6000, max_clean: in
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, uses = (Counter(), Counter()), (Counter(), Counter())
-            for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, label in zip(textbuf.strings(batch.column(1)), batch.column(2).to_pylist()):
                 every = fold(text)
                 terms = Counter({"": len(every)})  # the empty term counts words
                 for w, n in Counter(w for w in every if 3 <= len(w) <= 40).items():
@@ -167,7 +167,7 @@ def _calibrated(sample: DataFrame, lexicon: Lexicon) -> float:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([density(fold(t), automaton) for t in batch.column(1).to_pylist()], pa.float64())], names=["toxic", "density"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([density(fold(t), automaton) for t in textbuf.strings(batch.column(1))], pa.float64())], names=["toxic", "density"])
 
     pairs = sample.mapInArrow(run, "toxic int, density double").collect()
     d, y = np.array([p["density"] for p in pairs]), np.array([p["toxic"] for p in pairs], bool)
@@ -180,7 +180,7 @@ def _calibrated(sample: DataFrame, lexicon: Lexicon) -> float:
 
 
 def _scored(texts: pa.Array, automaton: ahocorasick.Automaton, half: float) -> np.ndarray:
-    d = np.array([density(fold(t), automaton) if t else 0.0 for t in texts.to_pylist()], np.float64)
+    d = np.array([density(fold(t), automaton) if t else 0.0 for t in textbuf.strings(texts)], np.float64)
     return d / (d + half * 7 / 3)
 
 
