@@ -99,14 +99,15 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def postings(classes: DataFrame, least: int) -> DataFrame:
-    """cid, n_shingles, tok, toks (all of them): each class under its rarest shared (coordinate, value) pairs."""
-    tokens = classes.select("cid", "n_shingles", F.posexplode("sig").alias("at", "value"))
-    tokens = tokens.select("cid", "n_shingles", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("tok"))
+    """cid, n_shingles, tok, toks (all of them): each class under its rarest shared (coordinate, value) pairs. `classes` has k too, a number for each
+    class: what is dealt for every coordinate is two numbers a row."""
+    tokens = classes.select("k", F.posexplode("sig").alias("at", "value"))
+    tokens = tokens.select("k", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("tok"))
     often = tokens.groupBy("tok").agg(F.count("*").alias("n")).where("n > 1")
-    shared = tokens.join(often, "tok").groupBy("cid", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "tok"))).alias("own"))
+    shared = tokens.join(often, "tok").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("n", "tok"))).alias("own"))
     shared = shared.where(F.size("own") >= least)
-    shared = shared.select("cid", "n_shingles", F.transform(F.slice("own", F.lit(1), F.size("own") - least + 1), lambda x: x["tok"]).alias("toks"))
-    return shared.select("cid", "n_shingles", "toks", F.explode("toks").alias("tok"))
+    shared = shared.select("k", F.transform(F.slice("own", F.lit(1), F.size("own") - least + 1), lambda x: x["tok"]).alias("toks"))
+    return shared.join(classes.select("k", "cid", "n_shingles"), "k").select("cid", "n_shingles", "toks", F.explode("toks").alias("tok"))
 
 
 def full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -242,10 +243,11 @@ def _found(docs: DataFrame, percent: int) -> DataFrame:
     texts = texts.select(F.coalesce("doc_id", F.xxhash64("text")).alias("rid"), "doc_id", _mark(F.col("text")).alias("mark"), "text")
     rows = cut(signed(texts), "signatures")
     classes = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    posted = cut(postings(classes.select("cid", "n_shingles", "sig"), match_threshold(percent)), "postings")
+    classes = cut(classes.withColumn("k", F.monotonically_increasing_id()), "classes")  # written, so that the numbers stay as they are
+    posted = cut(postings(classes, match_threshold(percent)), "postings")
     lone = posted.groupBy("tok").agg(F.count("*").alias("n")).where("n > 1").select("tok")
     posted = cut(posted.join(lone, "tok", "left_semi"), "postings")
-    members = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"))
+    members = classes.select("cid", "least", "rid")
     wanted = members.join(posted.select("cid").distinct(), "cid").select("rid", "cid")
     sets = cut(full_sets(texts.select("rid", "text"), wanted), "sets")
     labels = link(posted, sets, percent)
