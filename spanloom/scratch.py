@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import threading
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 _scopes = threading.local()
 _marked: set[str] = set()
 _own = uuid.uuid4().hex[:12]
+_collected = [0.0]
+#: Seconds between two collections of the driver's garbage.
+PAUSE = 4.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +45,7 @@ def drop(spark: SparkSession, path: str) -> None:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back. What is written goes when the scope it was cut in ends, at the latest when the
-    driver ends."""
+    driver ends. What was shuffled on the way is of no more use; Spark lets it go once the driver has collected the plan, which is hastened here."""
     spark = df.sparkSession
     top = f"{shared_dir(spark)}/spanloom/{spark.sparkContext.applicationId}-{_own}"
     path = f"{top}/{name}-{uuid.uuid4().hex}"
@@ -51,6 +55,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         files.deleteOnExit(at)
         _marked.add(top)
     keep(path)
+    if time.monotonic() - _collected[0] > PAUSE:
+        spark._jvm.System.gc()
+        _collected[0] = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
 
 
