@@ -502,6 +502,31 @@ def test_the_language_sample_is_the_smallest_hashes(spark):
         assert {t for t, own in taken.items() if own == lang} == {r["text"] for r in sorted((r for r in hashed if r["lang"] == lang), key=lambda r: r["h"])[:50]}
 
 
+def test_the_network_learns_from_rows_outside_the_sample(spark):
+    """The start knows neither language; letters are learnt all the same, in any order of the table."""
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("abcdefgh" if i % 2 else "stuvwxyz") + " " * (rng.random() < 0.2) for _ in range(600)), "x" if i % 2 else "y") for i in range(400)]
+    df = spark.createDataFrame(sorted(rows, key=lambda r: r[2]), "doc_id long, text string, lang string")
+    was = langid_cnn.train
+    start = was([b"kkkk lll kl", b"kkkk lll kl"], ["x", "y"])
+    start.out[...], start.out_bias[...] = 0, 0
+    try:
+        langid_cnn.train = lambda texts, labels, **_: start
+        net = langid_cnn.fit(df, per_lang=1)
+    finally:
+        langid_cnn.train = was
+    again = langid_cnn.learn_all(df.withColumn("h", F.xxhash64("doc_id", "text")).orderBy(F.desc("doc_id")), start, {"x": 1000, "y": 1000}, shard_windows=700)
+    right = lambda n: langid_cnn.predict(df, n).join(df.select("doc_id", "lang"), "doc_id").where("lang = lang_pred").count()
+    assert min(right(net), right(again)) >= 380 > 200 == right(start)
+
+
+def test_the_floor_is_of_all_held_out_rows(spark):
+    net = langid_cnn.train([b"abababab" * 20, b"xyxyxyxy" * 20] * 20, ["a", "x"] * 20)
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("abab xy "), F.substring(F.sha1(F.col("id").cast("string")), 1, 6)).alias("text"), F.lit("a").alias("lang"))
+    scores = sorted(r["score"] for r in langid_cnn.predict(df, net).where("lang_pred = 'a'").collect())
+    assert len(scores) > 1000 and langid_cnn.floor(df, net, 0.001) == scores[math.ceil(0.001 * len(scores)) - 1]
+
+
 def test_gradients_of_the_network_learn():
     net = langid_cnn.train([b"abababab" * 20, b"xyxyxyxy" * 20] * 20, ["a", "x"] * 20)
     x, _ = langid_cnn.windows(np.frombuffer(b"babababababa", np.uint8), np.array([0, 12]), 0, 1)
