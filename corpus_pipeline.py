@@ -13,18 +13,25 @@ from spanloom import ship
 from spanloom.llm import langid_cnn, minhash_join, mixing, sentencepiece_wfst, toxicity
 from spanloom.llm.common import crc_mod, cut, scope, table
 from spanloom.llm.queries import piece_model
+from spanloom.scratch import settle
+
+
+def _begin(spark: SparkSession) -> None:
+    """Before each stage: the package is on its way to the executors, and what the stage before left on their heaps goes."""
+    ship.ensure(spark)
+    settle(spark)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts whose toxicity scores 0.3 or more. The lexicon is learnt from the labels outside the held-out quarter."""
-    ship.ensure(spark)
+    _begin(spark)
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2))
     return toxicity.keep_clean(docs, lexicon)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter, and those whose language scores less than all but 0.1 % of the held-out fifth's right ones."""
-    ship.ensure(spark)
+    _begin(spark)
     held_out = crc_mod("doc_id", 5) == 0
     net = langid_cnn.fit(docs.where(~held_out))
     return langid_cnn.keep_known(docs, net, langid_cnn.floor(docs.where(held_out), net))
@@ -32,19 +39,19 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: words in fives, similarity 0.8 or more, linked directly or through others."""
-    ship.ensure(spark)
+    _begin(spark)
     return minhash_join.keep_one(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents so that sources come in their target weights."""
-    ship.ensure(spark)
+    _begin(spark)
     return mixing.repeat(docs)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, round_trip."""
-    ship.ensure(spark)
+    _begin(spark)
     return sentencepiece_wfst.encode(docs, piece_model())
 
 

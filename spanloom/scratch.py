@@ -43,13 +43,14 @@ def drop(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back. What is written goes when the scope it was cut in ends, at the latest when the
+def cut(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back, with a folder for each value of the column `by` if one is named (which
+    then comes last). What is written goes when the scope it was cut in ends, at the latest when the
     driver ends. What was shuffled on the way is of no more use; Spark lets it go once the driver has collected the plan, which is hastened here."""
     spark = df.sparkSession
     top = f"{shared_dir(spark)}/spanloom/{spark.sparkContext.applicationId}-{_own}"
     path = f"{top}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     if top not in _marked:
         files, at = _file_system(spark, top)
         files.deleteOnExit(at)
@@ -61,6 +62,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def done_with(df: DataFrame, *parts: str) -> None:
+    """Drop what `cut` wrote for `df`, or only those folders of it ("kind=1"), before its scope ends: for tables that nothing reads any more."""
+    found = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in found:
+        if not parts or folder.rsplit("/", 1)[1] in parts:
+            drop(df.sparkSession, folder)
+
+
 def keep(path: str) -> None:
     """Have the open scopes drop a path."""
     for held in getattr(_scopes, "open", []):
@@ -78,3 +87,10 @@ def scope(spark: SparkSession) -> Iterator[list[str]]:
         _scopes.open = _scopes.open[:-1]
         for path in held:
             drop(spark, path)
+
+
+def settle(spark: SparkSession) -> None:
+    """Have every executor collect its garbage, so that its heap shrinks to what it holds: otherwise it stays as large as the stage before left it,
+    beside the Python workers of the next one. Two short tasks a core, so that none is left out."""
+    many = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, many, 1, many).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()

@@ -704,6 +704,15 @@ def plain_rows(df):
     return [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in df.collect() if r["doc_id"] is not None]
 
 
+def test_stages_begin_with_small_heaps(spark, docs):
+    import corpus_pipeline
+
+    beans = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    was = beans()
+    corpus_pipeline.mix_sources(spark, docs.limit(0), "")
+    assert beans() > was + 1  # here the executors' tasks run in the driver
+
+
 def test_pipeline_on_odd_tables(spark, docs, tmp_path):
     import corpus_pipeline
 
