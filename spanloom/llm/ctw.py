@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf
-from .common import cut
+from .common import cut, done_with
 
 U64 = textbuf.U64
 END = U64(0x5851F42D4C957F2D)  # the end token's hash
@@ -327,8 +327,9 @@ def score(docs: DataFrame, trains: Column, depth: int = 6, least: int = 2, bucke
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(trains, F.lit(False)).alias("trained"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count("*")).collect()[0][0]
     buckets = int(min(65536, max(16, -(-size // (bucket_mb << 20)))))
-    counted = cut(count(rows, depth, buckets), "counts")
+    counted = cut(count(rows, depth, buckets), "counts", by="kind")  # what nothing reads any more goes kind by kind
     grown = cut(grow(counted, depth, least), "grown")
+    done_with(counted, "kind=1")
     tree = docs.sparkSession.sparkContext.broadcast(top(grown, depth, least))
     values = finished(grown, tree)
 
@@ -338,6 +339,7 @@ def score(docs: DataFrame, trains: Column, depth: int = 6, least: int = 2, bucke
         return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "n": pa.array([int(n.sum())], pa.int64()), "keys": pa.array([k.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
 
     words = cut(counted.where("kind = 0").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(totalled, "bucket int, n long, keys binary, counts binary"), "words")
+    done_with(counted, "kind=0")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("keys") / 8), F.lit(0)).cast("long").alias("v")).collect()[0]
     tokens, types = totals["n"], totals["v"]
 
@@ -353,6 +355,8 @@ def score(docs: DataFrame, trains: Column, depth: int = 6, least: int = 2, bucke
     bottom = math.log10(tokens + types + 1)
     model = docs.sparkSession.sparkContext.broadcast((hk, np.log10(hn + 1.0) - bottom))
     scored = cut(_scored(counted.where("kind = 2").select("slice", "texts"), values, model, depth, buckets), "scored")
+    done_with(counted, "kind=2")
+    done_with(grown)
 
     def looked_up(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, counts = (np.frombuffer(right.column(c)[0].as_py(), t) if len(right) else np.zeros(0, t) for c, t in (("keys", U64), ("counts", np.int64)))

@@ -728,6 +728,17 @@ def test_pipeline_on_odd_tables(spark, docs, tmp_path):
         assert corpus_pipeline.run(spark, str(where)).count() == stage.count() and (name != "empty" or stage.count() == 0)
 
 
+def test_scores_leave_only_what_is_still_read(spark, docs):
+    import glob
+
+    from spanloom import scratch
+
+    with scratch.scope(spark) as held:
+        out = ctw.score(docs, crc_mod("doc_id", 7) != 2, depth=3)
+        left = {p.rsplit("/", 1)[1].split("-")[0] for p in held if glob.glob(p.removeprefix("file:") + "/**/*.parquet", recursive=True)}
+        assert left == {"words", "scored"} and out.count() == docs.count()
+
+
 def test_pruned_contexts_are_predicted_by_their_node():
     text = np.frombuffer(b"abababacacbcbcabbbca" * 20, np.uint8).astype(np.uint64)
     keys, counts = np.unique((text[:-1] << np.uint64(8)) | text[1:], return_counts=True)
