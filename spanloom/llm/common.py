@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.scratch import cut, done_with, scope
+from spanloom.scratch import cut, done_with, scope, settle
 
-__all__ = ["ascii_lower", "crc_mod", "cut", "done_with", "scope", "table"]
+__all__ = ["ascii_lower", "crc_mod", "cut", "done_with", "scope", "settle", "table"]
 
 
 def crc_mod(doc_id: str | Column, n: int) -> Column:

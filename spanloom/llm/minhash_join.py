@@ -16,7 +16,9 @@ where a component joins them already or where they cannot be similar enough: an
 of the posted classes has, so its size is bounded by what each shares with anybody, and two members of one hub share at most
 what neither lacks of it and their further shared shingles. Nothing is capped.
 
-Components grow by minimum labels with pointer jumping, cut to the shared folder each round; nothing is collected.
+Components grow by minimum labels with pointer jumping, cut to the shared folder each round; nothing is collected. Between the steps
+executors collect their garbage, and workers hand back what they freed: else heaps, with a sort buffer for each of many small tasks, grow to their
+limit beside Python workers that stay as large as the operators before left them.
 
 Null and empty texts have the empty set and link with nothing. Repeated rows are of one class, and so of one component.
 Rows without doc_id take part, but lend no id: a component's id is the smallest doc_id in it (null if it has none). Columns
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf
-from .common import cut
+from .common import cut, settle
 
 K, WIDTH = 64, 5
 U64 = textbuf.U64
@@ -95,7 +97,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs).view(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), pa.array(sizes, pa.int64()), pa.array(cids, pa.binary()), lists], names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(textbuf.trimmed(run), schema)
 
 
 def postings(classes: DataFrame, least: int) -> DataFrame:
@@ -124,7 +126,7 @@ def full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(2)], names=["cid", "shingles"])
 
     met = texts.join(wanted, "rid").select("text", "cid")
-    return met.mapInArrow(run, "cid binary, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles"))
+    return met.mapInArrow(textbuf.trimmed(run), "cid binary, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles"))
 
 
 def joined(pairs: DataFrame, sets: DataFrame, key: str, salted: int = 128) -> DataFrame:
@@ -157,7 +159,7 @@ def met(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], names=names)
 
     both = joined(joined(pairs, sets, "x"), sets, "y")
-    return both.select("x", "y", "set_x", "set_y").mapInArrow(run, "x binary, y binary, linked boolean, ny long, both long, missing array<long>")
+    return both.select("x", "y", "set_x", "set_y").mapInArrow(textbuf.trimmed(run), "x binary, y binary, linked boolean, ny long, both long, missing array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,6 +173,7 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     of = lambda key, label: labels.select(F.col("cid").alias(key), F.col("comp").alias(label))
     links = both.join(of("x", "a"), "x").join(of("y", "b"), "y").where("a <> b").select("a", "b").distinct()  # between labels
     links = cut(links, "links")
+    settle(links.sparkSession)
     roots = cut(links.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("root")), "roots")
     while True:
         low = links.join(roots.toDF("b", "reach"), "b").groupBy("a").agg(F.min("reach").alias("reach")).withColumnRenamed("a", "node")
@@ -196,7 +199,7 @@ def shared_shingles(sets: DataFrame) -> DataFrame:
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(np.concatenate(name))], names=["h", "c"])
 
-    once = sets.select("cid", "shingles").mapInArrow(run, "h long, c long").groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c")).where("n = 1")
+    once = sets.select("cid", "shingles").mapInArrow(textbuf.trimmed(run), "h long, c long").groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c")).where("n = 1")
     lone = once.groupBy("c").agg(F.count("*").alias("lone"))
     names = sets.select("cid").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([b.column(0), pa.array([int.from_bytes(x[:8], "little", signed=True) for x in b.column(0).to_pylist()], pa.int64())], names=["cid", "c"]) for b in batches), "cid binary, c long")
     twice = names.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
@@ -209,6 +212,7 @@ def link(posted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # What two sets share lies among the shingles that each shares with anybody: `common` bounds the intersection from above.
     posted = posted.join(shared_shingles(sets), "cid").withColumn("common", F.col("n_shingles") - F.col("lone")).drop("lone")
     posted = cut(posted.where(100 * F.col("common") >= percent * F.col("n_shingles")), "able")
+    settle(sets.sparkSession)
     can = lambda c1, n1, c2, n2: F.least(c1, c2) * (100 + percent) >= percent * (F.col(n1) + F.col(n2))
     typical = F.struct((F.col("common") / F.col("n_shingles")).alias("part"), F.col("cid"))
     hubs = posted.groupBy("tok").agg(F.max_by(F.struct("cid", "n_shingles", "common"), typical).alias("h"), F.count("*").alias("n")).where("n > 1").select("tok", F.col("h.cid").alias("hub"), F.col("h.n_shingles").alias("hn"), F.col("h.common").alias("hc"))
@@ -216,7 +220,9 @@ def link(posted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     stars = stars.groupBy("cid", "hub").agg(F.count("*").alias("lists"), F.first(F.col("hc") / F.col("hn")).alias("part"))
     stars = stars.groupBy("cid").agg(F.max_by("hub", F.struct("part", "lists", "hub")).alias("hub")).toDF("x", "y")
     seen = cut(met(stars, sets, percent), "stars")
+    settle(sets.sparkSession)
     labels = components(start, seen.where("linked").select("x", "y"))
+    settle(sets.sparkSession)
     # What each member lacks of its hub, and how many shingles beside the hub's it shares with anybody.
     lacks = seen.select(F.col("x").alias("cid"), F.col("y").alias("hub"), F.col("ny").alias("hn"), "both", "missing")
     posted = posted.join(lacks, "cid", "left").withColumn("extra", F.col("common") - F.col("both"))
@@ -225,6 +231,7 @@ def link(posted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     parts = own.groupBy("tok", "comp").agg(F.count("*").alias("n"))
     lists = parts.groupBy("tok").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").select("tok", "major")
     there = cut(own.join(lists, "tok"), "lists")
+    settle(sets.sparkSession)
     minor = there.where("comp <> major").select("tok", F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n_shingles").alias("nx"), F.col("common").alias("vx"), F.col("toks").alias("tx"), F.col("hub").alias("hx"), F.col("missing").alias("mx"), F.col("extra").alias("ex"))
     # A pair is made in one of its common lists only.
     first = F.col("tok") == F.array_min(F.array_intersect("tx", "toks"))
@@ -247,10 +254,13 @@ def _found(docs: DataFrame, percent: int) -> DataFrame:
     posted = cut(postings(classes, match_threshold(percent)), "postings")
     lone = posted.groupBy("tok").agg(F.count("*").alias("n")).where("n > 1").select("tok")
     posted = cut(posted.join(lone, "tok", "left_semi"), "postings")
+    settle(docs.sparkSession)
     members = classes.select("cid", "least", "rid")
     wanted = members.join(posted.select("cid").distinct(), "cid").select("rid", "cid")
     sets = cut(full_sets(texts.select("rid", "text"), wanted), "sets")
+    settle(docs.sparkSession)
     labels = link(posted, sets, percent)
+    settle(docs.sparkSession)
     named = members.join(labels, "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "least")
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     found = named.join(names, "comp").select("cid", "comp", "component_id")

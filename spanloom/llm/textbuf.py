@@ -5,7 +5,8 @@ few numpy passes. Memory is bounded by `slices` (a few MB of text at a time, or
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ import pyarrow.compute as pc
 # Buffers go back to the system once they are free: a worker serves one stage after another, and should hold no more than the one at hand.
 pa.set_memory_pool(pa.system_memory_pool())
 
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+
 U64 = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -43,6 +46,24 @@ def buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)), off
 
 
+def trim() -> None:
+    """Hand back what the C library keeps of freed memory, of this kernel and of those before it in the process."""
+    if _malloc_trim:
+        _malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, a kernel over batches, after which its idle worker holds no freed memory beside the executor's next stages."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `limit` bytes, or of one longer row."""
     i, n = 0, len(offsets) - 1
