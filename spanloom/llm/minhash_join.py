@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf
-from .common import cut, settle
+from .common import cut, done_with, settle
 
 K, WIDTH = 64, 5
 U64 = textbuf.U64
@@ -69,10 +69,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> Itera
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    out = np.full(K, 0xFFFFFFFF, U64)
+    """K numbers of 32 bits, spread over all of them: the smallest hashes themselves lie close to 0 in large sets, where unrelated sets would meet by chance."""
+    out = np.full(K, 0xFFFFFFFFFFFFFFFF, U64)
     for a in range(0, len(shingles), 2048):
-        out = np.minimum(out, ((shingles[None, a : a + 2048] * _A[:, None] + _B[:, None]) >> U64(32)).min(1))
-    return out.astype(np.uint32)
+        out = np.minimum(out, (shingles[None, a : a + 2048] * _A[:, None] + _B[:, None]).min(1))
+    return textbuf.mix(out).astype(np.uint32)
 
 
 def class_id(shingles: np.ndarray) -> bytes:
@@ -112,8 +113,17 @@ def postings(classes: DataFrame, least: int) -> DataFrame:
     return shared.join(classes.select("k", "cid", "n_shingles"), "k").select("cid", "n_shingles", "toks", F.explode("toks").alias("tok"))
 
 
+def perhaps_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose rid is in `wanted`, and few others while `wanted` has far fewer rows than there are bits: 2^26 of them, 8 MB at most, in pieces of 2^15."""
+    at = F.xxhash64("rid")
+    piece, bit = F.shiftrightunsigned(at, 15).bitwiseAND(F.lit(2047)), at.bitwiseAND(F.lit(32767))
+    bits = wanted.groupBy(piece.alias("piece")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return rows.join(F.broadcast(bits), (piece == F.col("piece")) & (F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1), "left_semi")
+
+
 def full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid, shingles (as bytes) of the classes in `wanted` (rid, cid), made anew from the texts."""
+    """cid, shingles (as bytes) of the classes in `wanted` (rid, cid), made anew from the texts. Other texts stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +135,7 @@ def full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                         rows.append((cid, s.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(2)], names=["cid", "shingles"])
 
-    met = texts.join(wanted, "rid").select("text", "cid")
+    met = perhaps_in(texts, wanted).join(wanted, "rid").select("text", "cid")
     return met.mapInArrow(textbuf.trimmed(run), "cid binary, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles"))
 
 
@@ -183,9 +193,13 @@ def components(labels: DataFrame, edges: DataFrame) -> DataFrame:
         moved = cut(step.join(jump, "to").select("node", "was", F.least("to", "next").alias("root")), "roots")
         if moved.where("root <> was").isEmpty():
             break
+        done_with(roots)
         roots = moved.select("node", "root")
     joined = labels.join(roots.toDF("comp", "root"), "comp", "left")
-    return cut(joined.select("cid", F.coalesce("root", "comp").alias("comp")), "labels")
+    found = cut(joined.select("cid", F.coalesce("root", "comp").alias("comp")), "labels")
+    for table in (links, roots, moved):
+        done_with(table)
+    return found
 
 
 def shared_shingles(sets: DataFrame) -> DataFrame:
@@ -211,7 +225,7 @@ def link(posted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     start = posted.select("cid").distinct().select("cid", F.col("cid").alias("comp"))
     # What two sets share lies among the shingles that each shares with anybody: `common` bounds the intersection from above.
     posted = posted.join(shared_shingles(sets), "cid").withColumn("common", F.col("n_shingles") - F.col("lone")).drop("lone")
-    posted = cut(posted.where(100 * F.col("common") >= percent * F.col("n_shingles")), "able")
+    posted = able = cut(posted.where(100 * F.col("common") >= percent * F.col("n_shingles")), "able")
     settle(sets.sparkSession)
     can = lambda c1, n1, c2, n2: F.least(c1, c2) * (100 + percent) >= percent * (F.col(n1) + F.col(n2))
     typical = F.struct((F.col("common") / F.col("n_shingles")).alias("part"), F.col("cid"))
@@ -241,25 +255,36 @@ def link(posted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     apart = F.coalesce((F.col("hx") == F.col("hub")) & (most * (100 + percent) < percent * (F.col("nx") + F.col("n_shingles"))), F.lit(False))
     across = minor.join(there, "tok").where((F.col("cx") != F.col("comp")) & ((F.col("comp") == F.col("major")) | (F.col("x") < F.col("cid"))) & can("vx", "nx", "common", "n_shingles") & first & ~apart)
     across = across.select(F.least("x", "cid").alias("x"), F.greatest("x", "cid").alias("y")).distinct()
-    return components(labels, confirmed(across, sets, percent))
+    found = components(labels, confirmed(across, sets, percent))
+    for table in (able, seen, there, labels):
+        done_with(table)
+    return found
 
 
 def _found(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, mark (two hashes of the text), n_shingles, comp and component_id of each row of `docs`. Rows of the empty set have null comp."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.select(F.coalesce("doc_id", F.xxhash64("text")).alias("rid"), "doc_id", _mark(F.col("text")).alias("mark"), "text")
-    rows = cut(signed(texts), "signatures")
-    classes = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    signs = cut(signed(texts), "signatures")
+    classes = signs.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     classes = cut(classes.withColumn("k", F.monotonically_increasing_id()), "classes")  # written, so that the numbers stay as they are
-    posted = cut(postings(classes, match_threshold(percent)), "postings")
-    lone = posted.groupBy("tok").agg(F.count("*").alias("n")).where("n > 1").select("tok")
-    posted = cut(posted.join(lone, "tok", "left_semi"), "postings")
+    # Signatures go as soon as they are posted, and every other table once nothing reads it.
+    rows = cut(signs.select("doc_id", "mark", "n_shingles", "cid"), "rows")
+    done_with(signs)
+    every = cut(postings(classes, match_threshold(percent)), "postings")
+    members = cut(classes.select("cid", "least", "rid"), "members")
+    done_with(classes)
+    lone = every.groupBy("tok").agg(F.count("*").alias("n")).where("n > 1").select("tok")
+    posted = cut(every.join(lone, "tok", "left_semi"), "postings")
+    done_with(every)
     settle(docs.sparkSession)
-    members = classes.select("cid", "least", "rid")
-    wanted = members.join(posted.select("cid").distinct(), "cid").select("rid", "cid")
+    wanted = cut(members.join(posted.select("cid").distinct(), "cid").select("rid", "cid"), "wanted")
     sets = cut(full_sets(texts.select("rid", "text"), wanted), "sets")
+    done_with(wanted)
     settle(docs.sparkSession)
     labels = link(posted, sets, percent)
+    done_with(sets)
+    done_with(posted)
     settle(docs.sparkSession)
     named = members.join(labels, "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"), "least")
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))

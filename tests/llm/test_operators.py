@@ -724,6 +724,43 @@ def test_near_duplicates_keep_heaps_small(spark, docs, monkeypatch):
     assert beans() > was + 6  # before the first step that follows a heavy one, and the next ones
 
 
+def test_near_duplicates_move_only_texts_that_are_wanted(spark):
+    texts = spark.range(2000).selectExpr("id AS rid", "array_join(transform(sequence(1, 200), i -> sha2(concat(id, ':', i), 256)), ' ') AS text")
+    named = minhash_join.signed(texts.selectExpr("rid", "rid AS doc_id", "struct(rid AS a, rid AS b) AS mark", "text"))
+    wanted = spark.createDataFrame(named.where("rid % 100 = 7").select("rid", "cid").collect(), "rid long, cid binary")
+    written = lambda: spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many wanted ones
+    try:
+        was = written()
+        got = minhash_join.full_sets(texts, wanted).collect()
+        assert sorted(r["cid"] for r in got) == sorted(r["cid"] for r in wanted.collect()) and all(len(r["shingles"]) == 8 * 196 for r in got)
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        assert written() - was < 2 << 20  # of 26 MB of text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    every = spark.range(-3000, 3000).selectExpr("id AS rid", "id % 2 = 0 AS even")
+    found = minhash_join.perhaps_in(every, every.where("even").select("rid"))
+    assert found.where("even").count() == 3000 and found.where("not even").count() < 30
+
+
+def test_unrelated_large_sets_share_no_coordinates():
+    rng = np.random.default_rng(8)
+    signatures = np.array([minhash_join.signature(rng.integers(0, 1 << 63, 50000, dtype=np.uint64)) for _ in range(100)])
+    assert all(len(np.unique(signatures[:, k])) == 100 for k in range(minhash_join.K))
+
+
+def test_near_duplicates_leave_only_what_is_still_read(spark, docs):
+    import glob
+
+    from spanloom import scratch
+
+    with scratch.scope(spark) as held:
+        out = minhash_join.near_duplicates(docs, 85)
+        left = {p.rsplit("/", 1)[1].split("-")[0] for p in held if glob.glob(p.removeprefix("file:") + "/**/*.parquet", recursive=True)}
+        assert left == {"rows", "members", "labels"} and out.count() == docs.count()
+
+
 def test_kernels_hand_back_what_was_freed(spark, docs):
     def held_then_freed(batches):
         import os
